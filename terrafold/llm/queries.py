@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from terrafold.llm.bitplanes import op4_bitplanes
 from terrafold.llm.merkle import op5_merkle
 from terrafold.llm.mixing import OP8_SQL, op8_mix
+from terrafold.llm.packing import op9_packing
 from terrafold.llm.secrets import op10_secrets
 
 QUERIES = {
+    "op4_bitplanes": op4_bitplanes,
     "op5_merkle": op5_merkle,
     "op8_mix": op8_mix,
+    "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
 }
 
