@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from terrafold.llm.bitplanes import op4_bitplanes
+from terrafold.llm.langid import op2_langid
 from terrafold.llm.merkle import op5_merkle
 from terrafold.llm.mixing import OP8_SQL, op8_mix
 from terrafold.llm.packing import op9_packing
 from terrafold.llm.secrets import op10_secrets
+from terrafold.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_langid": op2_langid,
     "op4_bitplanes": op4_bitplanes,
     "op5_merkle": op5_merkle,
     "op8_mix": op8_mix,
