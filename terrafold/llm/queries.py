@@ -6,6 +6,7 @@ from terrafold.llm.bitplanes import op4_bitplanes
 from terrafold.llm.langid import op2_langid
 from terrafold.llm.merkle import op5_merkle
 from terrafold.llm.mixing import OP8_SQL, op8_mix
+from terrafold.llm.ngram_join import op7_ngram_join
 from terrafold.llm.packing import op9_packing
 from terrafold.llm.secrets import op10_secrets
 from terrafold.llm.toxicity import op1_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_langid": op2_langid,
     "op4_bitplanes": op4_bitplanes,
     "op5_merkle": op5_merkle,
+    "op7_ngram_join": op7_ngram_join,
     "op8_mix": op8_mix,
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
