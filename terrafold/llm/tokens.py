@@ -9,8 +9,8 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Pieces that are remembered; beyond either bound the memory starts anew.
-MOST_PIECES = 400_000
-MOST_PIECE_CHARS = 24_000_000
+MOST_PIECES = 600_000
+MOST_PIECE_CHARS = 30_000_000
 
 _RUN = re.compile(r"\s\s")
 _ENCODERS: dict[str, "PieceEncoder"] = {}
@@ -27,47 +27,95 @@ class _Numbered(dict):
 class PieceEncoder:
     """Encodes texts with a tokenizer of the tokenizers library, a piece between spaces at a time.
 
-    Both public pre-tokenizers always split before a single space, so ids of a text are those of its pieces, each
-    with its leading space, one after the other; each distinct piece is encoded once. Texts with two blanks in a
-    row are encoded as a whole.
+    Both public pre-tokenizers always split before a single space, and between a Latin letter and a mark of
+    ``MARKS``. So ids of a text are those of its pieces, each with its leading space, one after the other, and those of
+    a word with a mark are the word's and the mark's. Each distinct piece is encoded once while it is remembered.
+    Texts with two blanks in a row are encoded as a whole.
     """
 
+    MARKS = ",.!?;:"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._forget()
+        self.mark = {m: self._ids(["a" + m])[0][-1] for m in self.MARKS}
+        # A string between pieces that always becomes one id of its own, so that many pieces are encoded at once.
+        self.between = next(((text, ids[0]) for text in ("\n", " \x01") if len(ids := self._ids([text])[0]) == 1), None)
+        self._start([], np.empty(0, np.uint32), np.empty(0, np.int64))
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _start(self, keys: list, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.numbers = _Numbered(zip(keys, range(len(keys))))
+        self.known, self.chars, self.used = len(keys), sum(map(_size, keys)), len(flat)
+        self.flat, self.length = _room(flat, 1 << 16), _room(lengths, 1 << 14)
+        self.start = _room(np.cumsum(lengths) - lengths, 1 << 14)
+        self.uses = np.zeros(1 << 14, np.int64)
 
     def _forget(self) -> None:
-        self.numbers, self.known, self.chars = _Numbered(), 0, 0
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        """Keep what was used again and again, half of the bounds at most."""
+        uses = self.uses[: self.known]
+        keep = np.flatnonzero(uses > 2)
+        keep = np.sort(keep[np.argsort(-uses[keep], kind="stable")[: MOST_PIECES // 2]])
+        keys = list(self.numbers)
+        keys = [keys[i] for i in keep]
+        if sum(map(_size, keys)) > MOST_PIECE_CHARS // 2:
+            keys, keep = [], keep[:0]
+        self._start(keys, self._gather(keep), self.length[keep])
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """Ids of the pieces of these numbers, one after the other."""
+        lengths = self.length[at]
+        ends = np.cumsum(lengths)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - (ends - lengths), lengths)]
 
     def _learn(self) -> None:
-        new = list(self.numbers)[self.known :] if self.known == 0 else [*_tail(self.numbers, len(self.numbers) - self.known)]
-        if not new:
-            return
-        pieces = [k[0] if isinstance(k, tuple) else " " + k for k in new]
-        ids = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(lengths.sum())
-        self.flat = _room(self.flat, self.used + total)
-        self.start, self.length = _room(self.start, len(self.numbers)), _room(self.length, len(self.numbers))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        at = slice(self.known, len(self.numbers))
+        keys, plain, single, marked = _tail(self.numbers, len(self.numbers) - self.known), [], [], []
+        for at, key in enumerate(keys, self.known):
+            if isinstance(key, tuple) or not key or not key.isprintable() or not self.between:
+                single.append((at, key))
+            elif key[-1] in self.mark and (word := key[:-1]).isalpha() and max(word) < "\u0250":
+                marked.append((at, self.numbers[word], self.mark[key[-1]]))
+            else:
+                plain.append((at, key))
+        first = self.known + len(keys)
+        plain += enumerate(_tail(self.numbers, len(self.numbers) - first), first)  # words that only marked pieces have
+        n = len(self.numbers)
+        self.length, self.start, self.uses = _room(self.length, n), _room(self.start, n), _room(self.uses, n)
+        self.uses[self.known : n] = 0
+        if plain:
+            joined = [self.between[0].join(" " + k for _, k in plain[i : i + 256]) for i in range(0, len(plain), 256)]
+            end = np.array([self.between[1]], np.uint32)
+            flat = np.concatenate([x for ids in self._ids(joined) for x in (np.array(ids, np.uint32), end)])
+            ends = np.flatnonzero(flat == end[0])
+            lengths = np.diff(ends, prepend=-1) - 1
+            self._add(np.array([at for at, _ in plain]), lengths, np.delete(flat, ends))
+        if single:
+            ids = self._ids([k[0] if isinstance(k, tuple) else " " + k for _, k in single])
+            self._add(np.array([at for at, _ in single]), np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter((i for x in ids for i in x), np.uint32))
+        if marked:
+            at, words, marks = (np.array(x) for x in zip(*marked))
+            self._add(at, self.length[words] + 1, np.insert(self._gather(words), np.cumsum(self.length[words]), marks.astype(np.uint32)))
+        self.chars += sum(map(_size, keys))
+        self.known = n
+
+    def _add(self, at: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> None:
+        self.flat = _room(self.flat, self.used + len(flat))
+        self.flat[self.used : self.used + len(flat)] = flat
         self.length[at] = lengths
         self.start[at] = self.used + np.cumsum(lengths) - lengths
-        self.used, self.known = self.used + total, len(self.numbers)
-        self.chars += sum(map(len, pieces))
+        self.used += len(flat)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of ids of each text."""
         if len(self.numbers) > MOST_PIECES or self.chars > MOST_PIECE_CHARS:
             self._forget()
         whole = [i for i, t in enumerate(texts) if _RUN.search(t)]
-        direct = dict(zip(whole, (e.ids for e in self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False)))) if whole else {}
+        direct = dict(zip(whole, self._ids([texts[i] for i in whole]))) if whole else {}
         number, found, pieces_of = self.numbers.__getitem__, [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if text and i not in direct:
@@ -77,10 +125,9 @@ class PieceEncoder:
                 pieces_of[i] = 1 + len(rest)
         self._learn()
         at = np.array(found, np.int64)
-        lengths = self.length[at]
-        ends = np.cumsum(lengths)
-        flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - (ends - lengths), lengths)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pieces_of)])]
+        self.uses[: self.known] += np.bincount(at, minlength=self.known)
+        flat = self._gather(at)
+        bounds = np.concatenate([[0], np.cumsum(self.length[at])])[np.concatenate([[0], np.cumsum(pieces_of)])]
         counts = np.diff(bounds)
         if not direct:
             return flat, counts
@@ -88,6 +135,10 @@ class PieceEncoder:
         return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
+def _size(key) -> int:
+    return len(key[0]) if isinstance(key, tuple) else len(key)
+
+
 def _tail(numbers: dict, n: int) -> list:
     out = []
     for key in reversed(numbers):
@@ -100,7 +151,7 @@ def _tail(numbers: dict, n: int) -> list:
 def _room(array: np.ndarray, n: int) -> np.ndarray:
     if n <= len(array):
         return array
-    larger = np.empty(max(n, 2 * len(array)), array.dtype)
+    larger = np.zeros(max(n, 2 * len(array)), array.dtype)
     larger[: len(array)] = array
     return larger
 
