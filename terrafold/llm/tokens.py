@@ -51,7 +51,7 @@ class PieceEncoder:
 
     def _start(self, keys: list, flat: np.ndarray, lengths: np.ndarray) -> None:
         self.numbers = _Numbered(zip(keys, range(len(keys))))
-        self.known, self.chars, self.used = len(keys), sum(map(_size, keys)), len(flat)
+        self.known, self.chars, self.used = len(keys), sum(map(len, keys)), len(flat)
         self.flat, self.length = _room(flat, 1 << 16), _room(lengths, 1 << 14)
         self.start = _room(np.cumsum(lengths) - lengths, 1 << 14)
         self.uses = np.zeros(1 << 14, np.int64)
@@ -62,8 +62,8 @@ class PieceEncoder:
         keep = np.flatnonzero(uses > 2)
         keep = np.sort(keep[np.argsort(-uses[keep], kind="stable")[: MOST_PIECES // 2]])
         keys = list(self.numbers)
-        keys = [keys[i] for i in keep]
-        if sum(map(_size, keys)) > MOST_PIECE_CHARS // 2:
+        keys = [keys[i] for i in keep]  # a first piece of a text, a tuple, is seldom seen again
+        if sum(map(len, keys)) > MOST_PIECE_CHARS // 2:
             keys, keep = [], keep[:0]
         self._start(keys, self._gather(keep), self.length[keep])
 
@@ -100,7 +100,7 @@ class PieceEncoder:
         if marked:
             at, words, marks = (np.array(x) for x in zip(*marked))
             self._add(at, self.length[words] + 1, np.insert(self._gather(words), np.cumsum(self.length[words]), marks.astype(np.uint32)))
-        self.chars += sum(map(_size, keys))
+        self.chars += sum(map(len, keys)) + sum(len(k[0]) for _, k in single if isinstance(k, tuple))
         self.known = n
 
     def _add(self, at: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> None:
@@ -135,10 +135,6 @@ class PieceEncoder:
         return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
-def _size(key) -> int:
-    return len(key[0]) if isinstance(key, tuple) else len(key)
-
-
 def _tail(numbers: dict, n: int) -> list:
     out = []
     for key in reversed(numbers):
