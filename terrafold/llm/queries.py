@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from terrafold.llm.bitplanes import op4_bitplanes
 from terrafold.llm.langid import op2_langid
+from terrafold.llm.media import op6_flac
 from terrafold.llm.merkle import op5_merkle
 from terrafold.llm.mixing import OP8_SQL, op8_mix
 from terrafold.llm.ngram_join import op7_ngram_join
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_langid": op2_langid,
     "op4_bitplanes": op4_bitplanes,
     "op5_merkle": op5_merkle,
+    "op6_flac": op6_flac,
     "op7_ngram_join": op7_ngram_join,
     "op8_mix": op8_mix,
     "op9_packing": op9_packing,
