@@ -9,12 +9,14 @@ from terrafold.llm.merkle import op5_merkle
 from terrafold.llm.mixing import OP8_SQL, op8_mix
 from terrafold.llm.ngram_join import op7_ngram_join
 from terrafold.llm.packing import op9_packing
+from terrafold.llm.repeats import op3_repeats
 from terrafold.llm.secrets import op10_secrets
 from terrafold.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_langid": op2_langid,
+    "op3_repeats": op3_repeats,
     "op4_bitplanes": op4_bitplanes,
     "op5_merkle": op5_merkle,
     "op6_flac": op6_flac,
