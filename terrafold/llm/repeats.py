@@ -15,9 +15,10 @@ sample. Adjacent suffixes whose prefix (the phrases up to ``size`` bytes past th
 that start in their first phrase repeats.
 
 *What is left.* Windows at the edge of a repeat start in a phrase that is not repeated wholly. Where the bytes that all
-windows of an anchor share are repeated, and the suffix array did not settle the anchor, its windows are compared one by
-one by their hashes; so are, once for each distinct prefix, the settled windows of the same class that they may be
-equal to. That exact step makes the result independent of where anchors fall.
+windows of an anchor share are repeated, and the suffix array did not settle the anchor, its windows are compared by
+their hashes, in blocks first and one by one where a block is undecided; so are, once for each distinct content, the
+settled windows of the same class that they may be equal to. That exact step makes the result independent of where
+anchors fall.
 
 Suffixes whose shared bytes occur once in the corpus cannot be part of a repeat and are left out before the sort.
 Texts are shuffled only if they have something to remove.
@@ -43,7 +44,9 @@ from terrafold.llm.words import mixed, parts, powers
 
 REACH = 128
 GRAM = 8
-FILTER_BITS = 25
+FILTER_BITS = 27
+#: Windows of an anchor that are judged together, by their distance to it.
+STEP = 16
 _VALUES = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
@@ -148,8 +151,21 @@ def has_bits(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return filter_[v >> 3] >> (v & 7).astype(np.uint8) & 1 == 1
 
 
-def place_key(rid: np.ndarray, j: np.ndarray) -> np.ndarray:
-    return mixed(rid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + j.astype(np.uint64)).view(np.int64)
+def place_key(rid: np.ndarray, *numbers: np.ndarray) -> np.ndarray:
+    key = rid.view(np.uint64)
+    for x in numbers:
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + x.astype(np.uint64))
+    return key.view(np.int64)
+
+
+def block_ranges(found: dict[str, np.ndarray], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the kept suffixes with windows: suffix, block number, and first and last start of each block of windows."""
+    at = np.flatnonzero(keep & (found["hi"] >= found["lo"]))
+    near, far = (found["pos"] - found["hi"])[at], (found["pos"] - found["lo"])[at]
+    n = far // STEP - near // STEP + 1
+    k = np.repeat(at, n)
+    b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(near // STEP, n)
+    return k, b, found["pos"][k] - np.minimum(STEP * b + STEP - 1, np.repeat(far, n)), found["pos"][k] - np.maximum(STEP * b, np.repeat(near, n))
 
 
 class RepeatSearch:
@@ -235,16 +251,19 @@ class RepeatSearch:
         near = [self._adjacent(placed.where(which), keys) for which, keys in lists]
         return stored(near[0].union(near[1]).union(near[2]).distinct(), "settled")
 
-    def _windows(self, wanted: DataFrame) -> DataFrame:
-        """``a, rid, start``: the hash of every window of the wanted suffixes (``rid, j``); others may come too."""
-        size = self.size
-        keys = wanted.withColumn("key", F.lit(0).cast("long"))
+    def _marks(self, wanted: DataFrame, columns: list[str]):
+        """A broadcast filter over places: suffixes (rid, j) or blocks (rid, j, b)."""
 
         def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pa.RecordBatch.from_pydict({"key": place_key(batch.column("rid").to_numpy(), batch.column("j").to_numpy())})
+                yield pa.RecordBatch.from_pydict({"key": place_key(*(batch.column(c).to_numpy() for c in columns))})
 
-        marks = self.spark.sparkContext.broadcast(bitmap(keys.select("rid", "j").mapInArrow(number, "key long")))
+        return self.spark.sparkContext.broadcast(bitmap(wanted.select(*columns).mapInArrow(number, "key long")))
+
+    def _blocks(self, marks) -> DataFrame:
+        """The marked suffixes' windows in blocks of ``STEP`` distances to the anchor: ``rid, j, b, first, last``, with
+        ``a``, the hash of what the block's windows share, and ``u``, that of all they cover (null in cut blocks)."""
+        size = self.size
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -252,16 +271,61 @@ class RepeatSearch:
                 for first, data, bounds in parts(batch.column("text")):
                     found = suffixes(data, bounds, size)
                     own = rid[first + found["doc"]]
-                    keep = has_bits(marks.value, place_key(own, found["j"])) & (found["hi"] >= found["lo"])
+                    k, b, start, last = block_ranges(found, has_bits(marks.value, place_key(own, found["j"])))
+                    if not len(k):
+                        continue
+                    hashes, base, x = Hashes(data), bounds[found["doc"][k]], found["pos"][k] + bounds[found["doc"][k]]
+                    a = mixed(hashes.of(x - STEP * b, x - STEP * b - STEP + 1 + size) + b.astype(np.uint64))
+                    whole = last - start == STEP - 1
+                    u = np.zeros(len(k), np.uint64)
+                    u[whole] = mixed(hashes.of((start + base)[whole], (last + base)[whole] + size) + b[whole].astype(np.uint64))
+                    yield pa.RecordBatch.from_pydict({"rid": own[k], "j": found["j"][k].astype(np.int32), "b": b.astype(np.int32), "first": start.astype(np.int32), "last": last.astype(np.int32),
+                                                      "a": a.view(np.int64), "u": pa.array(u.view(np.int64), mask=~whole)})
+
+        return stored(self.rows.select("rid", "text").mapInArrow(scan, "rid long, j int, b int, first int, last int, a long, u long"), "blocks")
+
+    def _windows(self, marks, block_marks) -> DataFrame:
+        """``a, rid, start``: the hash of every window of the marked blocks; others may come too."""
+        size = self.size
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rid = batch.column("rid").to_numpy()
+                for first, data, bounds in parts(batch.column("text")):
+                    found = suffixes(data, bounds, size)
+                    own = rid[first + found["doc"]]
+                    k, b, start, last = block_ranges(found, has_bits(marks.value, place_key(own, found["j"])))
+                    keep = has_bits(block_marks.value, place_key(own[k], found["j"][k], b))
                     if not keep.any():
                         continue
-                    lo, n = found["lo"][keep], (found["hi"] - found["lo"])[keep] + 1
-                    start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                    at = start + np.repeat(bounds[found["doc"][keep]], n)
-                    a = Hashes(data).of(at, at + size).view(np.int64)
-                    yield pa.RecordBatch.from_pydict({"a": a, "rid": np.repeat(own[keep], n), "start": start.astype(np.int32)})
+                    k, n = k[keep], (last - start)[keep] + 1
+                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[keep], n)
+                    from_ = at + np.repeat(bounds[found["doc"][k]], n)
+                    yield pa.RecordBatch.from_pydict({"a": Hashes(data).of(from_, from_ + size).view(np.int64), "rid": np.repeat(own[k], n), "start": at.astype(np.int32)})
+
+        return stored(self.rows.select("rid", "text").mapInArrow(scan, "a long, rid long, start int"), "windows")
+
+    def _compared(self, wanted: DataFrame) -> DataFrame:
+        """``rid, first, last``: repeated starts among the windows of the wanted suffixes.
 
-        return self.rows.select("rid", "text").mapInArrow(scan, "a long, rid long, start int")
+        What a block's windows share occurs once: none of them repeats. All that they cover occurs twice: all do. Only
+        in between are windows compared one by one, with those of one block of each settled content they may equal.
+        """
+        marks = self._marks(wanted, ["rid", "j"])
+        blocks = self._blocks(marks)
+        self._clean()
+        several = lambda c: blocks.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(c)
+        likely = blocks.join(several("a"), "a", "left_semi").join(several("u").withColumn("all", F.lit(True)), "u", "left")
+        likely = stored(likely.select("rid", "j", "b", "first", "last", "a", "u", F.coalesce("all", F.lit(False)).alias("all")), "likely-blocks")
+        sure, open_ = likely.where("all"), likely.where("not all")
+        partners = sure.join(open_.select("a").distinct(), "a", "left_semi").groupBy("a", "u").agg(F.min(F.struct("rid", "j", "b")).alias("one")).select("one.*")
+        windows = self._windows(marks, self._marks(open_.select("rid", "j", "b").union(partners), ["rid", "j", "b"]))
+        self._clean()
+        twice = windows.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+        single = windows.join(twice, "a", "left_semi").select("rid", F.col("start").alias("first")).distinct()
+        run = Window.partitionBy("rid").orderBy("first")  # single starts become ranges before they travel on
+        runs = single.withColumn("run", F.col("first") - F.row_number().over(run)).groupBy("rid", "run").agg(F.min("first").alias("first"), F.max("first").alias("last"))
+        return sure.select("rid", "first", "last").union(runs.select("rid", "first", "last"))
 
     def starts(self) -> DataFrame:
         """``rid, first, last``: ranges of starts of repeated windows; ranges may overlap."""
@@ -282,14 +346,8 @@ class RepeatSearch:
         # Settled windows that an open one may be equal to: one anchor for each content of all its windows.
         likely = marked.where("hi >= lo and covered").join(open_.select("q").distinct(), "q", "left_semi")
         chosen = likely.groupBy("q", "w", F.col("hi") - F.col("pos"), F.col("lo") - F.col("pos")).agg(F.min(F.struct("rid", "j")).alias("one")).select("one.rid", "one.j")
-        windows = stored(self._windows(open_.select("rid", "j").union(chosen)), "windows")
-        self._clean()
-        twice = windows.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
-        single = windows.join(twice, "a", "left_semi").select("rid", F.col("start").alias("first"), F.col("start").alias("last"))
-        # Runs of single starts, made one range before they travel on.
-        run = Window.partitionBy("rid").orderBy("first")
-        single = single.distinct().withColumn("run", F.col("first") - F.row_number().over(run)).groupBy("rid", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        return marked.where("sure and last >= pos").select("rid", F.col("pos").alias("first"), "last").union(single.select("rid", "first", "last"))
+        compared = self._compared(open_.select("rid", "j").union(chosen))
+        return marked.where("sure and last >= pos").select("rid", F.col("pos").alias("first"), "last").union(compared)
 
     def _clean(self) -> None:
         """Let Spark delete shuffle files of steps that are over."""
