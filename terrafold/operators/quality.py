@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def correlation(a: str, b: str):
+    """Pearson's r over the rows that have both; null where one of them is constant."""
+    both = lambda x, y: F.when(F.col(y).isNotNull(), F.col(x))
+    return F.try_divide(F.covar_samp(a, b), F.stddev_samp(both(a, b)) * F.stddev_samp(both(b, a)))
+
+
 def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
     """``a, b, r`` of all column pairs, in one pass: the pairs are columns of one aggregate."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    wide = rows.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    wide = rows.agg(*[correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     return wide.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])))
 
 

@@ -68,7 +68,7 @@ def write_csv(parts: list[DataFrame], path: str) -> None:
 
 def geojson_features(points: DataFrame, drop: list[str] = []) -> DataFrame:
     """``value``: a GeoJSON feature a row; attributes that start with an underscore or are dropped stay out."""
-    hidden = F.map_filter("attrs", lambda k, v: ~k.startswith("_") & ~k.isin(*drop) if drop else ~k.startswith("_"))
+    hidden = F.map_filter("attrs", lambda k, v: ~k.startswith("_") & ~k.isin("ID", *drop))
     geometry = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
     return points.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.map_concat(hidden, F.create_map(F.lit("ID"), F.col("id").cast("string"))).alias("properties"))).alias("value"))
 
