@@ -1,6 +1,6 @@
 """Every query against its SQL, on the smallest tables."""
 
-import math
+from numbers import Number
 from pathlib import Path
 
 import pandas as pd
@@ -22,9 +22,9 @@ def duck():
 
 def rows(frame: pd.DataFrame) -> list[tuple]:
     def plain(v):
-        if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
+        if pd.isna(v):
             return None
-        return round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return round(float(v), 6) if isinstance(v, Number) and not isinstance(v, bool) else str(v)
 
     return sorted((tuple(plain(v) for v in r) for r in frame[sorted(frame.columns)].itertuples(index=False, name=None)), key=str)
 
