@@ -28,7 +28,7 @@ class PieceEncoder:
     """Encodes texts with a tokenizer of the tokenizers library, a piece between spaces at a time.
 
     Both public pre-tokenizers always split before a single space, and between a Latin letter and a mark of
-    ``MARKS``. So ids of a text are those of its pieces, each with its leading space, one after the other, and those of
+    ``MARKS`` (but for a dotted capital i, which lower case takes apart). So ids of a text are those of its pieces, each with its leading space, one after the other, and those of
     a word with a mark are the word's and the mark's. Each distinct piece is encoded once while it is remembered.
     Texts with two blanks in a row are encoded as a whole.
     """
@@ -78,7 +78,7 @@ class PieceEncoder:
         for at, key in enumerate(keys, self.known):
             if isinstance(key, tuple) or not key or not key.isprintable() or not self.between:
                 single.append((at, key))
-            elif key[-1] in self.mark and (word := key[:-1]).isalpha() and max(word) < "\u0250":
+            elif key[-1] in self.mark and (word := key[:-1]).isalpha() and max(word) < "\u0250" and "\u0130" not in word:
                 marked.append((at, self.numbers[word], self.mark[key[-1]]))
             else:
                 plain.append((at, key))

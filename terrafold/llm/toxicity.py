@@ -67,6 +67,8 @@ class Model:
         return sums[bounds[1:]] - sums[bounds[:-1]]
 
     def scores(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(bounds) - 1)
         return 1 / (1 + np.exp(-np.clip(features(self.evidence(hashes, bounds), np.diff(bounds)) @ self.curve, -500, 500)))
 
 
