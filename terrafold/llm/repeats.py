@@ -345,7 +345,7 @@ class RepeatSearch:
         open_ = marked.where("hi >= lo and not covered")
         # Settled windows that an open one may be equal to: one anchor for each content of all its windows.
         likely = marked.where("hi >= lo and covered").join(open_.select("q").distinct(), "q", "left_semi")
-        chosen = likely.groupBy("q", "w", F.col("hi") - F.col("pos"), F.col("lo") - F.col("pos")).agg(F.min(F.struct("rid", "j")).alias("one")).select("one.rid", "one.j")
+        chosen = likely.groupBy("w", F.col("hi") - F.col("pos"), F.col("lo") - F.col("pos")).agg(F.min(F.struct("rid", "j")).alias("one")).select("one.rid", "one.j")
         compared = self._compared(open_.select("rid", "j").union(chosen))
         return marked.where("sure and last >= pos").select("rid", F.col("pos").alias("first"), "last").union(compared)
 
