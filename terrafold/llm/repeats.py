@@ -20,7 +20,8 @@ their hashes, in blocks first and one by one where a block is undecided; so are,
 settled windows of the same class that they may be equal to. That exact step makes the result independent of where
 anchors fall.
 
-Suffixes whose shared bytes occur once in the corpus cannot be part of a repeat and are left out before the sort.
+Suffixes whose shared bytes occur once in the corpus cannot be part of a repeat; a filter leaves nearly all of them out
+before the sort.
 Texts are shuffled only if they have something to remove.
 
 Defined results: null is the empty text; texts shorter than ``size`` lose nothing; rows that repeat id and text are
@@ -44,7 +45,8 @@ from terrafold.llm.words import mixed, parts, powers
 
 REACH = 128
 GRAM = 8
-FILTER_BITS = 27
+#: Bounds of a filter's size in bits, as a power of two: 128 KB to 128 MB, whatever the number of keys.
+FILTER_BITS = (20, 30)
 #: Windows of an anchor that are judged together, by their distance to it.
 STEP = 16
 _VALUES = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -128,8 +130,12 @@ def suffixes(data: np.ndarray, bounds: np.ndarray, size: int) -> dict[str, np.nd
     return {k: v[used] for k, v in out.items()}
 
 
-def bitmap(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bit for each value of the column ``key`` modulo 2**bits: a filter of fixed size, whatever the number of keys."""
+def bitmap(keys: DataFrame, n: int) -> np.ndarray:
+    """A bit for each value of the column ``key`` modulo a power of two, about 64 bits for each of n keys, within bounds.
+
+    A filter only saves work: what passes it by chance is judged like all else.
+    """
+    bits = min(max(FILTER_BITS[0], (64 * n).bit_length()), FILTER_BITS[1])
     low = F.col("key").bitwiseAND((1 << bits) - 1)
     blocks = keys.select(low.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits")).collect()
     out = np.zeros((1 << bits) // 8, np.uint8)
@@ -189,7 +195,7 @@ class RepeatSearch:
         return stored(counted.where("n > 1").select("q"), "repeated-classes")
 
     def _suffixes(self, repeated: DataFrame) -> DataFrame:
-        size, wanted = self.size, self.spark.sparkContext.broadcast(bitmap(repeated.select(F.col("q").alias("key"))))
+        size, wanted = self.size, self.spark.sparkContext.broadcast(bitmap(repeated.select(F.col("q").alias("key")), repeated.count()))
         names = ("rid", "j", "pos", "last", "lo", "hi", "s0", "s1", "s2", "q", "h", "w")
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +209,7 @@ class RepeatSearch:
                     yield pa.RecordBatch.from_pydict({k: columns[k] for k in names})
 
         found = self.rows.select("rid", "text").mapInArrow(scan, "rid long, j int, pos int, last int, lo int, hi int, s0 long, s1 long, s2 long, q long, h long, w long")
-        return stored(found.join(repeated, "q", "left_semi"), "suffixes")
+        return stored(found, "suffixes")
 
     def _named(self, rows: DataFrame, columns: list[str], name: str) -> DataFrame:
         """Sort the distinct triples and name each by its place; ``rows`` get the name of theirs."""
@@ -258,7 +264,8 @@ class RepeatSearch:
             for batch in batches:
                 yield pa.RecordBatch.from_pydict({"key": place_key(*(batch.column(c).to_numpy() for c in columns))})
 
-        return self.spark.sparkContext.broadcast(bitmap(wanted.select(*columns).mapInArrow(number, "key long")))
+        wanted = stored(wanted.select(*columns), "wanted")
+        return self.spark.sparkContext.broadcast(bitmap(wanted.mapInArrow(number, "key long"), wanted.count()))
 
     def _blocks(self, marks) -> DataFrame:
         """The marked suffixes' windows in blocks of ``STEP`` distances to the anchor: ``rid, j, b, first, last``, with
@@ -361,7 +368,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("rid", F.xxhash64("id", "text"))
     ranges = stored(RepeatSearch(rows.select("rid", "text"), size).starts().groupBy("rid").agg(
         F.collect_list(F.struct("first", "last")).alias("ranges")), "repeat-ranges")
-    touched = docs.sparkSession.sparkContext.broadcast(bitmap(ranges.select(F.col("rid").alias("key"))))
+    touched = docs.sparkSession.sparkContext.broadcast(bitmap(ranges.select(F.col("rid").alias("key")), ranges.count()))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
