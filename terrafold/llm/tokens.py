@@ -9,8 +9,8 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Pieces that are remembered; beyond either bound the memory starts anew.
-MOST_PIECES = 600_000
-MOST_PIECE_CHARS = 30_000_000
+MOST_PIECES = 1_000_000
+MOST_PIECE_CHARS = 50_000_000
 
 _RUN = re.compile(r"\s\s")
 _ENCODERS: dict[str, "PieceEncoder"] = {}
