@@ -28,7 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def workers(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package from any working directory."""
+    """Let Python workers of a local session import this package from any working directory, and hand them whole texts
+    in batches of at most 2000 rows, so that a batch of long texts stays small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:

@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterable
 
 import numpy as np
 
 #: Pieces that are remembered; beyond either bound the memory starts anew.
-MOST_PIECES = 1_000_000
-MOST_PIECE_CHARS = 50_000_000
+MOST_PIECES = 600_000
+MOST_PIECE_CHARS = 30_000_000
 
-_RUN = re.compile(r"\s\s")
+#: Blanks other than space and line end; texts that have one are encoded as a whole, too.
+_BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
 
+def _has_run(text: str) -> bool:
+    """Whether a space may have a blank on either side; these searches are much faster than a pattern's."""
+    return "  " in text or "\n" in text and ("\n " in text or " \n" in text) or any(c in text for c in _BLANKS)
+
+
 class _Numbered(dict):
     """Numbers its keys in order of first look-up."""
 
@@ -114,7 +119,7 @@ class PieceEncoder:
         """All ids one after the other, and the number of ids of each text."""
         if len(self.numbers) > MOST_PIECES or self.chars > MOST_PIECE_CHARS:
             self._forget()
-        whole = [i for i, t in enumerate(texts) if _RUN.search(t)]
+        whole = [i for i, t in enumerate(texts) if _has_run(t)]
         direct = dict(zip(whole, self._ids([texts[i] for i in whole]))) if whole else {}
         number, found, pieces_of = self.numbers.__getitem__, [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
