@@ -69,3 +69,32 @@ def two_step(types: Column, absence: Column, threshold: Column | float | None) -
         return F.when(best > absence, kind).otherwise(F.lit(0))
     t = threshold if isinstance(threshold, Column) else F.lit(threshold)
     return F.when(total >= t.cast("float"), kind).otherwise(F.lit(0))
+
+
+def purity(green: Column, cut: Column | float, by_water: Column) -> Column:
+    """Pure at or above the cut of greenness, else mixed with water where water is next to it, else with rock."""
+    c = cut if isinstance(cut, Column) else F.lit(cut)
+    return F.when(green >= c, F.lit("pure")).when(F.coalesce(by_water, F.lit(False)), F.lit("mixed-water")).when(green.isNotNull(), F.lit("mixed-rock"))
+
+
+def median_or(rows: DataFrame, value: str, least: int = 5, default: float = 0.60) -> DataFrame:
+    """The median of a column, or the default with fewer than ``least`` values."""
+    return rows.agg(F.when(F.count(value) >= least, F.median(value)).otherwise(F.lit(default)).alias("cut"))
+
+
+def water_override(code: Column, best: Column, absent: Column, water: Column) -> tuple[Column, Column]:
+    """Class and its probability; open water is absence, with the probability of absence."""
+    over = F.coalesce(water, F.lit(False)) & (code != 0)
+    return F.when(over, F.lit(0)).otherwise(code), F.when(over, absent).otherwise(best)
+
+
+def pattern(green: Column, rock: Column, texture: Column) -> Column:
+    """Signature of an image patch from its shares of green and rock and its roughness."""
+    return (F.when((green >= 0.5) & (texture < 0.3), F.lit("MEADOW")).when((green >= 0.3) & (texture >= 0.3), F.lit("SHRUB")).when(rock >= 0.5, F.lit("ROCK")).otherwise(F.lit("MIXED")))
+
+
+def review_summary(rows: DataFrame, levels: list[str]) -> DataFrame:
+    """For each level how many rows were reviewed, and how many of those differ from the rule."""
+    each = F.array(*[F.struct(F.lit(x).alias("level"), F.col(f"{x}_reviewed").alias("reviewed"), F.col(f"{x}_rule").alias("rule")) for x in levels])
+    return rows.select(F.inline(each)).groupBy("level").agg(
+        F.count("reviewed").alias("reviewed"), F.count_if(F.col("reviewed").isNotNull() & (F.col("reviewed") != F.col("rule"))).alias("corrected"))

@@ -133,3 +133,20 @@ def texture(pixels: DataFrame, level: str, levels: int = 32) -> DataFrame:
 
 def flag_water(ndwi: Column, slope: Column, least: float = 0.05, flat: float = 15.0) -> Column:
     return F.coalesce((ndwi > least) & (slope < flat), F.lit(False))
+
+
+def useful_blocks(pixels: DataFrame, allowed: Column, size: int = 256) -> DataFrame:
+    """Blocks with at least one allowed pixel, and whether all of their pixels are."""
+    seen = pixels.groupBy(*block_of(size)).agg(F.count_if(allowed).alias("n_allowed"), F.count(F.lit(1)).alias("n"))
+    return seen.where("n_allowed > 0").withColumn("whole", F.col("n_allowed") == F.col("n"))
+
+
+def viewport(screen: DataFrame, pixels: DataFrame, value: str) -> DataFrame:
+    """Screen cells (sx, sy, row, col as fractions) with the nearest pixel's value."""
+    near = screen.withColumns({"row": F.floor("row").cast("int"), "col": F.floor("col").cast("int")})
+    return near.join(pixels.select("row", "col", value), ["row", "col"], "left").select("sx", "sy", value)
+
+
+def compared(samples_: DataFrame, mapped: DataFrame, real: str, code: str) -> DataFrame:
+    """Counts of sample class against map class at the samples' pixels; null where the map has none."""
+    return samples_.join(mapped.select("row", "col", code), ["row", "col"], "left").groupBy(real, code).agg(F.count(F.lit(1)).alias("n"))

@@ -151,3 +151,21 @@ def bands(rows: DataFrame, value: str, n: int, per_band: int, order: list[Column
     band = F.least(F.floor((F.col(value) - low) * n / ((high - low) or 1.0)), F.lit(n - 1)).cast("int")
     ranked = rows.withColumn("band", band).withColumn("rank_", F.row_number().over(Window.partitionBy("band").orderBy(*order)))
     return ranked.where(F.col("rank_") <= per_band).drop("rank_")
+
+
+def nearest_segment(points: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
+    """``from_id, d``: distance to the nearest segment within reach, else null.
+
+    A segment goes to all cells of its box, widened by the reach, whose size is the reach; points to their own cell.
+    """
+    cells = lambda lo, hi: F.sequence(F.floor((lo - reach) / reach), F.floor((hi + reach) / reach))
+    dealt = segments.withColumn("cx", F.explode(cells(F.least("ax", "bx"), F.greatest("ax", "bx")))).withColumn("cy", F.explode(cells(F.least("ay", "by"), F.greatest("ay", "by"))))
+    met = points.select("from_id", "x", "y", *_cells(reach)).join(dealt, ["cx", "cy"], "left")
+    d = segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    return met.groupBy("from_id").agg(F.min(F.when(d <= reach, d)).alias("d"))
+
+
+def nearest_to(points: DataFrame, x: float, y: float, tolerance: float) -> DataFrame:
+    """The point nearest to a place, if within the tolerance; the smallest id of equals."""
+    d = F.hypot(F.col("x") - x, F.col("y") - y)
+    return points.withColumn("d", d).where(F.col("d") <= tolerance).orderBy("d", "from_id").limit(1)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.functions import geo, labels
-from terrafold.operators import decisions, evaluation, hydrology, labelling, observations, profiles, quality, raster, samples, spatial, training
+from terrafold.operators import decisions, evaluation, hydrology, labelling, observations, profiles, quality, raster, samples, sequences, spatial, training
 from terrafold.plans import views
 from terrafold.plans.views import OBSERVATIONS, PIXELS, POINTS, PREDICTORS, SCENES, SCORED, TRUTH
 from terrafold.sources.tables import table
@@ -487,3 +487,155 @@ def forest_cv_metrics(spark, sf_dir):
 def inflation_factors(spark, sf_dir):
     values = quality.inflation(views.predictors(spark, sf_dir), PS)
     return spark.createDataFrame([(k, float(v)) for k, v in values.items()], "column string, vif double")
+
+
+# More of the same families
+
+@query(POINTS, f"s(ax, ay, bx, b_y) AS (VALUES (500.0, 100.0, 15000.0, 900.0), (15000.0, 900.0, 15000.0, 1500.0))", """l AS (SELECT *, (bx - ax) ** 2 + (b_y - ay) ** 2 AS len FROM s),
+d AS (SELECT point_id, sqrt((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (b_y - ay)) ** 2) AS d FROM (SELECT *, least(greatest(((x - ax) * (bx - ax) + (y - ay) * (b_y - ay)) / len, 0), 1) AS t FROM points, l))""",
+       "SELECT point_id, round(min(d) FILTER (WHERE d <= 400), 6) + 0.0 AS d FROM d GROUP BY 1")
+def stream_distance(spark, sf_dir):
+    lines = spark.createDataFrame([(500.0, 100.0, 15000.0, 900.0), (15000.0, 900.0, 15000.0, 1500.0)], "ax double, ay double, bx double, by double")
+    p = views.points(spark, sf_dir).select(F.col("point_id").alias("from_id"), "x", "y")
+    return six(spatial.nearest_segment(p, lines, 400.0).withColumnRenamed("from_id", "point_id"), "d")
+
+
+@query(POINTS, "SELECT point_id FROM points WHERE sqrt((x - 7000.0) ** 2 + (y - 300.0) ** 2) <= 500 ORDER BY sqrt((x - 7000.0) ** 2 + (y - 300.0) ** 2), point_id LIMIT 1")
+def nearest_click(spark, sf_dir):
+    p = views.points(spark, sf_dir).select(F.col("point_id").alias("from_id"), "x", "y")
+    return spatial.nearest_to(p, 7000.0, 300.0, 500.0).select(F.col("from_id").alias("point_id"))
+
+
+@query(POINTS, "SELECT point_id, 'cell_' || round_even(x / 500.0, 0)::BIGINT || '_' || round_even(y / 500.0, 0)::BIGINT AS zone FROM points")
+def spatial_zones(spark, sf_dir):
+    return views.points(spark, sf_dir).select("point_id", geo.degree_cell(F.col("x"), F.col("y"), 500.0).alias("zone"))
+
+
+@query(POINTS, PIXELS, 'SELECT p.point_id, code, round(value, 6) + 0.0 AS value FROM points p LEFT JOIN px ON px.row = (p.point_id % 60)::INTEGER AND px.col = (p.point_id % 53)::INTEGER')
+def cell_lookup(spark, sf_dir):
+    p = views.points(spark, sf_dir).select("point_id", (F.col("point_id") % 60).cast("int").alias("row"), (F.col("point_id") % 53).cast("int").alias("col"))
+    return six(spatial.cell_lookup(p, views.pixels(spark, sf_dir).select("row", "col", "code", "value")).select("point_id", "code", "value"), "value")
+
+
+@query(POINTS, PIXELS, "SELECT p.point_id, round(avg(value), 6) + 0.0 AS mean, count(value) AS n_valid FROM points p LEFT JOIN px ON abs(px.row - p.point_id % 60) <= 2 AND abs(px.col - p.point_id % 53) <= 2 GROUP BY 1")
+def window_mean(spark, sf_dir):
+    p = views.points(spark, sf_dir).select(F.col("point_id").alias("from_id"), (F.col("point_id") % 60).cast("int").alias("row"), (F.col("point_id") % 53).cast("int").alias("col"))
+    return six(spatial.neighbourhood(p, views.pixels(spark, sf_dir), 2, "value").withColumnRenamed("from_id", "point_id"), "mean")
+
+
+@query(POINTS, PIXELS, "SELECT (p.point_id % 4)::INTEGER AS real, code, count(*) AS n FROM points p LEFT JOIN px ON px.row = p.point_id % 60 AND px.col = p.point_id % 53 GROUP BY ALL")
+def sample_against_map(spark, sf_dir):
+    p = views.points(spark, sf_dir).select((F.col("point_id") % 4).cast("int").alias("real"), (F.col("point_id") % 60).cast("int").alias("row"), (F.col("point_id") % 53).cast("int").alias("col"))
+    return raster.compared(p, views.pixels(spark, sf_dir), "real", "code")
+
+
+@query(PIXELS, "SELECT (row // 8)::INTEGER AS block_row, (col // 8)::INTEGER AS block_col, count(*) FILTER (WHERE value < 0.1 OR row < 8) AS n_allowed, count(*) AS n, count(*) FILTER (WHERE value < 0.1 OR row < 8) = count(*) AS whole FROM px GROUP BY 1, 2 HAVING count(*) FILTER (WHERE value < 0.1 OR row < 8) > 0")
+def useful_blocks(spark, sf_dir):
+    return raster.useful_blocks(views.pixels(spark, sf_dir), (F.col("value") < 0.1) | (F.col("row") < 8), 8)
+
+
+@query(PIXELS, 's AS (SELECT a::INTEGER AS sx, b::INTEGER AS sy FROM range(20) x(a), range(20) y(b))', "SELECT sx, sy, code FROM s LEFT JOIN px ON px.row = floor(sy * 2.7) AND px.col = floor(sx * 2.7)")
+def viewport(spark, sf_dir):
+    screen = raster.grid_pixels(spark, 20, 20).select(F.col("col").alias("sx"), F.col("row").alias("sy"), (F.col("row") * 2.7).alias("row"), (F.col("col") * 2.7).alias("col"))
+    return raster.viewport(screen, views.pixels(spark, sf_dir), "code")
+
+
+@query(OBSERVATIONS, "y AS (SELECT DISTINCT point_id, year::INTEGER AS year FROM obs), i AS (SELECT point_id, year, year - row_number() OVER (PARTITION BY point_id ORDER BY year) AS g FROM y), r AS (SELECT point_id, min(year) AS a, max(year) AS b FROM i GROUP BY point_id, g)",
+       "SELECT point_id, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) AS years FROM r GROUP BY 1")
+def year_ranges(spark, sf_dir):
+    return sequences.year_ranges(views.observations(spark, sf_dir), "point_id", "year")
+
+
+@query(SCENES, "SELECT point_id, value FROM (SELECT point_id, value, row_number() OVER (PARTITION BY point_id ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY point_id) AS n FROM scenes) WHERE r = n // 2")
+def upper_median(spark, sf_dir):
+    return sequences.upper_median(views.scenes(spark, sf_dir), ["point_id"], "value")
+
+
+@query(SCENES, "h AS (SELECT day(ts) AS i, count(DISTINCT point_id) AS n FROM scenes GROUP BY 1), d AS (SELECT i, n, n - coalesce(lag(n) OVER (ORDER BY i), 0) AS n_new FROM h)", "SELECT i, n, n_new, n_new = 0 AS converged FROM d")
+def iteration_deltas(spark, sf_dir):
+    history = views.scenes(spark, sf_dir).groupBy(F.dayofmonth("ts").cast("long").alias("i")).agg(F.countDistinct("point_id").alias("n"))
+    return sequences.deltas(history, "i", "n")
+
+
+@query("b AS (SELECT p_brand AS brand, p_partkey AS id, p_retailprice AS price, p_size AS size FROM part)", "SELECT brand, id FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY size DESC, price DESC, id) AS r FROM b) WHERE r = 1")
+def best_candidate(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"))
+    return sequences.top_by(rows, ["brand"], "id", [F.col("size"), F.col("price")]).select("brand", "id")
+
+
+@query("SELECT p_partkey, p_type AS kind, CASE WHEN length(p_name) > 3 THEN substr(p_name, (SELECT coalesce(max(i), 0) FROM range(1, 60) r(i), (SELECT min(p_name) AS lo, max(p_name) AS hi FROM part) WHERE i <= length(lo) AND left(lo, i) = left(hi, i)) + 1) ELSE p_name END AS short FROM part")
+def shortened_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("kind"), "p_name")
+    return sequences.shortened(rows, "p_name", 3).select("p_partkey", "kind", "short")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, kind FROM (SELECT *, lag(n_regionkey) OVER (ORDER BY n_regionkey, n_nationkey) IS DISTINCT FROM n_regionkey AS s FROM nation), (VALUES ('title'), ('entry')) k(kind) WHERE s OR kind = 'entry'")
+def legend_rows(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").withColumn("place", F.col("n_regionkey") * 1000 + F.col("n_nationkey"))
+    return sequences.legend(nations, "place", "n_regionkey").select("n_nationkey", "n_name", "n_regionkey", "kind")
+
+
+@query(PREDICTORS, "c AS (SELECT quantile_cont(p1, 0.15) AS g, quantile_cont(p2, 0.85) AS r, quantile_cont(p4, 0.85) AS w FROM tab)",
+       "SELECT vec_id, CASE WHEN p4 >= w AND p1 <= g THEN 'mixed-water' WHEN p2 >= r AND p1 <= g THEN 'mixed-rock' ELSE 'pure' END AS purity FROM tab, c")
+def purity_population(spark, sf_dir):
+    return decisions.purity_by_population(views.predictors(spark, sf_dir), "p1", "p2", "p4").select("vec_id", "purity")
+
+
+@query(PREDICTORS, "m AS (SELECT CASE WHEN count(p1) FILTER (code = 1) >= 5 THEN median(p1) FILTER (code = 1) ELSE 0.6 END AS cut FROM tab)",
+       "SELECT vec_id, CASE WHEN p1 >= cut THEN 'pure' WHEN p2 > 0.5 THEN 'mixed-water' WHEN p1 IS NOT NULL THEN 'mixed-rock' END AS purity FROM tab, m")
+def purity_by_cut(spark, sf_dir):
+    t = views.predictors(spark, sf_dir)
+    cut = decisions.median_or(t.where("code = 1"), "p1")
+    return t.crossJoin(F.broadcast(cut)).select("vec_id", decisions.purity(F.col("p1"), F.col("cut"), F.col("p2") > 0.5).alias("purity"))  # one row
+
+
+TYPES = """t AS (SELECT p1, p2, p4, p5, p6, vec_id, CASE WHEN abs(p1) * 400 < 120 THEN 'lake' WHEN p2 > 0.05 AND abs(p4) < 0.12 THEN 'lake' WHEN abs(p5) * 200 < 30 THEN 'stream' WHEN p6 * 40 > 6.5 THEN 'stream' WHEN abs(p4) * 50 < 7 THEN 'stream' ELSE 'slope' END AS setting,
+ CASE WHEN p2 > 0.10 THEN 'wet' ELSE 'dry' END AS wetness FROM tab), w AS (SELECT *, CASE vec_id % 6 WHEN 0 THEN 'lake' WHEN 1 THEN 'river' WHEN 2 THEN 'slope' END AS reviewed FROM t)"""
+
+
+def _typed(spark, sf_dir):
+    t = views.predictors(spark, sf_dir)
+    p = {c: F.col(c) for c in PS}
+    setting = decisions.setting(F.abs(p["p1"]) * 400, p["p2"], F.abs(p["p4"]), F.abs(p["p5"]) * 200, p["p6"] * 40, F.abs(p["p4"]) * 50)
+    k = F.col("vec_id") % 6
+    reviewed = F.when(k == 0, F.lit("lake")).when(k == 1, F.lit("river")).when(k == 2, F.lit("slope"))
+    rows = t.select("vec_id", setting.alias("setting"), decisions.wetness(p["p2"], p["p6"]).alias("wetness"), reviewed.alias("setting_reviewed"))
+    return decisions.with_review(rows, {"setting": ("lake", "stream", "slope")})
+
+
+@query(PREDICTORS, TYPES, "SELECT vec_id, CASE WHEN reviewed IN ('lake', 'slope') THEN reviewed ELSE setting END AS setting, setting AS setting_rule, coalesce(reviewed = 'river', false) AS setting_invalid, wetness FROM w")
+def typology(spark, sf_dir):
+    return _typed(spark, sf_dir).select("vec_id", "setting", "setting_rule", F.coalesce("setting_invalid", F.lit(False)).alias("setting_invalid"), "wetness")
+
+
+@query(PREDICTORS, TYPES, "SELECT 'setting' AS level, count(reviewed) AS reviewed, count(*) FILTER (WHERE reviewed <> setting) AS corrected FROM w")
+def review_summary(spark, sf_dir):
+    return decisions.review_summary(_typed(spark, sf_dir), ["setting"])
+
+
+@query(PIXELS, "SELECT row AS \"row\", col, CASE WHEN water AND code <> 0 THEN 0 ELSE code END AS code, round(CASE WHEN water AND code <> 0 THEN 1 - value ELSE value END, 6) + 0.0 AS best FROM px")
+def lake_override(spark, sf_dir):
+    px = views.pixels(spark, sf_dir)
+    code, best = decisions.water_override(F.col("code"), F.col("value"), 1 - F.col("value"), F.col("water"))
+    return six(px.select("row", "col", code.alias("code"), best.alias("best")), "best")
+
+
+@query(POINTS, "SELECT point_id FROM points WHERE point_id % 3 <> 0")
+def missing_reads(spark, sf_dir):
+    from terrafold.sources.points import read_missing
+
+    p = views.points(spark, sf_dir).select("point_id")
+    return read_missing(p, p.where("point_id % 3 = 0"), ["point_id"])
+
+
+@query()
+def filled_surface(spark, sf_dir):
+    """Depressions of the grid filled until every cell drains to the edge."""
+    px = views.pixels(spark, sf_dir).withColumn("z", F.when((F.col("row") % 12 == 5) & (F.col("col") % 10 == 4), F.col("z") - 40).otherwise(F.col("z")))
+    return six(hydrology.filled(px), "z")
+
+
+@query()
+def spaced_points(spark, sf_dir):
+    """A maximal subset of uniform points that keep a distance."""
+    return six(spatial.spaced(spatial.uniform_in_box(spark, 2000, (0.0, 0.0, 1000.0, 1000.0), 42), 40.0), "x", "y")
