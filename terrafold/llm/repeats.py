@@ -31,6 +31,7 @@ repeats of each other; an empty table gives an empty result. Equality of strings
 from __future__ import annotations
 
 import gc
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,7 @@ GRAM = 8
 FILTER_BITS = (20, 30)
 #: Windows of an anchor that are judged together, by their distance to it.
 STEP = 16
+_SPREAD, _LITTLE = np.uint64(0x9E3779B97F4A7C15), sys.byteorder == "little"
 _VALUES = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
@@ -74,24 +76,29 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for step in (1, 2, 4):
         gram = gram[:-step] | gram[step:] << np.uint64(8 * step)
     low = np.uint64(0xFFFFFFFF)
-    key = mixed(gram) & ~low | low - np.arange(len(gram), dtype=np.uint64)
-    step = 1
+    gram *= _SPREAD  # the upper half is the hash; the lower half becomes the place, counted down, so that the last of equals wins
+    gram |= low
+    gram -= np.arange(len(gram), dtype=np.uint64)
+    key, step = gram, 1
     while step < REACH:
         key = np.minimum(key[:-step], key[step:])
         step *= 2
-    valid = np.zeros(n + 1, np.int32)
-    long = np.diff(bounds) >= span
-    np.add.at(valid, bounds[:-1][long], 1)
-    np.add.at(valid, bounds[1:][long] - span + 1, -1)
-    starts = np.flatnonzero(np.cumsum(valid[: len(key)]) > 0)
-    at = (low - (key[starts] & low)).astype(np.int64)
-    if not len(at):
-        return at, at, at
-    first = np.flatnonzero(np.diff(at, prepend=-1) != 0)
-    return at[first], starts[first], starts[np.append(first[1:], len(at)) - 1]
-
-
-def suffixes(data: np.ndarray, bounds: np.ndarray, size: int) -> dict[str, np.ndarray]:
+    at = ~key.view(np.uint32)[:: 2] if _LITTLE else ~key.astype(np.uint32)
+    # Runs of window starts with one anchor, cut at the starts of texts and held within each text.
+    begin, last = bounds[:-1], bounds[1:] - span
+    long = last >= begin
+    begin, last = begin[long], last[long]
+    if not len(begin):
+        return (np.empty(0, np.int64),) * 3
+    first = np.union1d(np.flatnonzero(at[1:] != at[:-1]) + 1, begin)
+    text = np.searchsorted(begin, first, "right") - 1
+    end = np.minimum(np.append(first[1:] - 1, len(at) - 1), last[text])
+    keep = (text >= 0) & (end >= first)
+    first, end = first[keep], end[keep]
+    return at[first].astype(np.int64), first, end
+
+
+def suffixes(data: np.ndarray, bounds: np.ndarray, size: int, hashes: Hashes | None = None) -> dict[str, np.ndarray]:
     """All suffix starts of texts of at least ``size`` bytes, with positions relative to their text.
 
     ``q`` is the hash of what all windows of the anchor share, as whole phrases; ``h`` that of the compared prefix, which
@@ -113,7 +120,7 @@ def suffixes(data: np.ndarray, bounds: np.ndarray, size: int) -> dict[str, np.nd
     after = np.append(pos[1:], -1)
     same = np.append(doc[1:] == doc[:-1], False)[: len(pos)]
     after = np.where(same, after, end)
-    hashes = Hashes(data)
+    hashes = hashes or Hashes(data)
     sym = hashes.of(pos, after)
     chain = [sym]
     for k in (1, 2):
@@ -276,12 +283,13 @@ class RepeatSearch:
             for batch in batches:
                 rid = batch.column("rid").to_numpy()
                 for first, data, bounds in parts(batch.column("text")):
-                    found = suffixes(data, bounds, size)
+                    hashes = Hashes(data)
+                    found = suffixes(data, bounds, size, hashes)
                     own = rid[first + found["doc"]]
                     k, b, start, last = block_ranges(found, has_bits(marks.value, place_key(own, found["j"])))
                     if not len(k):
                         continue
-                    hashes, base, x = Hashes(data), bounds[found["doc"][k]], found["pos"][k] + bounds[found["doc"][k]]
+                    base, x = bounds[found["doc"][k]], found["pos"][k] + bounds[found["doc"][k]]
                     a = mixed(hashes.of(x - STEP * b, x - STEP * b - STEP + 1 + size) + b.astype(np.uint64))
                     whole = last - start == STEP - 1
                     u = np.zeros(len(k), np.uint64)
@@ -299,7 +307,8 @@ class RepeatSearch:
             for batch in batches:
                 rid = batch.column("rid").to_numpy()
                 for first, data, bounds in parts(batch.column("text")):
-                    found = suffixes(data, bounds, size)
+                    hashes = Hashes(data)
+                    found = suffixes(data, bounds, size, hashes)
                     own = rid[first + found["doc"]]
                     k, b, start, last = block_ranges(found, has_bits(marks.value, place_key(own, found["j"])))
                     keep = has_bits(block_marks.value, place_key(own[k], found["j"][k], b))
@@ -308,7 +317,7 @@ class RepeatSearch:
                     k, n = k[keep], (last - start)[keep] + 1
                     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[keep], n)
                     from_ = at + np.repeat(bounds[found["doc"][k]], n)
-                    yield pa.RecordBatch.from_pydict({"a": Hashes(data).of(from_, from_ + size).view(np.int64), "rid": np.repeat(own[k], n), "start": at.astype(np.int32)})
+                    yield pa.RecordBatch.from_pydict({"a": hashes.of(from_, from_ + size).view(np.int64), "rid": np.repeat(own[k], n), "start": at.astype(np.int32)})
 
         return stored(self.rows.select("rid", "text").mapInArrow(scan, "a long, rid long, start int"), "windows")
 
@@ -321,14 +330,15 @@ class RepeatSearch:
         marks = self._marks(wanted, ["rid", "j"])
         blocks = self._blocks(marks)
         self._clean()
-        several = lambda c: blocks.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(c)
+        # Stored, so that a join with them is of two plain exchanges, whose hot keys Spark splits.
+        several = lambda c: stored(blocks.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(c), "several")
         likely = blocks.join(several("a"), "a", "left_semi").join(several("u").withColumn("all", F.lit(True)), "u", "left")
         likely = stored(likely.select("rid", "j", "b", "first", "last", "a", "u", F.coalesce("all", F.lit(False)).alias("all")), "likely-blocks")
         sure, open_ = likely.where("all"), likely.where("not all")
-        partners = sure.join(open_.select("a").distinct(), "a", "left_semi").groupBy("a", "u").agg(F.min(F.struct("rid", "j", "b")).alias("one")).select("one.*")
+        partners = sure.join(stored(open_.select("a").distinct(), "open-blocks"), "a", "left_semi").groupBy("a", "u").agg(F.min(F.struct("rid", "j", "b")).alias("one")).select("one.*")
         windows = self._windows(marks, self._marks(open_.select("rid", "j", "b").union(partners), ["rid", "j", "b"]))
         self._clean()
-        twice = windows.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+        twice = stored(windows.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"), "twice")
         single = windows.join(twice, "a", "left_semi").select("rid", F.col("start").alias("first")).distinct()
         run = Window.partitionBy("rid").orderBy("first")  # single starts become ranges before they travel on
         runs = single.withColumn("run", F.col("first") - F.row_number().over(run)).groupBy("rid", "run").agg(F.min("first").alias("first"), F.max("first").alias("last"))
@@ -351,7 +361,7 @@ class RepeatSearch:
         marked = stored(step.select("rid", "j", "pos", "last", "lo", "hi", "q", "w", "sure", covered.alias("covered")), "marked")
         open_ = marked.where("hi >= lo and not covered")
         # Settled windows that an open one may be equal to: one anchor for each content of all its windows.
-        likely = marked.where("hi >= lo and covered").join(open_.select("q").distinct(), "q", "left_semi")
+        likely = marked.where("hi >= lo and covered").join(stored(open_.select("q").distinct(), "open-classes"), "q", "left_semi")
         chosen = likely.groupBy("w", F.col("hi") - F.col("pos"), F.col("lo") - F.col("pos")).agg(F.min(F.struct("rid", "j")).alias("one")).select("one.rid", "one.j")
         compared = self._compared(open_.select("rid", "j").union(chosen))
         return marked.where("sure and last >= pos").select("rid", F.col("pos").alias("first"), "last").union(compared)
