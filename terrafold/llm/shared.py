@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -22,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if found := spark.sparkContext.getCheckpointDir():
         return found
-    folder = "file://" + tempfile.mkdtemp(prefix="terrafold-")
+    own = tempfile.mkdtemp(prefix="terrafold-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    folder = f"file://{own}"
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
