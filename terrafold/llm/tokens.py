@@ -8,8 +8,8 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Pieces that are remembered; beyond either bound the memory starts anew.
-MOST_PIECES = 800_000
-MOST_PIECE_CHARS = 40_000_000
+MOST_PIECES = 700_000
+MOST_PIECE_CHARS = 35_000_000
 
 #: Blanks other than space and line end; texts that have one are encoded as a whole, too.
 _BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
