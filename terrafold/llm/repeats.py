@@ -225,8 +225,13 @@ class RepeatSearch:
         return rows.join(names, columns)
 
     def _adjacent(self, rows: DataFrame, keys: list[str]) -> DataFrame:
-        """``rid, j`` of the suffixes whose prefix equals a neighbour's in the order of ``keys``."""
-        ranged = rows.select("rid", "j", "h", *keys).repartitionByRange(*keys, "h").sortWithinPartitions(*keys, "h")
+        """``rid, j`` of the suffixes whose prefix equals a neighbour's in the order of ``keys``.
+
+        Place is the last key, so a prefix that very many texts share spreads over several ranges. A suffix whose only equal
+        neighbour lies in another range is left to the exact step.
+        """
+        order = [*keys, "h", "rid", "j"]
+        ranged = rows.select("rid", "j", "h", *keys).repartitionByRange(*order).sortWithinPartitions(*order)
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before = None  # (rid, j, h, settled) of the last row so far
