@@ -6,8 +6,10 @@ of the other lengths (bit s: some choice sums to s; a length with count c enters
 finds the choice that fills the window closest to its capacity; walking back through the bitsets gives the count of
 each length, and that pattern is used as often as the counts allow.
 
-While more documents follow, a window that can't be filled wholly waits for them. What is left at the end of a task is
-cut: pieces are laid one after the other, and the last, partial window is cut at powers of two, which take no padding.
+A remainder that no choice completes to a whole window is set aside and the next largest opens a window, until none is
+left. While more documents follow, what was set aside waits for them. At the end of a task, or where ``pool`` remainders
+wait, the largest opens a window, the choice closest to its capacity goes in, and only the gap is cut from the largest
+of the others, whose rest is packed on. The last, partial window is cut at powers of two, which take no padding.
 
 Defined results: null text is empty and gives its end id alone; repeated rows are packed each for itself; null ids stay
 null; an empty table gives no pieces. Memory is bounded by ``pool`` remainders and one batch of texts.
@@ -51,9 +53,10 @@ def fill(counts: dict[int, int], lengths: list[int], capacity: int) -> dict[int,
 
 
 def patterns(counts: dict[int, int], capacity: int, slack: int = 0) -> Iterator[tuple[dict[int, int], int]]:
-    """Windows as (count of each length, how often), largest remainder first, until one would have more slack than allowed.
+    """Windows as (count of each length, how often), largest remainder first; a length is passed over where its window
+    would have more slack than allowed.
 
-    ``counts`` is used up as they come.
+    Counts only fall, so such a length can't open a window later either. ``counts`` is used up as they come.
     """
     lengths = sorted(counts, reverse=True)
     while lengths:
@@ -64,7 +67,8 @@ def patterns(counts: dict[int, int], capacity: int, slack: int = 0) -> Iterator[
         counts[largest] += 1
         window[largest] = window.get(largest, 0) + 1
         if capacity - sum(length * n for length, n in window.items()) > slack:
-            return
+            lengths = lengths[1:]
+            continue
         times = min(counts[length] // n for length, n in window.items())
         for length, n in window.items():
             counts[length] -= n * times
@@ -110,19 +114,26 @@ class Packer:
             self.close(partial=False)
 
     def close(self, partial: bool = True) -> None:
-        """Lay what is left one after the other and cut it at windows; the last is cut at powers of two."""
+        """Fill windows as closely as can be and cut one piece at the gap of each; the last window is cut at powers of two."""
         if partial:
             self.pack()
-        window, room = [], self.capacity
-        rest = [piece for length in sorted(self.by_length, reverse=True) for piece in self.by_length[length]]
+        held = sum(length * len(x) for length, x in self.by_length.items())
+        while held >= self.capacity:
+            counts = {length: len(x) for length, x in self.by_length.items() if x}
+            lengths = sorted(counts, reverse=True)
+            room = self.capacity - lengths[0]
+            counts[lengths[0]] -= 1
+            chosen = fill(counts, [x for x in lengths if x <= room and counts[x] > 0], room)
+            window = [self.by_length[length].pop() for length, n in ((lengths[0], 1), *chosen.items()) for _ in range(n)]
+            gap = room - sum(length * n for length, n in chosen.items())
+            if gap:  # all that is left is longer than the gap, or it would be in it
+                doc, start, ids, n = self.by_length[max(length for length in lengths if self.by_length[length])].pop()
+                window.append((doc, start, ids[:gap], n))
+                self.by_length[len(ids) - gap].append((doc, start + gap, ids[gap:], n))
+            self._window(window)
+            held -= self.capacity
+        window = [piece for length in sorted(self.by_length, reverse=True) for piece in self.by_length[length]]
         self.by_length, self.held = defaultdict(list), 0
-        for doc, start, ids, n in rest:
-            while len(ids) >= room:
-                self._window([*window, (doc, start, ids[:room], n)])
-                start, ids, window, room = start + room, ids[room:], [], self.capacity
-            if len(ids):
-                window.append((doc, start, ids, n))
-                room -= len(ids)
         if not partial:
             for piece in window:
                 self.by_length[len(piece[2])].append(piece)

@@ -301,6 +301,37 @@ def test_fill_is_the_closest_multiset():
         assert sum(x * n for x, n in got.items()) == best and all(n <= counts[x] for x, n in got.items())
 
 
+def test_a_remainder_without_complement_does_not_end_packing():
+    counts = {2043: 1, 1024: 4, 600: 3, 424: 2}
+    assert list(packing.patterns(counts, 2048)) == [({1024: 2}, 2), ({600: 2, 424: 2}, 1)] and counts == {2043: 1, 1024: 0, 600: 1, 424: 0}
+    windows = defaultdict(list)
+    packer = packing.Packer(2048, 0, lambda doc, start, ids, n, seq, offset: windows[seq].append((doc, start, len(ids), n)), 8192)
+    for doc, n in enumerate((2043, 1024, 600, 424, 1024, 600, 424, 1024, 600, 1024)):
+        packer.add(doc, np.zeros(n, np.int64))
+    packer.close()
+    cut = {doc for pieces in windows.values() for doc, _, length, n in pieces if length < n}
+    assert len(cut) == 1
+
+
+def test_only_gaps_are_cut():
+    rng = np.random.default_rng(5)
+    for pool in (3, 8192):
+        windows = []
+        packer = packing.Packer(64, 0, lambda doc, start, ids, n, seq, offset: windows.append((seq, offset, doc, start, ids)), pool)
+        sizes = [int(x) for x in rng.integers(1, 150, 300)]
+        for doc, n in enumerate(sizes):
+            packer.add(doc, np.arange(n) + 1000 * doc)
+        packer.close()
+        for doc, n in enumerate(sizes):
+            pieces = sorted((start, ids.tolist()) for _, _, d, start, ids in windows if d == doc)
+            assert [x for _, ids in pieces for x in ids] == list(range(1000 * doc, 1000 * doc + n)) and all(ids[0] == 1000 * doc + start for start, ids in pieces)
+        used = Counter()
+        for seq, offset, _, _, ids in windows:
+            assert offset == used[seq]
+            used[seq] += len(ids)
+        assert sum(n < 64 for n in used.values()) <= 6 and all(n & (n - 1) == 0 for n in used.values())
+
+
 def test_flac_round_trips_and_checksums():
     rng, t = np.random.default_rng(1), np.arange(9000)
     for bps, channels in ((8, 1), (16, 2), (24, 1)):
