@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.llm.shared import stored
@@ -99,6 +99,13 @@ def outstanding(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return np.where(keep, counts - DISCOUNT, 0.0)
 
 
+def may_stand_out(totals: np.ndarray) -> Column:
+    """Whether ``outstanding`` can keep the counts a and b of a bigram for either class, by its deviations alone."""
+    share = totals / max(totals.sum(), 1)
+    uses = F.col("a") + F.col("b")
+    return F.greatest(*[F.col(c) - uses * float(p) - STANDS_OUT * F.sqrt(uses * float(p)) for c, p in zip("ab", share)]) > -1e-6
+
+
 def kneser_ney(words_: np.ndarray, contexts: np.ndarray, often: np.ndarray, left: np.ndarray, right: np.ndarray, counts: np.ndarray) -> Model:
     """The model from continuation counts; columns are the ordinary and the toxic class.
 
@@ -175,10 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     left = pairs.select(F.col("l").alias("w"), F.lit(0).alias("ca"), F.lit(0).alias("cb"), F.col("a").alias("oa"), F.col("b").alias("ob"))
     right = pairs.select(F.col("r").alias("w"), (F.col("a") > 0).cast("int").alias("ca"), (F.col("b") > 0).cast("int").alias("cb"), F.lit(0), F.lit(0))
     table = left.union(right).groupBy("w").agg(*[F.sum(c).alias(c) for c in ("ca", "cb", "oa", "ob")]).toArrow()
-    # A bigram of fewer uses can't stand out against the expectation for either class.
-    large = pairs.where(F.col("a") + F.col("b") > STANDS_OUT**2).toArrow()
     column = lambda t, c: t.column(c).to_numpy()
     both = lambda t, *names: np.stack([column(t, c) for c in names], 1).astype(float)
+    large = pairs.where(may_stand_out(both(table, "oa", "ob").sum(0))).toArrow()
     model = kneser_ney(column(table, "w").view(np.uint64), both(table, "ca", "cb"), both(table, "oa", "ob"),
                        column(large, "l").view(np.uint64), column(large, "r").view(np.uint64), both(large, "a", "b"))
 

@@ -397,6 +397,33 @@ def test_toxicity_learns_and_keeps_clean_texts(spark):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_toxicity_keeps_rare_bigrams_of_a_rare_class(spark):
+    rows, marks = [], []
+    for i in range(600):
+        toxic = i % 10 == 0
+        w = prose(1000 + i, 40).split()
+        at = 3 + i % 30
+        # Both words are as frequent in either class; only their order tells the classes apart.
+        w[at:at] = ["odd", "fish"] if toxic else ["fish", "odd"]
+        rows.append((i, " ".join(w)))
+        marks.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(rows[:80], "doc_id long, text string"), spark.createDataFrame(marks[:80], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    h, _ = words.words(np.frombuffer(b"odd fish", np.uint8), np.array([0, 8]), words.PUNCTUATION)
+    key = toxicity.pair_keys(h[:1], h[1:])
+    assert len(h) == 2 and key[0] in model.pairs
+    assert model.bigram[np.searchsorted(model.pairs, key[0]), 1] > 0
+
+
+def test_no_bigram_is_dropped_that_the_model_keeps(spark):
+    counts = [(a, b) for a in range(0, 40) for b in range(0, 40) if a + b]
+    table = spark.createDataFrame([(a, b) for a, b in counts], "a long, b long")
+    for totals in ((1000, 1000), (9000, 1000), (500, 20000), (30000, 10)):
+        kept = toxicity.outstanding(np.array(counts, float), np.array(totals, float)).any(1)
+        want = {c for c, k in zip(counts, kept) if k}
+        assert want <= {(r.a, r.b) for r in table.where(toxicity.may_stand_out(np.array(totals))).collect()}
+
+
 def test_languages(spark, docs, rows):
     texts = [("en", prose(i, 50)) for i in range(30)] + [("fr", "la maison est près de la rivière et les oiseaux chantent " + "été " * (i % 5)) for i in range(30)]
     train = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
