@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrafold.llm.shared import stored
+from terrafold.llm.shared import forget, stored
 from terrafold.llm.textcols import text_of
 from terrafold.llm.words import mixed, parts, powers
 
@@ -48,6 +48,8 @@ REACH = 128
 GRAM = 8
 #: Bounds of a filter's size in bits, as a power of two: 128 KB to 128 MB, whatever the number of keys.
 FILTER_BITS = (20, 30)
+#: Bytes from an anchor that are looked up in other documents: a common passage of 285 bytes, some 50 words, is always found.
+PASSAGE = 150
 #: Windows of an anchor that are judged together, by their distance to it.
 STEP = 16
 _SPREAD, _LITTLE = np.uint64(0x9E3779B97F4A7C15), sys.byteorder == "little"
@@ -98,14 +100,25 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at[first].astype(np.int64), first, end
 
 
-def suffixes(data: np.ndarray, bounds: np.ndarray, size: int, hashes: Hashes | None = None) -> dict[str, np.ndarray]:
+def passages(at: np.ndarray, bounds: np.ndarray, size: int, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of the ``size`` bytes from each anchor that lie in its text.
+
+    Two texts with a common string of ``size + REACH + GRAM - 1`` bytes have one of these in common at least.
+    """
+    at = np.unique(at)
+    text = np.searchsorted(bounds, at, "right") - 1
+    within = at + size <= bounds[text + 1]
+    return text[within], hashes.of(at[within], at[within] + size)
+
+
+def suffixes(data: np.ndarray, bounds: np.ndarray, size: int, hashes: Hashes | None = None, found: tuple | None = None) -> dict[str, np.ndarray]:
     """All suffix starts of texts of at least ``size`` bytes, with positions relative to their text.
 
     ``q`` is the hash of what all windows of the anchor share, as whole phrases; ``h`` that of the compared prefix, which
     settles the starts ``pos .. last``; ``lo .. hi`` are the windows of the anchor (hi < lo: none), ``w`` the hash of all of
     them together.
     """
-    at, lo, hi = anchors(data, bounds)
+    at, lo, hi = found or anchors(data, bounds)
     long = np.flatnonzero(np.diff(bounds) >= size)
     text = np.searchsorted(bounds, at, "right") - 1
     keep = np.diff(bounds)[text] >= size
@@ -184,22 +197,35 @@ def block_ranges(found: dict[str, np.ndarray], keep: np.ndarray) -> tuple[np.nda
 class RepeatSearch:
     """The steps over one table; ``starts`` is the result."""
 
-    def __init__(self, rows: DataFrame, size: int):
+    def __init__(self, rows: DataFrame, size: int, passage: int):
         """``rows`` has rid and text (not null)."""
         if size < 2 * REACH + GRAM + 1:
             raise ValueError(f"strings of fewer than {2 * REACH + GRAM + 1} bytes are not searched")
-        self.rows, self.size, self.spark = rows, size, rows.sparkSession
+        self.rows, self.size, self.passage, self.spark = rows, size, passage, rows.sparkSession
 
     def _repeated(self) -> DataFrame:
-        size = self.size
+        """Classes that occur more than once; ``shared`` gets the documents with strings of ``passage`` bytes that others have."""
+        size, passage = self.size, self.passage
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for _, data, bounds in parts(batch.column("text")):
-                    yield pa.RecordBatch.from_pydict({"q": suffixes(data, bounds, size)["q"].view(np.int64)})
-
-        counted = self.rows.select("text").mapInArrow(scan, "q long").groupBy("q").agg(F.count(F.lit(1)).alias("n"))
-        return stored(counted.where("n > 1").select("q"), "repeated-classes")
+                rid = batch.column("rid").to_numpy()
+                for first, data, bounds in parts(batch.column("text")):
+                    hashes, found = Hashes(data), anchors(data, bounds)
+                    q = suffixes(data, bounds, size, hashes, found)["q"]
+                    yield pa.RecordBatch.from_pydict({"key": q.view(np.int64), "rid": pa.nulls(len(q), pa.int64())})
+                    text, key = passages(found[0], bounds, passage, hashes)
+                    yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "rid": pa.array(rid[first + text], pa.int64())})
+
+        keys = stored(self.rows.select("rid", "text").mapInArrow(scan, "key long, rid long"), "keys")
+        places = keys.where("rid is not null")
+        several = stored(places.groupBy("key").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low <> high").select("key"), "shared-strings")
+        self.shared = stored(places.join(several, "key", "left_semi").groupBy("rid").agg(F.count(F.lit(1)).alias("n_shared")), "shared")
+        repeated = stored(keys.where("rid is null").groupBy(F.col("key").alias("q")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("q"), "repeated-classes")
+        forget(self.spark, keys)
+        forget(self.spark, several)
+        self._clean()
+        return repeated
 
     def _suffixes(self, repeated: DataFrame) -> DataFrame:
         size, wanted = self.size, self.spark.sparkContext.broadcast(bitmap(repeated.select(F.col("q").alias("key")), repeated.count()))
@@ -377,12 +403,15 @@ class RepeatSearch:
         self.spark._jvm.System.gc()
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 400) -> DataFrame:
-    """``id, n_bytes, spans, kept`` for every row: maximal removed byte ranges (start, end) and the bytes that are left."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 400, passage: int = PASSAGE) -> DataFrame:
+    """``id, n_bytes, spans, kept, n_shared`` for every row: maximal removed byte ranges (start, end), the bytes that are
+    left, and the number of anchored strings of ``passage`` bytes that another document has too. ``n_shared`` tells of
+    passages that are shorter than ``size``, of which nothing is removed."""
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("rid", F.xxhash64("id", "text"))
-    ranges = stored(RepeatSearch(rows.select("rid", "text"), size).starts().groupBy("rid").agg(
-        F.collect_list(F.struct("first", "last")).alias("ranges")), "repeat-ranges")
+    search = RepeatSearch(rows.select("rid", "text"), size, passage)
+    found = search.starts().groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    ranges = stored(found.join(search.shared, "rid", "full"), "repeat-ranges")
     touched = docs.sparkSession.sparkContext.broadcast(bitmap(ranges.select(F.col("rid").alias("key")), ranges.count()))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,13 +435,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 n_bytes.append(len(data))
                 spans.append([{"start": a, "end": b} for a, b in change.reshape(-1, 2).tolist()])
                 kept.append(data[~inside].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_bytes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-                                             names=["id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_bytes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), batch.column("n_shared")],
+                                             names=["id", "n_bytes", "spans", "kept", "n_shared"])
 
     nothing = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    whole = routed.where("not touched").select("id", F.octet_length("text").cast("long").alias("n_bytes"), nothing.alias("spans"), F.col("text").cast("binary").alias("kept"))
-    joined = routed.where("touched").join(ranges, "rid", "left").select("id", "text", "ranges")
-    return whole.union(joined.mapInArrow(cut, f"id {id_type}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary"))
+    whole = routed.where("not touched").select("id", F.octet_length("text").cast("long").alias("n_bytes"), nothing.alias("spans"), F.col("text").cast("binary").alias("kept"), F.lit(0).cast("long").alias("n_shared"))
+    joined = routed.where("touched").join(ranges, "rid", "left").select("id", "text", "ranges", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))
+    return whole.union(joined.mapInArrow(cut, f"id {id_type}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary, n_shared long"))
 
 
 def removed(spans: Column) -> Column:
@@ -421,4 +450,4 @@ def removed(spans: Column) -> Column:
 
 def op3_repeats(spark, sf_dir: str) -> DataFrame:
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed(F.col("spans")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed(F.col("spans")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_shared")

@@ -146,6 +146,30 @@ def test_repeats(docs, rows):
     assert got == want and any(w[4] for w in want)
 
 
+def brute_shared(texts, passage):
+    """For each text: anchors whose next bytes another text has at one of its anchors."""
+    own = []
+    for text in texts:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        at = sorted({int(a) for a in repeats.anchors(data, np.array([0, len(data)]))[0]})
+        own.append([data[a : a + passage].tobytes() for a in at if a + passage <= len(data)])
+    return [sum(any(x in set(other) for k, other in enumerate(own) if k != i) for x in mine) for i, mine in enumerate(own)]
+
+
+def test_passages_shorter_than_removed_strings(spark):
+    import random
+
+    random.seed(5)
+    text = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    passage, line = text(290), text(120)
+    texts = [text(900) + passage + text(500), passage + text(100), text(700), text(300) + line + text(300), line + text(400), None, "", text(3000)]
+    found = repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    got = {r.id: (r.n_shared, len(r.spans)) for r in found.collect()}
+    assert [got[i][0] for i in range(len(texts))] == brute_shared(texts, repeats.PASSAGE)
+    assert [got[i][0] > 0 for i in range(len(texts))] == [True, True] + [False] * 6
+    assert not any(n for _, n in got.values())
+
+
 def test_repeats_in_monotonous_and_shifted_texts(spark):
     p = prose(11, 400)
     texts = ["ab" * 500, "b" + "ab" * 400, p[:900], "z" * 37 + p[100:1100], p[3:700] + "q" + p[650:1500], "é" * 450, prose(12, 30) + p[:500] + prose(13, 30) + p[:500]]
