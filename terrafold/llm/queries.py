@@ -5,12 +5,12 @@ from __future__ import annotations
 from terrafold.llm.bitplanes import op4_bitplanes
 from terrafold.llm.langid import op2_langid
 from terrafold.llm.media import op6_flac
-from terrafold.llm.merkle import op5_merkle
+from terrafold.llm.merkle import OP5_SQL, op5_merkle
 from terrafold.llm.mixing import OP8_SQL, op8_mix
 from terrafold.llm.ngram_join import op7_ngram_join
 from terrafold.llm.packing import op9_packing
 from terrafold.llm.repeats import op3_repeats
-from terrafold.llm.secrets import op10_secrets
+from terrafold.llm.secrets import OP10_SQL, op10_secrets
 from terrafold.llm.toxicity import op1_toxicity
 
 QUERIES = {
@@ -27,5 +27,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_merkle": OP5_SQL,
     "op8_mix": OP8_SQL,
+    "op10_secrets": OP10_SQL,
 }

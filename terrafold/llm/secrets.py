@@ -3,9 +3,9 @@
 Candidates are credential-like strings. The hash of each candidate's value is counted over the whole corpus by
 distinct repositories and by distinct owners; a repository is a distinct text, unless a column names it, so exact
 copies count once. A value that reaches both ``example_owners`` and ``example_repositories`` is an example that was
-copied; all others look live: those in a few owners, in copies of few texts, or in any number of texts of one owner.
-The scan keeps every base match and adds, for each value that looks live, a span of kind ``live`` that covers the
-value itself.
+copied. All others are specific to their owners: those in a few owners, in copies of few texts, or in any number of texts
+of one owner; they look live if their shape is that of a credential too (``credential_like``). The scan keeps every base
+match and adds, for each value that looks live, a span of kind ``live`` that covers the value itself.
 
 Defined results: null text is empty; a null owner or repository counts as one value of its own; texts without
 candidates give no spans; repeated rows are scanned each for itself and count once for their owner; an empty
@@ -14,6 +14,8 @@ table gives an empty result. Columns other than those named in the call are carr
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,36 +39,43 @@ EXAMPLE_OWNERS = 10
 EXAMPLE_REPOSITORIES = 10
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value_start:int,value:string>>"
+#: Running sums and cuts go by blocks of so many spans, so that a text with very many of them takes little more than linear time.
+BLOCK = 128
+#: A value with one of these is a placeholder, whoever has it.
+PLACEHOLDER = "(?i)example|changeme|placeholder|dummy|sample|your_|xxxx"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(items: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(BLOCK)), lambda at: F.slice(items, at + 1, BLOCK))
+
+
+def _running(numbers: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Running sums (or maxima, as ``step`` says) of an array of int: within each block, and over the blocks before."""
+    total = lambda items: F.aggregate(items, F.lit(0), step)
+    return _let(numbers, lambda all_: _let(_blocks(all_), lambda blocks: _let(F.transform(blocks, total), lambda totals: F.flatten(F.transform(
+        blocks, lambda block, b: _let(total(F.slice(totals, 1, b)), lambda before: F.transform(
+            block, lambda _, i: step(before, total(F.slice(block, 1, i + 1))))))))))
 
 
 def _matches(text: Column, rank: int) -> Column:
     """Spans of one kind. The pieces between matches give the positions, in code points."""
     kind, pattern, group, least = KINDS[rank]
     pattern = SEARCH.get(kind, pattern)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    gaps = F.split(text, pattern, -1)
-    walk = F.aggregate(
-        F.sequence(F.lit(0), F.size(whole) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.get(gaps, i)) + F.length(F.get(whole, i))).alias("at"),
-            F.concat(
-                acc["spans"],
-                F.when(
-                    F.length(F.get(value, i)) >= least,
-                    F.array(F.struct(
-                        (acc["at"] + F.length(F.get(gaps, i))).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
-                        (acc["at"] + F.length(F.get(gaps, i)) + F.length(F.get(whole, i))).alias("end"),
-                        (acc["at"] + F.length(F.get(gaps, i)) + F.length(F.get(whole, i)) - F.length(F.get(value, i))).alias("value_start"),
-                        F.get(value, i).alias("value"),
-                    )),
-                ).otherwise(F.array().cast(SPAN)),
-            ).cast(SPAN).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return F.when(text.rlike(FIRST_LOOK[kind]) & text.rlike(pattern), walk).otherwise(F.array().cast(SPAN))
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
+                     F.split(text, pattern, -1).alias("gaps"))
+
+    def spans(m: Column) -> Column:
+        steps = F.zip_with(m["whole"], m["gaps"], lambda whole, gap: F.coalesce(F.length(whole) + F.length(gap), F.lit(0)))
+        return _let(_running(steps, lambda x, y: x + y), lambda ends: F.filter(F.transform(m["whole"], lambda whole, i: F.struct(
+            (F.get(ends, i) - F.length(whole)).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.get(ends, i).alias("end"),
+            (F.get(ends, i) - F.length(F.get(m["value"], i))).alias("value_start"), F.get(m["value"], i).alias("value"))), lambda s: F.length(s["value"]) >= least)).cast(SPAN)
+
+    return F.when(text.rlike(FIRST_LOOK[kind]) & text.rlike(pattern), _let(found, spans)).otherwise(F.array().cast(SPAN))
 
 
 def candidates(text: Column) -> Column:
@@ -74,6 +83,11 @@ def candidates(text: Column) -> Column:
     return F.array_sort(F.concat(*[_matches(text, rank) for rank in range(len(KINDS))]))
 
 
+def credential_like(value: Column) -> Column:
+    """Whether a value may be a credential by its shape: it is no placeholder."""
+    return ~value.rlike(PLACEHOLDER)
+
+
 def ownership(found: DataFrame) -> DataFrame:
     """``value_hash, n_repositories, n_owners, n_uses`` of candidate values; ``found`` has value_hash, repository, owner.
 
@@ -110,43 +124,56 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
             (distinct(repository_col) if repository_col else text_key(text_of(text_col))).alias("repository"), candidates(text_of(text_col)).alias("base"),
         ).select(
             "row_id", "id", "owner", "repository",
-            F.transform("base", lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"], s["value_start"], F.sha2(s["value"], 256).alias("value_hash"))).alias("base"),
+            F.transform("base", lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"], s["value_start"], F.sha2(s["value"], 256).alias("value_hash"), credential_like(s["value"]).alias("shaped"))).alias("base"),
         ),
         "secret-spans",
     )
     found = narrow.where(F.size("base") > 0).select("row_id", "owner", "repository", F.explode("base").alias("span")).select(
         "row_id", "owner", "repository", "span", F.col("span.value_hash").alias("value_hash"))
     few = ownership(found).where(looks_live(example_owners, example_repositories)).select("value_hash", "n_owners", "n_repositories")
-    live = found.join(few, "value_hash").groupBy("row_id").agg(
+    live = found.where("span.shaped").join(few, "value_hash").groupBy("row_id").agg(
         F.array_sort(F.collect_list(F.struct("span.value_start", "span.end", "span.kind", "n_owners", "n_repositories"))).alias("live"))
     nothing = F.array().cast("array<struct<value_start:int,end:int,kind:string,n_owners:bigint,n_repositories:bigint>>")
     return narrow.join(live, "row_id", "left").select("row_id", "id", "base", F.coalesce("live", nothing).alias("live"))
 
 
+def _cut(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with each of the sorted spans (value_start, end) replaced by ``mark``; of overlapping ones the first counts.
+
+    Each block of spans works on its own piece of the text, so no position is counted from the start of a long text.
+    """
+    def pieces(apart: Column) -> Column:
+        def piece(block: Column, b: Column) -> Column:
+            begin = F.when(b == 0, F.lit(0)).otherwise(F.get(apart, b * BLOCK - 1)["end"])
+            end = F.element_at(block, -1)["end"]
+            return _let(F.struct(begin.alias("at"), F.substring(text, begin + 1, end - begin).alias("own")), lambda part: F.array_join(F.transform(block, lambda s, i: _let(
+                F.when(i == 0, part["at"]).otherwise(F.get(block, i - 1)["end"]), lambda last: F.concat(F.substring(part["own"], last - part["at"] + 1, s["value_start"] - last), F.lit(mark)))), ""))
+
+        rest = F.substring(text, F.element_at(apart, -1)["end"] + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(_blocks(apart), piece), ""), rest)
+
+    def first_of_overlapping(all_: Column) -> Column:
+        ends = _running(F.transform(all_, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+        return _let(ends, lambda e: F.filter(all_, lambda s, i: (i == 0) | (s["value_start"] >= F.get(e, i - 1))))
+
+    return _let(first_of_overlapping(spans), pieces)
+
+
 def redact(docs: DataFrame, mark: str = "<secret>", example_owners: int = 2, example_repositories: int = 2) -> DataFrame:
     """Documents with every live value replaced by ``mark``; n_chars follows the new text. Columns stay as they are."""
     numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     # The spans are found again on the rows themselves, so that no text is joined: only narrow value hashes are.
     spans = numbered.withColumn("base", F.transform(candidates(text_of(F.col("doc.text"))), lambda s: F.struct(
-        s["value_start"].alias("value_start"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("value_hash"))))
+        s["value_start"].alias("value_start"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("value_hash"), credential_like(s["value"]).alias("shaped"))))
     spans = stored(spans.withColumns({"row_id": F.monotonically_increasing_id(), "repository": text_key(text_of(F.col("doc.text")))}), "redact-spans")
     owner = F.coalesce(F.concat(F.lit("="), F.col("doc.source").cast("string")), F.lit("null"))
     found = spans.where(F.size("base") > 0).select("row_id", owner.alias("owner"), "repository", F.explode("base").alias("span"))
     found = found.select("row_id", "owner", "repository", "span", F.col("span.value_hash").alias("value_hash"))
     few = ownership(found).where(looks_live(example_owners, example_repositories)).select("value_hash")
-    live = found.join(few, "value_hash").groupBy("row_id").agg(
+    live = found.where("span.shaped").join(few, "value_hash").groupBy("row_id").agg(
         F.array_sort(F.collect_set(F.struct("span.value_start", "span.end"))).alias("live"))
     text = F.col("doc.text")
-    cut = F.aggregate(
-        "live", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["value_start"] < acc["at"], acc["out"]).otherwise(
-                F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["value_start"] - acc["at"]), F.lit(mark))).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    hidden = F.when(F.col("live").isNull(), text).otherwise(cut)
-    out = spans.join(live, "row_id", "left").withColumn("hidden", hidden)
+    out = spans.join(live, "row_id", "left").withColumn("hidden", F.when(F.col("live").isNull(), text).otherwise(_cut(text, F.col("live"), mark)))
     return out.select(*[
         F.col("hidden").alias(c) if c == "text" else F.length("hidden").cast("long").alias(c) if c == "n_chars" else F.col(f"doc.`{c}`").alias(c)
         for c in docs.columns])
@@ -168,3 +195,26 @@ def op10_secrets(spark, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.array_sort(F.concat(base, added))).alias("spans"))
+
+
+def _sql_spans(rank: int) -> str:
+    kind, pattern, group, least = KINDS[rank]
+    pattern = pattern.replace("'", "''")
+    return rf"""SELECT doc_id, source, text, {rank} AS rank, '{kind}' AS kind, {least} AS least, unnest(range(len(whole))) AS i, unnest(whole) AS whole, unnest(value) AS value, unnest(gaps[:len(whole)]) AS gap
+    FROM (SELECT *, regexp_extract_all(text, '{pattern}', 0) AS whole, regexp_extract_all(text, '{pattern}', {group}) AS value, string_split_regex(text, '{pattern}') AS gaps FROM d)"""
+
+
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+matches AS ({" UNION ALL ".join(_sql_spans(rank) for rank in range(len(KINDS)))}),
+placed AS (SELECT *, sum(length(gap) + length(whole)) OVER (PARTITION BY doc_id, rank ORDER BY i) AS "end" FROM matches),
+spans AS (SELECT doc_id, source, text, rank, kind, "end" - length(whole) AS start, "end", "end" - length(value) AS value_start, value FROM placed WHERE length(value) >= least),
+uses AS (SELECT value, count(DISTINCT coalesce('=' || source, 'null')) AS n_owners, count(DISTINCT text) AS n_repositories FROM spans GROUP BY value),
+live AS (SELECT doc_id, value_start AS start, {len(KINDS)} AS rank, 'live' AS kind, "end" FROM spans JOIN uses USING (value)
+  WHERE (n_owners < {EXAMPLE_OWNERS} OR n_repositories < {EXAMPLE_REPOSITORIES}) AND NOT regexp_matches(value, '{PLACEHOLDER}')),
+every_span AS (SELECT doc_id, start, rank, kind, "end" FROM spans UNION ALL SELECT * FROM live),
+told AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || start::BIGINT || ':' || "end"::BIGINT, ',' ORDER BY start, rank) FILTER (kind <> 'live') AS base,
+  string_agg(kind || ':' || start::BIGINT || ':' || "end"::BIGINT, ',' ORDER BY start, rank, "end") AS spans FROM every_span GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told ON d.doc_id = told.doc_id"""

@@ -189,6 +189,41 @@ def test_secrets(docs, rows, spark):
     assert "abcdefghijkl'" not in clean[15].text and "0123456789abcdef" in clean[15].text and clean[3].text is None and clean[0].text == rows[0][1]
 
 
+def brute_secrets(text):
+    found = []
+    for rank, (kind, pattern, group, least) in enumerate(secrets.KINDS):
+        for m in re.finditer(pattern, text or ""):
+            if len(m[group]) >= least:
+                found.append((m.start(), rank, kind, m.end(), m.end() - len(m[group]), m[group]))
+    return sorted(found)
+
+
+def test_spans_of_texts_with_very_many_matches(spark):
+    import random
+    import time
+
+    random.seed(3)
+    part = lambda i: f"é{i} secret='{random.randbytes(9).hex()}' AKIA{'Z' * 15} passwd=your_key_{i}_abc "
+    texts = ["".join(part(i) for i in range(n)) for n in (1, 127, 128, 129, 5000)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").cache()
+    docs.count()
+    began = time.time()
+    found = {r.id: r for r in secrets.scan(docs).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert time.time() - began < 30
+    for i, text in enumerate(texts):
+        want = brute_secrets(text)
+        assert [(s.start, s.rank, s.kind, s.end, s.value_start) for s in found[i].base] == [x[:5] for x in want]
+        live = sorted({(x[4], x[3]) for x in want if not re.search(secrets.PLACEHOLDER, x[5])})
+        assert sorted({(s.value_start, s.end) for s in found[i].live}) == live
+        out, at = [], 0
+        for start, end in live:
+            if start >= at:
+                out += [text[at:start], "<secret>"]
+            at = max(at, end)
+        assert clean[i] == "".join(out) + text[at:]
+
+
 def test_only_widely_copied_values_are_examples(spark, tmp_path):
     import corpus_pipeline
 
