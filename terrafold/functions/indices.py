@@ -88,3 +88,27 @@ def excess_green(r: Column, g: Column, b: Column) -> Column:
 
 def luma(r: Column, g: Column, b: Column) -> Column:
     return 0.299 * r + 0.587 * g + 0.114 * b
+
+
+def drop(early: Column, late: Column) -> Column:
+    """What an index loses from the early to the late season."""
+    return early - late
+
+
+def clear_only(band: Column, scene_class: Column) -> Column:
+    """The band where the scene class is clear, else null; pixel by pixel, without a vote of the window."""
+    return F.when(scene_class.isin(*CLEAR_CLASSES), band)
+
+
+def snow_free(scene_class: Column, green: Column, swir: Column, limit: float = 0.4) -> Column:
+    """Clear without snow: neither the class of snow nor its index."""
+    return F.coalesce(scene_class.isin(*[c for c in CLEAR_CLASSES if c != 11]) & (ndsi(green, swir) < limit), F.lit(False))
+
+
+def image_masks(hue: Column, saturation: Column, value: Column) -> dict[str, Column]:
+    """What a pixel of an image shows. The intervals of hue, saturation and value."""
+    green = (hue > 0.18) & (hue < 0.45) & (saturation > 0.12) & (value > 0.18)
+    return {
+        "green": green, "bright_green": green & (saturation > 0.25) & (value > 0.30), "pale": (saturation < 0.12) & (value > 0.35),
+        "rock": (saturation < 0.20) & (value > 0.20) & (value < 0.55), "pale_around": (saturation < 0.15) & (value > 0.40), "snow": (saturation < 0.10) & (value > 0.75),
+        "water": (hue > 0.45) & (hue < 0.65) & (saturation > 0.20)}

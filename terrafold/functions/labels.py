@@ -75,3 +75,20 @@ def year_list(spec: Column) -> Column:
     each = F.transform(F.filter(parts, lambda p: p.rlike(r"^\d{4}(-\d{4})?$")), lambda p: F.sequence(
         F.least(F.substring(p, 1, 4).cast("int"), F.substring(p, -4, 4).cast("int")), F.greatest(F.substring(p, 1, 4).cast("int"), F.substring(p, -4, 4).cast("int"))))
     return F.array_sort(F.array_distinct(F.flatten(each)))
+
+
+def number_text(value: Column, decimals: int = 4) -> Column:
+    """A number for lists and maps, with a dash for none."""
+    return F.coalesce(F.format_string(f"%.{decimals}f", F.nanvl(value.cast("double"), F.lit(None).cast("double"))), F.lit("—"))
+
+
+def adaptive_text(value: Column) -> Column:
+    """A number with as many decimals as its size leaves room for."""
+    v, size = value.cast("double"), F.abs(value.cast("double"))
+    text = lambda n: F.format_string(f"%.{n}f", v)
+    return F.when(size >= 100, text(0)).when(size >= 10, text(1)).when(size >= 1, text(2)).when(size.isNotNull(), text(3))
+
+
+def date_text(moment: Column) -> Column:
+    """ISO text of a moment to the second."""
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss")

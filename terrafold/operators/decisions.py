@@ -88,11 +88,6 @@ def water_override(code: Column, best: Column, absent: Column, water: Column) ->
     return F.when(over, F.lit(0)).otherwise(code), F.when(over, absent).otherwise(best)
 
 
-def pattern(green: Column, rock: Column, texture: Column) -> Column:
-    """Signature of an image patch from its shares of green and rock and its roughness."""
-    return (F.when((green >= 0.5) & (texture < 0.3), F.lit("MEADOW")).when((green >= 0.3) & (texture >= 0.3), F.lit("SHRUB")).when(rock >= 0.5, F.lit("ROCK")).otherwise(F.lit("MIXED")))
-
-
 def review_summary(rows: DataFrame, levels: list[str]) -> DataFrame:
     """For each level how many rows were reviewed, and how many of those differ from the rule."""
     each = F.array(*[F.struct(F.lit(x).alias("level"), F.col(f"{x}_reviewed").alias("reviewed"), F.col(f"{x}_rule").alias("rule")) for x in levels])

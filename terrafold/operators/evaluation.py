@@ -103,3 +103,9 @@ def summary_metrics(metrics: DataFrame) -> DataFrame:
     """Accuracy, balanced accuracy and macro F1 from the metrics of classes."""
     return metrics.agg((F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"),
                        F.avg("f1").alias("macro_f1"), F.sum("support").cast("long").alias("n"))
+
+
+def importance_ranks(rows: DataFrame, drop: str, impurity: str, place: str) -> DataFrame:
+    """Variables ranked by what their permutation costs, then by impurity, then by their place in the catalogue."""
+    order = Window.orderBy(F.desc(F.round(drop, 9)), F.desc(F.round(impurity, 9)), place)  # one row a variable
+    return rows.withColumn("rank", F.row_number().over(order))

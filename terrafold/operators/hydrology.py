@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,19 +12,48 @@ from terrafold.operators.raster import neighbours
 from terrafold.sources.tables import saved
 
 
-def filled(dem: DataFrame, step: float = 0.0) -> DataFrame:
+def _block_filler(step: float):
+    """A function that gives one block's own cells the lowest levels, given those that its border and the grid's edge have.
+
+    It is made here, not at the top of the module, so that it travels to workers whole.
+    """
+    def fill(cells: pd.DataFrame) -> pd.DataFrame:
+        z = {(r, c): v for r, c, v, own in zip(cells["row"], cells["col"], cells["z"], cells["own"]) if own}
+        level = {(r, c): w for r, c, w in zip(cells["row"], cells["col"], cells["w"])}
+        queue = [(w, r, c) for (r, c), w in level.items() if w < float("inf")]
+        heapq.heapify(queue)
+        while queue:
+            w, r, c = heapq.heappop(queue)
+            if w > level[r, c]:
+                continue
+            for at in ((r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                if at in z and (new := max(z[at], w + step)) < level[at]:
+                    level[at] = new
+                    heapq.heappush(queue, (new, *at))
+        own = cells[cells["own"]]
+        return own[["row", "col", "z"]].assign(w=[level[at] for at in zip(own["row"], own["col"])], old=own["w"])
+
+    return fill
+
+
+def filled(dem: DataFrame, step: float = 0.0, block: int = 256) -> DataFrame:
     """The lowest surface over the grid from which every cell drains to the edge, by at least ``step`` a cell.
 
-    Starts at infinity inside and at the ground on the edge; each round lowers cells to the best neighbour, until
-    nothing changes. Cells without elevation drain.
+    Starts at infinity inside and at the ground on the edge. Each round solves every block for itself, lowest cell first,
+    with the levels that its neighbours' border cells have, until no level changes: as many rounds as blocks on the longest
+    path, not cells. Cells without elevation drain. A task holds one block and its border.
     """
-    known = dem.where(F.col("z").isNotNull()).select("row", "col", "z")
+    known = dem.where(F.col("z").isNotNull()).select("row", "col", F.col("z").cast("double").alias("z"))
     inner = neighbours(known, ["z"]).groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"))
     level = saved(known.join(inner, ["row", "col"], "left").select("row", "col", "z", F.when(F.coalesce("n", F.lit(0)) < 8, F.col("z")).otherwise(F.lit(float("inf"))).alias("w")), "level")
+    br, bc = F.floor(F.col("row") / block).cast("int"), F.floor(F.col("col") / block).cast("int")
+    near = lambda x: F.array_distinct(F.array(*[F.floor((F.col(x) + d) / block).cast("int") for d in (-1, 0, 1)]))
     while True:
-        best = neighbours(level, ["w"]).groupBy("row", "col").agg(F.min("w").alias("near"))
-        lower = F.when(F.col("w") > F.col("z"), F.least("w", F.greatest("z", F.col("near") + step))).otherwise(F.col("w"))
-        new = saved(level.join(best, ["row", "col"], "left").select("row", "col", "z", F.col("w").alias("old"), F.coalesce(lower, F.col("w")).alias("w")), "level")
+        # Cells at a border go to the neighbouring blocks too, of which most cells have none.
+        dealt = level.withColumn("block_row", F.explode(near("row"))).withColumn("block_col", F.explode(near("col")))
+        dealt = dealt.withColumn("own", (F.col("block_row") == br) & (F.col("block_col") == bc)).where("own or w < double('Infinity')")
+        new = dealt.groupBy("block_row", "block_col").applyInPandas(_block_filler(step), "row int, col int, z double, w double, old double")
+        new = saved(new, "level")
         level = new.select("row", "col", "z", "w")
         if new.where("old <> w").isEmpty():
             return level.select("row", "col", F.col("w").alias("z"))

@@ -83,3 +83,15 @@ def backscatter(windows: DataFrame, by: list[str], power: str) -> DataFrame:
     """Mean power of a window in decibel for each scene, then mean and population deviation over scenes."""
     scenes = windows.groupBy(*by, "scene_id").agg(F.avg(F.when(F.col(power) > 0, F.col(power))).alias("p")).withColumn("db", 10 * F.log10("p"))
     return scenes.groupBy(*by).agg(F.avg("db").alias("db_mean"), F.stddev_pop("db").alias("db_sd"))
+
+
+def best_covered(points: DataFrame, scenes: DataFrame, cell: float) -> DataFrame:
+    """``day, covered, cloud`` of the day whose scenes' boxes (x0, x1, y0, y1) hold most points; of equals the least cloudy,
+    then the first. A box goes to the cells it spans and a point to its own."""
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
+    boxes = scenes.withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
+    met = boxes.join(points.select("from_id", "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy")), ["cx", "cy"])
+    held = met.where((F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1")))
+    covered = held.select("day", "from_id").distinct().groupBy("day").agg(F.count(F.lit(1)).alias("covered"))
+    days = scenes.groupBy("day").agg(F.avg("cloud").alias("cloud")).join(covered, "day", "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+    return days.orderBy(F.desc("covered"), F.round("cloud", 9), "day").limit(1).select("day", "covered", "cloud")

@@ -32,15 +32,19 @@ def boxplot(rows: DataFrame, code: str, columns: list[str]) -> DataFrame:
 def percentile_position(rows: DataFrame, key: str, code: str, percentiles: DataFrame, columns: list[str]) -> DataFrame:
     """Each value of each point against the percentiles of its class; ``inside`` is the middle half.
 
-    The position is linear between the percentiles that are known, held at 10 and 90.
+    The position is linear between the percentiles that are known, 5 below and 95 above them. Percentiles that don't
+    rise are set apart by a billionth, so that each value has one position.
     """
     v, knots = F.col("value"), [round(q * 100) for q in QUANTILES]
-    position = F.when(v <= F.col("p10"), F.lit(10.0))
-    for a, b in zip(knots, knots[1:]):
-        low, high = F.col(f"p{a}"), F.col(f"p{b}")
-        position = position.when(v <= high, a + (b - a) * F.coalesce(F.try_divide(v - low, high - low), F.lit(0.0)))
     met = unpivoted(rows, [key, code], columns).join(percentiles, [code, "variable"])
-    return met.select(key, code, "variable", "value", position.otherwise(F.lit(90.0)).alias("position"), v.between(F.col("p25"), F.col("p75")).alias("inside"))
+    met = met.withColumn(f"k{knots[0]}", F.col(f"p{knots[0]}"))
+    for a, b in zip(knots, knots[1:]):
+        met = met.withColumn(f"k{b}", F.when(F.col(f"p{b}") <= F.col(f"k{a}"), F.col(f"k{a}") + 1e-9).otherwise(F.col(f"p{b}")))
+    position = F.when(v < F.col(f"k{knots[0]}"), F.lit(5.0))
+    for a, b in zip(knots, knots[1:]):
+        low, high = F.col(f"k{a}"), F.col(f"k{b}")
+        position = position.when(v <= high, a + (b - a) * (v - low) / (high - low))
+    return met.select(key, code, "variable", "value", position.otherwise(F.lit(95.0)).alias("position"), v.between(F.col("p25"), F.col("p75")).alias("inside"))
 
 
 def histogram(rows: DataFrame, value: str, width: float) -> DataFrame:

@@ -100,11 +100,19 @@ def terrain(pixels: DataFrame, z: str, cell: float) -> DataFrame:
 
 
 def raster_lines(segments: DataFrame, cell: float) -> DataFrame:
-    """Pixels that a segment (ax, ay, bx, by) touches, by points at half a pixel along it."""
-    steps = F.greatest(F.ceil(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) / (cell / 2)), F.lit(1)).cast("int")
-    along = segments.withColumn("n", steps).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
-    t = F.col("i") / F.col("n")
-    return along.select(F.floor((F.col("ay") + t * (F.col("by") - F.col("ay"))) / cell).cast("int").alias("row"), F.floor((F.col("ax") + t * (F.col("bx") - F.col("ax"))) / cell).cast("int").alias("col")).distinct()
+    """Pixels (half-open squares) that a segment (ax, ay, bx, by) touches.
+
+    Along its longer axis a segment meets one line of pixels after the other, and in each the few between the places where
+    it enters and leaves.
+    """
+    s = segments.select(*[(F.col(c) / cell).alias(c) for c in ("ax", "ay", "bx", "by")]).withColumn("steep", F.abs(F.col("by") - F.col("ay")) > F.abs(F.col("bx") - F.col("ax")))
+    pick = lambda a, b: F.when(F.col("steep"), F.col(a)).otherwise(F.col(b))
+    s = s.select("steep", pick("ay", "ax").alias("u0"), pick("by", "bx").alias("u1"), pick("ax", "ay").alias("v0"), pick("bx", "by").alias("v1"))
+    s = s.withColumns({"low": F.least("u0", "u1"), "high": F.greatest("u0", "u1")}).withColumn("u", F.explode(F.sequence(F.floor("low").cast("int"), F.floor("high").cast("int"))))
+    at = lambda u: F.col("v0") + F.coalesce(F.try_divide(u - F.col("u0"), F.col("u1") - F.col("u0")), F.lit(0.0)) * (F.col("v1") - F.col("v0"))
+    s = s.withColumns({"e0": at(F.greatest(F.col("low"), F.col("u").cast("double"))), "e1": at(F.least(F.col("high"), F.col("u") + 1.0))})
+    s = s.withColumn("v", F.explode(F.sequence(F.floor(F.least("e0", "e1")).cast("int"), F.floor(F.greatest("e0", "e1")).cast("int"))))
+    return s.select(F.when(F.col("steep"), F.col("u")).otherwise(F.col("v")).alias("row"), F.when(F.col("steep"), F.col("v")).otherwise(F.col("u")).alias("col")).distinct()
 
 
 def bilinear(points: DataFrame, pixels: DataFrame, value: str) -> DataFrame:
@@ -150,3 +158,35 @@ def viewport(screen: DataFrame, pixels: DataFrame, value: str) -> DataFrame:
 def compared(samples_: DataFrame, mapped: DataFrame, real: str, code: str) -> DataFrame:
     """Counts of sample class against map class at the samples' pixels; null where the map has none."""
     return samples_.join(mapped.select("row", "col", code), ["row", "col"], "left").groupBy(real, code).agg(F.count(F.lit(1)).alias("n"))
+
+
+def laplacian(pixels: DataFrame, z: str) -> DataFrame:
+    """``row, col, curvature``: the sum of the eight neighbours less eight times the pixel; null where a neighbour is missing."""
+    near = neighbours(pixels, [z]).groupBy("row", "col").agg(F.count(z).alias("n"), F.sum(z).alias("sum"))
+    return pixels.select("row", "col", z).join(near, ["row", "col"], "left").select("row", "col", F.when(F.col("n") == 8, F.col("sum") - 8 * F.col(z)).alias("curvature"))
+
+
+def centre_and_ring(pixels: DataFrame, value: str, side: int, limit: float = 0.18) -> DataFrame:
+    """Statistics of the middle of each window (a quarter of the side to either side of its centre) against the ring around:
+    median, 90th percentile, deviation, share above a limit, and the contrast of the medians. At most side * side rows a window."""
+    reach, middle = max(1, side // 4), side // 2
+    centre = F.col("row").between(middle - reach, middle + reach - 1) & F.col("col").between(middle - reach, middle + reach - 1)
+    inner, outer = F.when(centre, F.col(value)), F.when(~centre, F.col(value))
+    return pixels.groupBy("window").agg(
+        F.median(inner).alias("median"), F.percentile(inner, F.lit(0.9)).alias("p90"), F.stddev_pop(inner).alias("sd"),
+        F.avg((inner > limit).cast("double")).alias("share"), (F.median(inner) - F.median(outer)).alias("contrast"))
+
+
+def pyramid(pixels: DataFrame, code: str, largest: int, least: int = 256) -> DataFrame:
+    """Overviews at factors 2, 4, ... while the larger side still has ``least`` pixels: ``factor, row, col, code, n_valid``."""
+    out, factor = None, 2
+    while largest / factor >= least or out is None:
+        level = overview_mode(pixels, code, factor).select(F.lit(factor).alias("factor"), "row", "col", code, "n_valid")
+        out, factor = level if out is None else out.union(level), factor * 2
+    return out
+
+
+def largest_polygons(edges: DataFrame, n: int = 400) -> DataFrame:
+    """The n polygons of the largest area (by the edges' cross products), for a preview; the lowest name of equals first."""
+    area = F.abs(F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay"))) / 2
+    return edges.groupBy("polygon").agg(area.alias("area")).orderBy(F.desc("area"), "polygon").limit(n)

@@ -64,3 +64,13 @@ def median_imputed(rows: DataFrame, columns: list[str]) -> DataFrame:
     medians = rows.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(f"{c}__m") for c in columns])
     filled = rows.crossJoin(F.broadcast(medians))  # one row
     return filled.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}__m")) for c in columns}).drop(*[f"{c}__m" for c in columns])
+
+
+def within_range(rows: DataFrame, value: str, low: float | None, high: float | None) -> DataFrame:
+    """Rows whose value lies within the limits; without a value they go, and a limit of 0 or none is no limit."""
+    if not (low or high):
+        return rows
+    keep = F.col(value).isNotNull()
+    for limit, inside in ((low, F.col(value) >= (low or 0)), (high, F.col(value) <= (high or 0))):
+        keep = keep & inside if limit else keep
+    return rows.where(keep)

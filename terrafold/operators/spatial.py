@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _cells(size: float, reach: int = 0) -> list[Column]:
@@ -32,25 +33,36 @@ def nearest_within(left: DataFrame, right: DataFrame, radius: float) -> DataFram
     return best.select("from_id", F.col("m.to_id").alias("to_id"), F.col("m.d").alias("d"))
 
 
-def nearest_distance(rows: DataFrame, layer: DataFrame, cell: float) -> DataFrame:
+def nearest_distance(rows: DataFrame, layer: DataFrame, cell: float, factor: int = 4) -> DataFrame:
     """``from_id, d`` to the nearest point of the layer, at any distance.
 
-    Rings of cells are searched outwards: rows that found a point within the ring's sure radius are done, the others
-    go on with cells twice as large. Each round joins on cells only; the rounds are logarithmic in the extent.
+    The layer's occupied cells form a tree: cells of size ``cell`` in cells ``factor`` times as large, up to a few. Each
+    row starts at the top and goes down level by level into the cells that may hold its nearest point, which are those no
+    farther than the least distance within which some cell has a point for certain. Every level is one join on the cell.
     """
-    done, open_, size = None, rows.select("from_id", "x", "y"), cell
-    box = layer.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    rows, places = rows.select("from_id", "x", "y"), layer.select(F.col("x").alias("bx"), F.col("y").alias("by")).distinct()
+    box = places.agg(F.min("bx"), F.max("bx"), F.min("by"), F.max("by")).first()
     if box[0] is None:
         return rows.select("from_id", F.lit(None).cast("double").alias("d"))
-    own = rows.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    extent = max(max(box[1], own[1] or box[1]) - min(box[0], own[0] or box[0]), max(box[3], own[3] or box[3]) - min(box[2], own[2] or box[2]))
-    while True:
-        found = pairs_within(open_, layer.withColumnRenamed("id", "to_id"), size).groupBy("from_id").agg(F.min("d").alias("d"))
-        done = found if done is None else done.unionByName(found)
-        if size > 1.5 * extent:
-            return done
-        open_ = open_.join(found.select("from_id"), "from_id", "left_anti")
-        size *= 4
+    top = 0
+    while max(box[1] - box[0], box[3] - box[2]) / (cell * factor**top) > factor:
+        top += 1
+    places = places.withColumns({"cx": F.floor(F.col("bx") / cell), "cy": F.floor(F.col("by") / cell)})
+    up = lambda c, n: F.floor(F.col(c) / factor**n)
+    levels = [places.select(up("cx", k).alias("cx"), up("cy", k).alias("cy")).distinct() for k in range(top + 1)]
+    roots = [(r.cx, r.cy) for r in levels[top].collect()]  # at most (factor + 2) ** 2 cells
+    open_ = rows.withColumn("cell", F.explode(F.array(*[F.struct(F.lit(a).alias("cx"), F.lit(b).alias("cy")) for a, b in roots]))).select("from_id", "x", "y", "cell.cx", "cell.cy")
+    for k in range(top, -1, -1):
+        size = cell * factor**k
+        out = lambda p, c, s=size: F.greatest(F.col(c) * s - F.col(p), F.col(p) - (F.col(c) + 1) * s, F.lit(0.0))
+        far = lambda p, c, s=size: F.greatest(F.abs(F.col(p) - F.col(c) * s), F.abs(F.col(p) - (F.col(c) + 1) * s))
+        sure = F.min(F.hypot(far("x", "cx"), far("y", "cy"))).over(Window.partitionBy("from_id"))  # the cells of one row
+        open_ = open_.withColumns({"least_": F.hypot(out("x", "cx"), out("y", "cy")), "sure": sure}).where(F.col("least_") <= F.col("sure") * (1 + 1e-9)).drop("least_", "sure")
+        if k:
+            below = levels[k - 1].select((up("cx", 1)).alias("px"), (up("cy", 1)).alias("py"), F.col("cx").alias("nx"), F.col("cy").alias("ny"))
+            open_ = open_.join(below, (F.col("cx") == F.col("px")) & (F.col("cy") == F.col("py"))).select("from_id", "x", "y", F.col("nx").alias("cx"), F.col("ny").alias("cy"))
+    d = F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by"))
+    return open_.join(places, ["cx", "cy"]).groupBy("from_id").agg(F.min(d).alias("d"))
 
 
 def far_from(rows: DataFrame, layer: DataFrame, least: float) -> DataFrame:
@@ -143,8 +155,6 @@ def spaced(points: DataFrame, least: float) -> DataFrame:
 
 def bands(rows: DataFrame, value: str, n: int, per_band: int, order: list[Column | str]) -> DataFrame:
     """Up to ``per_band`` rows of each of n equal bands of a value."""
-    from pyspark.sql.window import Window
-
     low, high = rows.agg(F.min(value), F.max(value)).first()
     if low is None:
         return rows.withColumn("band", F.lit(None).cast("int")).limit(0)

@@ -365,10 +365,12 @@ def boxplot_stats(spark, sf_dir):
     return six(profiles.boxplot(views.predictors(spark, sf_dir), "code", ["p1"]), "low", "high", "q1", "median", "q3", "whisker_low", "whisker_high")
 
 
-@query(PREDICTORS, "q AS (SELECT code, quantile_cont(p1, 0.25) AS a, quantile_cont(p1, 0.75) AS b FROM tab GROUP BY 1 HAVING count(p1) >= 10)", "SELECT vec_id, code, p1 BETWEEN a AND b AS inside FROM tab JOIN q USING (code)")
+@query(PREDICTORS, "q AS (SELECT code, " + ", ".join(f"quantile_cont(p1, {p / 100}) AS p{p}" for p in (10, 25, 50, 75, 90)) + " FROM tab GROUP BY 1 HAVING count(p1) >= 10)",
+       """SELECT vec_id, code, round(CASE WHEN p1 < p10 THEN 5 WHEN p1 <= p25 THEN 10 + 15 * (p1 - p10) / (p25 - p10) WHEN p1 <= p50 THEN 25 + 25 * (p1 - p25) / (p50 - p25)
+ WHEN p1 <= p75 THEN 50 + 25 * (p1 - p50) / (p75 - p50) WHEN p1 <= p90 THEN 75 + 15 * (p1 - p75) / (p90 - p75) ELSE 95 END, 6) + 0.0 AS "position", p1 BETWEEN p25 AND p75 AS inside FROM tab JOIN q USING (code)""")
 def percentile_position(spark, sf_dir):
     t = views.predictors(spark, sf_dir)
-    return profiles.percentile_position(t, "vec_id", "code", profiles.class_percentiles(t, "code", ["p1"]), ["p1"]).select("vec_id", "code", "inside")
+    return six(profiles.percentile_position(t, "vec_id", "code", profiles.class_percentiles(t, "code", ["p1"]), ["p1"]).select("vec_id", "code", "position", "inside"), "position")
 
 
 @query(POINTS, "SELECT least(floor(round(proba / 0.05, 9)), 19)::INTEGER AS bin, count(*) AS n FROM points GROUP BY 1")
@@ -414,10 +416,10 @@ def dilate(spark, sf_dir):
     return raster.dilate(views.pixels(spark, sf_dir).where("water"))
 
 
-@query(PIXELS, "f AS (SELECT row, col FROM px WHERE water AND row < 24 AND col < 24), g(row, col, r0, c0) AS (SELECT row, col, row, col FROM f UNION SELECT f.row, f.col, g.r0, g.c0 FROM g JOIN f ON abs(f.row - g.row) <= 1 AND abs(f.col - g.col) <= 1)",
+@query(PIXELS, "f AS (SELECT row, col FROM px WHERE water), g(row, col, r0, c0) AS (SELECT row, col, row, col FROM f UNION SELECT f.row, f.col, g.r0, g.c0 FROM g JOIN f ON abs(f.row - g.row) <= 1 AND abs(f.col - g.col) <= 1)",
        'm AS (SELECT row, col, min(r0 * 2147483648 + c0)::BIGINT AS patch FROM g GROUP BY ALL)', 'SELECT row AS "row", col, patch, count(*) OVER (PARTITION BY patch) AS size FROM m QUALIFY count(*) OVER (PARTITION BY patch) >= 3')
 def water_patches(spark, sf_dir):
-    return raster.patches(views.pixels(spark, sf_dir).where("water and row < 24 and col < 24"), 3)
+    return raster.patches(views.pixels(spark, sf_dir).where("water"), 3)
 
 
 @query(PIXELS, 'SELECT a.row AS "row", a.col, round(min(sqrt((a.row - b.row) ** 2 + (a.col - b.col) ** 2)) * 10, 6) + 0.0 AS d FROM px a LEFT JOIN px b ON b.row % 17 = 3 AND b.col % 19 = 5 AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 64 GROUP BY 1, 2')
@@ -511,21 +513,21 @@ def spatial_zones(spark, sf_dir):
     return views.points(spark, sf_dir).select("point_id", geo.degree_cell(F.col("x"), F.col("y"), 500.0).alias("zone"))
 
 
-@query(POINTS, PIXELS, 'SELECT p.point_id, code, round(value, 6) + 0.0 AS value FROM points p LEFT JOIN px ON px.row = (p.point_id % 60)::INTEGER AND px.col = (p.point_id % 53)::INTEGER')
+@query(POINTS, PIXELS, 'SELECT p.point_id, code, round(value, 6) + 0.0 AS value FROM points p LEFT JOIN px ON px.row = (p.point_id // 5)::INTEGER AND px.col = (p.point_id % 53)::INTEGER')
 def cell_lookup(spark, sf_dir):
-    p = views.points(spark, sf_dir).select("point_id", (F.col("point_id") % 60).cast("int").alias("row"), (F.col("point_id") % 53).cast("int").alias("col"))
+    p = views.points(spark, sf_dir).select("point_id", F.floor(F.col("point_id") / 5).cast("int").alias("row"), (F.col("point_id") % 53).cast("int").alias("col"))
     return six(spatial.cell_lookup(p, views.pixels(spark, sf_dir).select("row", "col", "code", "value")).select("point_id", "code", "value"), "value")
 
 
-@query(POINTS, PIXELS, "SELECT p.point_id, round(avg(value), 6) + 0.0 AS mean, count(value) AS n_valid FROM points p LEFT JOIN px ON abs(px.row - p.point_id % 60) <= 2 AND abs(px.col - p.point_id % 53) <= 2 GROUP BY 1")
+@query(POINTS, PIXELS, "SELECT p.point_id, round(avg(value), 6) + 0.0 AS mean, count(value) AS n_valid FROM points p LEFT JOIN px ON px.row BETWEEN p.point_id // 5 - 2 AND p.point_id // 5 + 2 AND abs(px.col - p.point_id % 53) <= 2 GROUP BY 1")
 def window_mean(spark, sf_dir):
-    p = views.points(spark, sf_dir).select(F.col("point_id").alias("from_id"), (F.col("point_id") % 60).cast("int").alias("row"), (F.col("point_id") % 53).cast("int").alias("col"))
+    p = views.points(spark, sf_dir).select(F.col("point_id").alias("from_id"), F.floor(F.col("point_id") / 5).cast("int").alias("row"), (F.col("point_id") % 53).cast("int").alias("col"))
     return six(spatial.neighbourhood(p, views.pixels(spark, sf_dir), 2, "value").withColumnRenamed("from_id", "point_id"), "mean")
 
 
-@query(POINTS, PIXELS, "SELECT (p.point_id % 4)::INTEGER AS real, code, count(*) AS n FROM points p LEFT JOIN px ON px.row = p.point_id % 60 AND px.col = p.point_id % 53 GROUP BY ALL")
+@query(POINTS, PIXELS, "SELECT (p.point_id % 4)::INTEGER AS real, code, count(*) AS n FROM points p LEFT JOIN px ON px.row = p.point_id // 5 AND px.col = p.point_id % 53 GROUP BY ALL")
 def sample_against_map(spark, sf_dir):
-    p = views.points(spark, sf_dir).select((F.col("point_id") % 4).cast("int").alias("real"), (F.col("point_id") % 60).cast("int").alias("row"), (F.col("point_id") % 53).cast("int").alias("col"))
+    p = views.points(spark, sf_dir).select((F.col("point_id") % 4).cast("int").alias("real"), F.floor(F.col("point_id") / 5).cast("int").alias("row"), (F.col("point_id") % 53).cast("int").alias("col"))
     return raster.compared(p, views.pixels(spark, sf_dir), "real", "code")
 
 
@@ -628,14 +630,21 @@ def missing_reads(spark, sf_dir):
     return read_missing(p, p.where("point_id % 3 = 0"), ["point_id"])
 
 
-@query()
+@query(PIXELS, "pit AS (SELECT row, col, CASE WHEN row % 12 = 5 AND col % 10 = 4 THEN z - 40 ELSE z END AS z FROM px)",
+       "n AS (SELECT a.row, a.col, count(*) AS n, min(b.z) AS low FROM pit a, (VALUES (-1), (0), (1)) x(i), (VALUES (-1), (0), (1)) y(j), pit b WHERE (i <> 0 OR j <> 0) AND b.row = a.row + i AND b.col = a.col + j GROUP BY 1, 2)",
+       'SELECT p.row AS "row", p.col, round(CASE WHEN n.n = 8 THEN greatest(z, low) ELSE z END, 6) + 0.0 AS z FROM pit p LEFT JOIN n ON n.row = p.row AND n.col = p.col')
 def filled_surface(spark, sf_dir):
-    """Depressions of the grid filled until every cell drains to the edge."""
+    """Depressions of the grid filled until every cell drains to the edge. The valley drains but for single pits, which
+    rise to their lowest neighbour: that is what the SQL says."""
     px = views.pixels(spark, sf_dir).withColumn("z", F.when((F.col("row") % 12 == 5) & (F.col("col") % 10 == 4), F.col("z") - 40).otherwise(F.col("z")))
     return six(hydrology.filled(px), "z")
 
 
 @query()
 def spaced_points(spark, sf_dir):
-    """A maximal subset of uniform points that keep a distance."""
-    return six(spatial.spaced(spatial.uniform_in_box(spark, 2000, (0.0, 0.0, 1000.0, 1000.0), 42), 40.0), "x", "y")
+    """A maximal subset of the points that keep a distance."""
+    rows = views.points(spark, sf_dir).select(F.col("point_id").alias("id"), "x", "y")
+    return six(spatial.spaced(rows, 400.0), "x", "y")
+
+
+from terrafold.plans import maps, reviews  # noqa: E402, F401  they register their queries

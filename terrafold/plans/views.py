@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import indices
 from terrafold.operators.observations import season
-from terrafold.operators.raster import grid_pixels
 from terrafold.sources.tables import table
 
 PER_LON, PER_LAT = 88800, 111000
@@ -91,15 +90,18 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORED = """scored AS (SELECT d.doc_id, lang, source, quality AS truth, ((d.doc_id * 7919) % 1000) / 1000.0 AS score,
   CASE WHEN ((d.doc_id * 7919) % 1000) / 1000.0 >= 0.4 THEN 1 ELSE 0 END AS predicted FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 
-SIDE = 48
+WIDTH = 48
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, c = F.col("row"), F.col("col")
-    return grid_pixels(spark, SIDE, SIDE).select("row", "col", (3000.0 - 2 * r + 3 * F.abs(c - 24)).alias("z"), ((r * 7 + c * 13 + r * c) % 5).isin(0, 1).alias("water"),
-                                                 F.when((r + c) % 11 != 0, (F.floor(r / 5) + F.floor(c / 7)) % 4).cast("int").alias("code"), ((r * 31 + c * 17) % 100 / 100).alias("value"))
+    """A pixel for each order, in rows of ``WIDTH``: the grid grows with the tables. Elevations form a valley."""
+    k, cust = F.col("o_orderkey"), F.col("o_custkey")
+    grid = table(spark, sf_dir, "orders").select(F.floor(k / WIDTH).cast("int").alias("row"), (k % WIDTH).cast("int").alias("col"), cust.alias("cust"))
+    r, c, cust = F.col("row"), F.col("col"), F.col("cust")
+    return grid.select("row", "col", (3000.0 - 2 * r + 3 * F.abs(c - 24)).alias("z"), (cust % 4 == 0).alias("water"),
+                       F.when((r + c) % 11 != 0, (F.floor(r / 5) + F.floor(c / 7)) % 4).cast("int").alias("code"), ((cust * 31 + c * 17) % 100 / 100).alias("value"))
 
 
-PIXELS = f"""px AS (SELECT r::INTEGER AS row, c::INTEGER AS col, 3000.0 - 2 * r + 3 * abs(c - 24) AS z, ((r * 7 + c * 13 + r * c) % 5) IN (0, 1) AS water,
-  CASE WHEN (r + c) % 11 <> 0 THEN ((r // 5 + c // 7) % 4)::INTEGER END AS code, (r * 31 + c * 17) % 100 / 100.0 AS value
-  FROM range({SIDE}) a(r), range({SIDE}) b(c))"""
+PIXELS = f"""px AS (SELECT row, col, 3000.0 - 2 * row + 3 * abs(col - 24) AS z, cust % 4 = 0 AS water,
+  CASE WHEN (row + col) % 11 <> 0 THEN ((row // 5 + col // 7) % 4)::INTEGER END AS code, (cust * 31 + col * 17) % 100 / 100.0 AS value
+  FROM (SELECT (o_orderkey // {WIDTH})::INTEGER AS row, (o_orderkey % {WIDTH})::INTEGER AS col, o_custkey AS cust FROM orders))"""

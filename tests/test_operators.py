@@ -2,11 +2,13 @@
 
 import json
 import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from terrafold.functions import geo, indices, labels
-from terrafold.operators import decisions, hydrology, quality, raster, spatial, training
+from terrafold.operators import decisions, hydrology, mapping, quality, raster, review, spatial, training
 from terrafold.sources import points
 
 
@@ -69,6 +71,96 @@ def test_depression_is_filled_and_drains(spark):
     assert gathered[6, 3] > gathered[3, 3] > 0.01
 
 
+def test_depressions_across_blocks(spark):
+    random.seed(4)
+    side = 14
+    z = {(r, c): random.randint(0, 30) * 1.0 for r in range(side) for c in range(side) if (r, c) != (5, 5)}
+    around = lambda r, c: [(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (r + i, c + j) in z]
+    level = {k: v if len(around(*k)) < 8 else math.inf for k, v in z.items()}
+    changed = True
+    while changed:
+        changed = False
+        for k in z:
+            low = max(z[k], min(level[n] for n in around(*k)) + 0.5)
+            if low < level[k]:
+                level[k], changed = low, True
+    dem = spark.createDataFrame([(r, c, v) for (r, c), v in z.items()], "row int, col int, z double")
+    for block in (3, 64):
+        assert {(r.row, r.col): r.z for r in hydrology.filled(dem, 0.5, block).collect()} == level
+
+
+def test_touched_pixels_are_exact(spark):
+    random.seed(2)
+    lines = [(1.0, 1.0, 39.0, 12.0), (5.0, 35.0, 8.0, 2.0), (12.0, 12.0, 12.0, 12.0), (30.0, 5.0, 11.0, 5.0)] + [tuple(round(random.uniform(0, 60), 2) for _ in range(4)) for _ in range(20)]
+    for ax, ay, bx, by in lines:
+        got = {(r.row, r.col) for r in raster.raster_lines(spark.createDataFrame([(ax, ay, bx, by)], "ax double, ay double, bx double, by double"), 10.0).collect()}
+        walked = {(math.floor((ay + t / 5000 * (by - ay)) / 10), math.floor((ax + t / 5000 * (bx - ax)) / 10)) for t in range(5001)}
+        assert walked <= got and len(got) <= len(walked) + 2
+
+
+def test_nearest_distance_at_any_scale(spark):
+    random.seed(6)
+    rows = [(i, random.uniform(-900, 900), random.uniform(-900, 900)) for i in range(60)]
+    layer = [(i, random.gauss(300, 5), random.gauss(-200, 5)) for i in range(40)] + [(99, -800.0, 700.0), (98, -800.0, 700.0)]
+    for some in (layer, layer[:1]):
+        got = {r.from_id: r.d for r in spatial.nearest_distance(spark.createDataFrame(rows, "from_id long, x double, y double"), spark.createDataFrame(some, "id long, x double, y double"), 10.0).collect()}
+        assert all(abs(got[i] - min(math.dist((x, y), p[1:]) for p in some)) < 1e-9 for i, x, y in rows) and len(got) == len(rows)
+
+
+def test_maps_are_whole_or_absent(spark, tmp_path):
+    px = raster.grid_pixels(spark, 6, 5).withColumn("code", F.col("row") % 3)
+    path = f"file://{tmp_path}/map"
+    mapping.write_map(px, path, {"cell": 10}, 4)
+    back, about = mapping.read_map(spark, path)
+    assert about == {"cell": 10} and {(r.row, r.col, r.code) for r in back.collect()} == {(r, c, r % 3) for r in range(6) for c in range(5)}
+    with pytest.raises(FileExistsError):
+        mapping.write_map(px, path, {})
+    with pytest.raises(Exception):
+        mapping.write_map(px.withColumn("code", F.raise_error(F.lit("stop"))), f"{path}2", {})
+    with pytest.raises(FileNotFoundError):
+        mapping.read_map(spark, f"{path}2")
+
+
+def test_blocks_are_read_once(spark, tmp_path):
+    asked = []
+
+    def compute(missing):
+        asked.append(sorted((r.block_row, r.block_col) for r in missing.collect()))
+        return missing.select("block_row", "block_col", (F.col("block_row") * 10 + F.col("block_col")).alias("v"))
+
+    blocks = lambda *at: spark.createDataFrame(list(at), "block_row int, block_col int")
+    path = f"file://{tmp_path}/cache"
+    assert mapping.cached_blocks(blocks((0, 0), (0, 1)), compute, path, "k").count() == 2
+    got = mapping.cached_blocks(blocks((0, 1), (2, 0)), compute, path, "k")
+    assert {r.v for r in got.collect()} == {1, 20} and mapping.cached_blocks(blocks((0, 1)), compute, path, "k").count() == 1
+    assert asked == [[(0, 0), (0, 1)], [(2, 0)]]
+
+
+def test_reviews_are_all_or_none(spark):
+    rows = spark.createDataFrame([(1, "lake", "wet", False, "slope", "dry"), (2, "", "", False, "slope", "dry")], "id int, setting string, wetness string, reviewed boolean, setting_rule string, wetness_rule string")
+    levels = {k: review.LEVELS[k] for k in ("setting", "wetness")}
+    chosen = lambda *at: spark.createDataFrame(list(at), "id int, setting string, wetness string")
+    done = review.set_review(rows, chosen((1, "stream", None)), "id", levels).orderBy("id").collect()
+    assert (done[0].setting, done[0].wetness, done[0].reviewed, done[1].reviewed) == ("stream", "wet", True, False)
+    with pytest.raises(ValueError):
+        review.set_review(rows, chosen((1, "stream", None), (2, "lake", None)), "id", levels)
+    assert review.clear_review(rows, levels).first().setting == "slope"
+
+
+def test_zones_and_classes(spark):
+    none = spark.createDataFrame([], "polygon int, ax double, ay double, bx double, by double")
+    assert mapping.zone_grid(none, 10.0).first().problem == "no surface"
+    big = spark.createDataFrame([(1, 0.0, 0.0, 1e6, 0.0), (1, 1e6, 0.0, 1e6, 1e6)], none.schema)
+    assert mapping.zone_grid(big, 10.0).first().problem == "too large"
+    px = spark.createDataFrame([(0, 0, 0.5, [0.5, 0.3, 0.2]), (0, 1, None, [0.1, 0.5, 0.4]), (0, 2, 0.1, [0.4, 0.3, 0.3])], "row int, col int, v double, p array<double>")
+    code = lambda **k: [r.code for r in mapping.classify(px, ["v"], F.col("p"), **k).orderBy("col").collect()]
+    assert code() == [0, None, 0] and code(threshold=0.5) == [1, None, 1] and code(with_absence=False) == [1, None, 1] and code(allowed=F.col("col") < 2, threshold=0.55) == [0, None, None]
+    got = spark.createDataFrame([(0, 2), (3, 1), (3, 0), (1, 7)], "b int, l int").select(mapping.composed(F.col("b"), F.col("l"), 2).alias("c")).collect()
+    assert [r.c for r in got] == [None, 5, 0, None]
+    a, b = px.select("row", "col"), px.select("row", "col").orderBy(F.desc("col"))
+    assert mapping.signature(a, ["row", "col"]).first() == mapping.signature(b, ["row", "col"]).first() != mapping.signature(a.limit(2), ["row", "col"]).first()
+
+
 def test_bilinear_and_lines(spark):
     px = raster.grid_pixels(spark, 3, 3).withColumn("v", (F.col("row") * 10 + F.col("col")).cast("double"))
     at = spark.createDataFrame([(1, 0.5, 0.25), (2, 2.0, 2.0), (3, 2.5, 1.0)], "from_id int, r double, c double")
