@@ -122,8 +122,7 @@ def differing(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int = 512) -> DataFrame:
-    """``id, text, mark, next_text, next_mark``: each row's text and fingerprint, and those of the next row in ascending
-    order of id, after the last the first.
+    """``id, text, next_text``: the next row in ascending order of id, after the last the first.
 
     Ids are cut into ranges at approximate quantiles, each range is sorted for itself, and the first row of a range
     follows the last of the range before. Equal ids go by a hash of their text; null ids come first, spread over
@@ -148,18 +147,15 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int =
     rows = rows.withColumn("range", F.coalesce(at, F.lit(0)).cast("int")).withColumn("tie", F.xxhash64("text"))
     order = [F.col("id").asc_nulls_first(), F.col("tie")]
     own = Window.partitionBy("range").orderBy(*order)
-    # The fingerprint is made before the rows travel, so that a row hands it to its neighbour.
-    inside = rows.withColumn("mark", fingerprint(F.col("text"))).withColumn("follows", F.lead(F.struct("text", "mark")).over(own))
+    inside = rows.withColumn("follows", F.lead("text").over(own))
     # One row a range: which range follows, and the text of that range's first row.
-    firsts = stored(rows.groupBy("range").agg(F.min_by("text", F.struct(F.col("id").isNotNull(), "id", "tie")).alias("text")), "range-firsts")
+    firsts = stored(rows.groupBy("range").agg(F.min_by("text", F.struct(F.col("id").isNotNull(), "id", "tie")).alias("head")), "range-firsts")
     every = sorted(r[0] for r in firsts.select("range").collect())
     if not every:
-        return inside.select("id", "text", "mark", F.lit(None).cast("string").alias("next_text"), F.lit(None).cast("string").alias("next_mark"))
+        return inside.select("id", "text", F.lit(None).cast("string").alias("next_text"))
     after = spark.createDataFrame([(a, b) for a, b in zip(every, every[1:] + every[:1])], "range int, next_range int")
-    heads = firsts.select(F.col("range").alias("next_range"), F.struct("text", fingerprint(F.col("text")).alias("mark")).alias("head"))
-    heads = heads.join(F.broadcast(after), "next_range").select("range", "head")
-    following = F.coalesce("follows", "head")
-    return inside.join(heads, "range").select("id", "text", "mark", following["text"].alias("next_text"), following["mark"].alias("next_mark"))
+    heads = firsts.withColumnRenamed("range", "next_range").join(F.broadcast(after), "next_range").select("range", "head")
+    return inside.join(heads, "range").select("id", "text", F.coalesce("follows", "head").alias("next_text"))
 
 
 def edited(text: Column, follows: Column) -> Column:
@@ -172,7 +168,7 @@ def op5_merkle(spark, sf_dir: str) -> DataFrame:
     pairs = with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
     marked = pairs.withColumn("edited", edited(F.col("text"), F.col("next_text"))).select(
         F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        F.col("mark").alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_mark")
+        fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), fingerprint(F.col("next_text")).alias("next_mark"))
     return marked.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),

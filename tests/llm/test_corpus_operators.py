@@ -288,6 +288,49 @@ def test_fingerprints(docs, rows):
     assert all(r.near == 1 for r in got if not r.text)
 
 
+def brute_tree(text):
+    h = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    cut = lambda x, pattern: re.split(pattern, x)
+    return [[[h(leaf) for leaf in cut(p, r"(?<=[.!?;,:] )")] for p in cut(s, r"(?<=\n)(?!\n)")] for s in cut(text, r"(?<=\n\n)(?!\n)")]
+
+
+def brute_root(tree):
+    h = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    return h("".join(h("".join(h("".join(p)) for p in s)) for s in tree))
+
+
+def brute_likeness(a, b):
+    """The descent with nested tuples for branches."""
+    if a == b:
+        return 1.0
+    frozen = lambda t: {tuple(map(tuple, s)) for s in t}
+    x, y, settled = frozen(a), frozen(b), 0
+    size = lambda n: sum(map(size, n)) if isinstance(n, tuple) else 1
+    for _ in range(2):
+        settled += sum(size(n) for n in x & y)
+        x, y = {c for n in x - y for c in n}, {c for n in y - x for c in n}
+    settled += len(x & y)
+    return settled / (settled + len(x ^ y) + 1)
+
+
+def test_trees_descend_from_the_root(spark):
+    base = "One, two. Three! Four.\nFive; six: seven.\n\nEight. Nine.\nTen. Eleven?\n\nTwelve."
+    texts = [base, base.replace("Nine", "Neuf"), base.replace("Ten. Eleven?\n", ""), "Twelve.", "", base + " Thirteen.", base.replace("One, two. Three! Four.\nFive; six: seven.", "Five; six: seven.\nOne, two. Three! Four."), "a\n\n\nb\n", "é. è.\n\n\n\nü"]
+    pairs = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)], "i int, j int, a string, b string")
+    marked = pairs.withColumns({"f": merkle.fingerprint(F.col("a")), "g": merkle.fingerprint(F.col("b"))})
+    for r in marked.select("i", "j", "f", merkle.likeness(F.col("f"), F.col("g")).alias("near"), merkle.differing(F.col("f"), F.col("g")).alias("new"), merkle.differing(F.col("g"), F.col("f")).alias("old")).collect():
+        a, b = brute_tree(texts[r.i]), brute_tree(texts[r.j])
+        assert r.f.startswith(brute_root(a) + "/") and abs(r.near - brute_likeness(a, b)) < 1e-12 and (r.near == 1) == (texts[r.i] == texts[r.j])
+        paths = lambda tree: {(s, p, k): h for s, x in enumerate(tree) for p, y in enumerate(x) for k, h in enumerate(y)}
+        for tree, found in ((b, r.new), (a, r.old)):
+            assert all(tuple(x) in paths(tree) for x in found)
+        if (r.i, r.j) == (0, 1):
+            assert [paths(b)[tuple(x)] for x in r.new] == [b[1][0][1]] and [paths(a)[tuple(x)] for x in r.old] == [a[1][0][1]]
+        if (r.i, r.j) == (0, 2):
+            # The line before the removed one now ends its section, so its last leaf changes too.
+            assert [tuple(x) for x in r.new] == [(1, 0, 1)] and sorted(tuple(x) for x in r.old) == [(1, 0, 1), (1, 1, 0), (1, 1, 1)]
+
+
 @pytest.mark.parametrize("name,end", [("byte_bpe_50k.json", 0), ("word_bpe_49k.json", 1)])
 def test_encoder_gives_the_library_ids(rows, name, end):
     public = pytest.importorskip("public_tokenizers")
