@@ -2,9 +2,10 @@
 
 The decoder reads any subset-conforming stream: constant, verbatim, fixed and linear-prediction subframes, Rice
 residuals with both parameter widths and escapes, wasted bits, all channel layouts. It verifies the CRC of every
-frame header and frame, and the MD5 of the samples. The encoder writes fixed predictors of order 0 to 4, or linear
-prediction where ``lpc_order`` asks for it, whichever is smaller, and a seek table with the first sample and the byte
-offset of every frame.
+frame header and frame, the MD5 of the samples, and that frames lie where the seek table says. Linear predictors run over many
+frames at once, a sample of each at a time. The encoder writes a fixed predictor of order 0 to 4 or, up to ``lpc_order``,
+linear prediction, whichever has the smaller residual, and a seek table with the first sample and the byte offset of
+every frame; ``read`` gets any range of samples by it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
@@ -101,9 +103,14 @@ def _rice_bits(residual: np.ndarray) -> tuple[int, np.ndarray]:
     return k, out
 
 
+@lru_cache(256)
+def _bell(n: int) -> np.ndarray:
+    return np.hanning(n + 2)[1:-1]
+
+
 def _lpc(samples: np.ndarray, order: int, precision: int = 12) -> tuple[np.ndarray, int] | None:
     """Quantised coefficients and shift by Levinson's recursion over a windowed autocorrelation."""
-    x = samples * np.hanning(len(samples) + 2)[1:-1]
+    x = samples * _bell(len(samples))
     r = np.array([x[: len(x) - i] @ x[i:] for i in range(order + 1)])
     if r[0] <= 0:
         return None
@@ -119,6 +126,12 @@ def _lpc(samples: np.ndarray, order: int, precision: int = 12) -> tuple[np.ndarr
     return coefficients, shift
 
 
+def _cost(total: int, n: int) -> float:
+    """About the bits of n residuals whose magnitudes sum up to ``total``."""
+    k = max(0, int(2 * total / max(1, n)).bit_length() - 1)
+    return n * (k + 1) + 2 * total / (1 << k)
+
+
 def _subframe(x: np.ndarray, bps: int, lpc_order: int) -> np.ndarray:
     if (x == x[0]).all():
         return np.concatenate([_bits(0, 8), _rows(x[:1], bps)])
@@ -127,22 +140,20 @@ def _subframe(x: np.ndarray, bps: int, lpc_order: int) -> np.ndarray:
         warm = np.diff(warm)
         if (total := int(np.abs(warm).sum())) < smallest:
             best, residual, smallest = order, warm, total
-    k, codes = _rice_bits(residual)
-    head, extra = _bits(8 + best, 8), np.empty(0, np.uint8)
-    order = best
+    head = [_bits((8 + best) << 1, 8), _rows(x[:best], bps)]
     if 0 < lpc_order < len(x) and (found := _lpc(x.astype(float), lpc_order)):
         coefficients, shift = found
-        windows = np.lib.stride_tricks.sliding_window_view(x, lpc_order)[:-1, ::-1]
-        other = x[lpc_order:] - (windows @ coefficients >> shift)
-        k2, codes2 = _rice_bits(other)
-        if len(codes2) + lpc_order * (bps + 12) + 9 < len(codes) + best * bps:
-            k, codes, order = k2, codes2, lpc_order
-            head = _bits((32 + lpc_order - 1) << 1, 8)
-            extra = np.concatenate([_bits(11, 4), _bits(shift, 5), _rows(coefficients, 12)])
-            return np.concatenate([head, _rows(x[:order], bps), extra, _bits(0, 6), _bits(k, 4), codes])
-    if len(codes) + best * bps + 10 >= len(x) * bps:
+        said = coefficients[0] * x[lpc_order - 1 : -1]
+        for i in range(1, lpc_order):
+            said = said + coefficients[i] * x[lpc_order - 1 - i : -1 - i]
+        other = x[lpc_order:] - (said >> shift)
+        if _cost(int(np.abs(other).sum()), len(other)) + lpc_order * (bps + 12) + 9 < _cost(smallest, len(residual)) + best * bps:
+            residual = other
+            head = [_bits((32 + lpc_order - 1) << 1, 8), _rows(x[:lpc_order], bps), _bits(11, 4), _bits(shift, 5), _rows(coefficients, 12)]
+    k, codes = _rice_bits(residual)
+    if sum(map(len, head)) + len(codes) + 10 >= len(x) * bps + 8:
         return np.concatenate([_bits(2, 8), _rows(x, bps)])
-    return np.concatenate([_bits((8 + best) << 1, 8), _rows(x[:best], bps), _bits(0, 6), _bits(k, 4), codes])
+    return np.concatenate([*head, _bits(0, 6), _bits(k, 4), codes])
 
 
 def encode(samples: np.ndarray, bps: int = 8, rate: int = 8000, block: int = BLOCK, lpc_order: int = 0) -> bytes:
@@ -208,6 +219,39 @@ def info(data: bytes) -> Info:
     return Info(*found, seek, at)
 
 
+@dataclass
+class Predicted:
+    """A subframe whose samples are still to be predicted."""
+
+    warm: np.ndarray
+    coefficients: np.ndarray
+    shift: int
+    residual: np.ndarray
+    wasted: int
+    samples: np.ndarray | None = None
+
+
+def predict(parts: list[Predicted], together: int = 512) -> None:
+    """Give all parts their samples: a step makes the next sample of up to ``together`` parts."""
+    parts = sorted(parts, key=lambda p: -len(p.residual))
+    for begin in range(0, len(parts), together):
+        some = parts[begin : begin + together]
+        order, longest, m = max(len(p.warm) for p in some), len(some[0].residual), len(some)
+        out, weight = np.zeros((order + longest, m), np.int64), np.zeros((order, m), np.int64)
+        for i, p in enumerate(some):
+            k = len(p.warm)
+            out[order - k : order, i], weight[order - k :, i] = p.warm, p.coefficients[::-1]
+            out[order : order + len(p.residual), i] = p.residual
+        shift = np.array([p.shift for p in some], np.int64)
+        lengths = np.array([len(p.residual) for p in some])
+        active = m - np.searchsorted(lengths[::-1], np.arange(1, longest + 1), "left")  # those with a residual left
+        for t, n in enumerate(active.tolist()):
+            said = np.einsum("ij,ij->j", out[t : t + order, :n], weight[:, :n])
+            out[t + order, :n] += said >> shift[:n]
+        for i, p in enumerate(some):
+            p.samples = out[order - len(p.warm) : order + len(p.residual), i] << p.wasted
+
+
 class _Reader:
     """Bits of one frame."""
 
@@ -281,7 +325,7 @@ class _Reader:
                 out.append(self.rice(count, k))
         return np.concatenate(out)
 
-    def subframe(self, n: int, bps: int) -> np.ndarray:
+    def subframe(self, n: int, bps: int) -> np.ndarray | Predicted:
         if self.take(1):
             raise Damaged("no subframe")
         kind, wasted = self.take(6), 0
@@ -305,20 +349,40 @@ class _Reader:
         elif kind >= 32:
             order = kind - 31
             warm, precision, shift = self.many(order, bps), self.take(4) + 1, self.signed(5)
-            coefficients = self.many(order, precision).tolist()
-            out = warm.tolist()
-            for e in self.residual(n, order).tolist():
-                out.append(e + (sum(c * s for c, s in zip(coefficients, out[: -order - 1 : -1])) >> shift))
-            x = np.array(out, np.int64)
+            coefficients = self.many(order, precision)
+            return Predicted(warm, coefficients, max(0, shift), self.residual(n, order), wasted)
         else:
             raise Damaged("a reserved subframe")
         return x << wasted
 
 
-def frames(data: bytes, stream: Info | None = None, at: int | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
-    """First sample, byte offset and samples (n, channels) of each frame, from byte ``at`` on; every checksum is verified."""
+@dataclass
+class Frame:
+    """A frame whose checksums are right: its first sample, byte offset, layout of channels and subframes."""
+
+    first: int
+    at: int
+    n: int
+    layout: int
+    parts: list
+
+    def samples(self) -> np.ndarray:
+        x = [p.samples if isinstance(p, Predicted) else p for p in self.parts]
+        if self.layout == 8:
+            x[1] = x[0] - x[1]
+        elif self.layout == 9:
+            x[0] = x[0] + x[1]
+        elif self.layout == 10:
+            middle = x[0] << 1 | x[1] & 1
+            x = [middle + x[1] >> 1, middle - x[1] >> 1]
+        return np.stack(x, 1)
+
+
+def parsed(data: bytes, stream: Info | None = None, at: int | None = None) -> Iterator[Frame]:
+    """The frames of a stream from byte ``at`` on, before prediction; every checksum is verified, and every seek point."""
     stream = stream or info(data)
     raw, start = np.frombuffer(data, np.uint8), stream.first if at is None else at
+    points = {offset: first for first, offset, _ in stream.seek}
     while start < len(raw):
         head = raw[start : start + 16].tolist()
         if len(head) < 6 or head[0] != 0xFF or head[1] & 0xFE != 0xF8:
@@ -346,31 +410,59 @@ def frames(data: bytes, stream: Info | None = None, at: int | None = None) -> It
         limit = start + stream.largest if stream.largest else len(raw)
         reader = _Reader(raw[start + at + 1 : limit])
         if layout < 8:
-            x = [reader.subframe(n, bps) for _ in range(layout + 1)]
+            parts = [reader.subframe(n, bps) for _ in range(layout + 1)]
         else:  # one channel is a difference, which takes a bit more
-            x = [reader.subframe(n, bps + (layout == 9)), reader.subframe(n, bps + (layout != 9))]
-            if layout == 8:
-                x[1] = x[0] - x[1]
-            elif layout == 9:
-                x[0] = x[0] + x[1]
-            else:
-                middle = x[0] << 1 | x[1] & 1
-                x = [middle + x[1] >> 1, middle - x[1] >> 1]
+            parts = [reader.subframe(n, bps + (layout == 9)), reader.subframe(n, bps + (layout != 9))]
         end = start + at + 1 + -(-reader.at // 8)
         if end + 2 > len(raw) or crc16(raw[start:end]) != int.from_bytes(raw[end : end + 2].tobytes(), "big"):
             raise Damaged("checksum of a frame")
-        first = number if head[1] & 1 else number * stream.block
-        yield first, start - stream.first, np.stack(x, 1)
+        first, offset = number if head[1] & 1 else number * stream.block, start - stream.first
+        if points.get(offset, first) != first:
+            raise Damaged("a seek point that leads elsewhere")
+        yield Frame(first, offset, n, layout, parts)
         start = end + 2
 
 
-def decode(data: bytes) -> np.ndarray:
-    """All samples (n, channels); the MD5 of the stream is verified if it has one."""
+def _predicted(found: list[Frame]) -> list[Frame]:
+    predict([p for frame in found for p in frame.parts if isinstance(p, Predicted)])
+    return found
+
+
+def frames(data: bytes, stream: Info | None = None, at: int | None = None, together: int = 64) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First sample, byte offset and samples (n, channels) of each frame, from byte ``at`` on; ``together`` are in memory."""
+    source = parsed(data, stream, at)
+    while found := list(islice(source, together)):
+        for frame in _predicted(found):
+            yield frame.first, frame.at, frame.samples()
+
+
+def read(data: bytes, first: int, count: int) -> np.ndarray:
+    """``count`` samples from ``first`` on: only the frames that hold them are decoded, found by the seek table."""
     stream = info(data)
-    parts = [x for _, _, x in frames(data, stream)]
-    samples = np.concatenate(parts) if parts else np.empty((0, stream.channels), np.int64)
-    if stream.n and len(samples) != stream.n:
-        raise Damaged("number of samples")
-    if any(stream.md5) and hashlib.md5(_wide(samples, stream.bps)).digest() != stream.md5:
-        raise Damaged("checksum of the samples")
-    return samples
+    before = [(sample, offset) for sample, offset, _ in stream.seek if sample <= first]
+    out = []
+    for at, _, x in frames(data, stream, stream.first + max(before, default=(0, 0))[1], together=1):
+        out.append(x[max(0, first - at) : max(0, first + count - at)])
+        if at + len(x) >= first + count:
+            break
+    return np.concatenate(out) if out else np.empty((0, stream.channels), np.int64)
+
+
+def decode_many(streams: list[bytes]) -> list[np.ndarray]:
+    """All samples (n, channels) of each stream; the MD5 of the samples is verified where a stream has one."""
+    about = [info(data) for data in streams]
+    found = [list(parsed(data, stream)) for data, stream in zip(streams, about)]
+    _predicted([frame for own in found for frame in own])
+    out = []
+    for own, stream in zip(found, about):
+        samples = np.concatenate([frame.samples() for frame in own]) if own else np.empty((0, stream.channels), np.int64)
+        if stream.n and len(samples) != stream.n:
+            raise Damaged("number of samples")
+        if any(stream.md5) and hashlib.md5(_wide(samples, stream.bps)).digest() != stream.md5:
+            raise Damaged("checksum of the samples")
+        out.append(samples)
+    return out
+
+
+def decode(data: bytes) -> np.ndarray:
+    return decode_many([data])[0]

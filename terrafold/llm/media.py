@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from terrafold.llm import flac
 from terrafold.llm.textcols import text_of
 
+#: Order of the linear predictors that the query tries.
+LPC_ORDER = 8
 BLOCKS = "id long, block int, sample_offset long, byte_offset long, n_samples long, channels int, rate int, pcm binary, error string"
 
 
@@ -75,15 +77,27 @@ def pcm_blocks(rows: DataFrame, id_col: str, column: str = "media") -> DataFrame
 
 def decode_column(rows: DataFrame, column: str = "media") -> DataFrame:
     """``rows`` with ``payload`` (the samples as bytes, of 8-bit streams) and ``feature``: number of samples, their sum,
-    energy, peak and zero crossings. Checksums are verified; a damaged stream fails the job."""
+    energy, peak and zero crossings. Checksums and seek points are verified; a damaged stream fails the job."""
+
+    def some(values: pa.Array, most_bytes: int = 1 << 21) -> Iterator[list[bytes]]:
+        """The streams of a batch, up to a bounded number of bytes (one stream at least) at a time."""
+        held, size = [], 0
+        for value in values:
+            if held and size + len(value.as_py()) > most_bytes:
+                yield held
+                held, size = [], 0
+            held.append(value.as_py())
+            size += len(held[-1])
+        if held:
+            yield held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             payload, feature = [], []
-            for value in batch.column(column):
-                x = flac.decode(value.as_py())[:, 0]
-                payload.append(x.astype(np.int8).tobytes())
-                feature.append(f"n={len(x)};sum={x.sum()};energy={x @ x};peak={np.abs(x).max()};crossings={np.count_nonzero(np.diff(x < 0))}")
+            for streams in some(batch.column(column)):
+                for x in (samples[:, 0] for samples in flac.decode_many(streams)):
+                    payload.append(x.astype(np.int8).tobytes())
+                    feature.append(f"n={len(x)};sum={x.sum()};energy={x @ x};peak={np.abs(x).max()};crossings={np.count_nonzero(np.diff(x < 0))}")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(payload, pa.binary()), pa.array(feature, pa.string())], names=[*batch.schema.names, "payload", "feature"])
 
     return rows.mapInArrow(run, type(rows.schema)([*rows.schema.fields]).add("payload", "binary").add("feature", "string"))
@@ -91,7 +105,7 @@ def decode_column(rows: DataFrame, column: str = "media") -> DataFrame:
 
 def op6_flac(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text_of("text").cast("binary").alias("data"))
-    coded = encode_column(docs.withColumn("n_bytes", F.octet_length("data").cast("long")), "data")
+    coded = encode_column(docs.withColumn("n_bytes", F.octet_length("data").cast("long")), "data", lpc_order=LPC_ORDER)
     back = decode_column(coded)
     return back.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
