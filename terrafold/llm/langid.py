@@ -123,17 +123,18 @@ def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, most: int = MOST, s
 
 
 def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` as further columns."""
+    """``docs`` with ``lang_pred`` and ``score`` as last columns, in place of columns of these names if there are any."""
     sent = docs.sparkSession.sparkContext.broadcast(profiles)
-    text = docs.columns.index(text_col)
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rows = docs.select(*[docs[f"`{c}`"] for c in kept], docs[f"`{text_col}`"].alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sent.value.best(t.as_py()) for t in batch.column(text)]
+            found = [sent.value.best(t.as_py()) for t in batch.columns[-1]]
             more = [pa.array([x[k] for x in found], t) for k, t in ((0, pa.string()), (1, pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[*kept, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, type(docs.schema)([*docs.schema.fields]).add("lang_pred", "string").add("score", "double"))
+    return rows.mapInArrow(run, type(docs.schema)([docs.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double"))
 
 
 def op2_langid(spark, sf_dir: str) -> DataFrame:

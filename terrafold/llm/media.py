@@ -6,7 +6,7 @@ stream that breaks the format or fails a checksum gives one row with the reason
 
 Defined results: null bytes are empty; a payload is padded with zero bytes to a positive multiple of ``unit``; a null
 stream gives no blocks; repeated rows are coded each for itself; an empty table gives an empty result; further columns
-are carried by ``encode_column`` and must not be called ``media``.
+are carried by ``encode_column`` and ``decode_column``, but for those of the names of what they add, which are replaced.
 """
 
 from __future__ import annotations
@@ -32,16 +32,17 @@ def _batches(rows: list, kind: pa.Schema) -> pa.RecordBatch:
 
 def encode_column(rows: DataFrame, column: str, unit: int = 64, block: int = flac.BLOCK, lpc_order: int = 0) -> DataFrame:
     """``rows`` without ``column`` and with ``media``, the FLAC stream of its padded bytes."""
-    others = [c for c in rows.columns if c != column]
+    others = [c for c in rows.columns if c not in (column, "media")]
+    rows = rows.select(*[rows[f"`{c}`"] for c in others], rows[f"`{column}`"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             media = []
-            for value in batch.column(column):
+            for value in batch.columns[-1]:
                 data = value.as_py() or b""
                 data += bytes(-len(data) % unit if data else unit)
                 media.append(flac.encode(np.frombuffer(data, np.int8), 8, block=block, lpc_order=lpc_order))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(media, pa.binary())], names=[*others, "media"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(media, pa.binary())], names=[*others, "media"])
 
     schema = type(rows.schema)([rows.schema[c] for c in others]).add("media", "binary")
     return rows.mapInArrow(run, schema)
@@ -79,6 +80,8 @@ def decode_column(rows: DataFrame, column: str = "media") -> DataFrame:
     """``rows`` with ``payload`` (the samples as bytes, of 8-bit streams) and ``feature``: number of samples, their sum,
     energy, peak and zero crossings. Checksums and seek points are verified; a damaged stream fails the job."""
 
+    rows = rows.drop("payload", "feature")
+
     def some(values: pa.Array, most_bytes: int = 1 << 21) -> Iterator[list[bytes]]:
         """The streams of a batch, up to a bounded number of bytes (one stream at least) at a time."""
         held, size = [], 0

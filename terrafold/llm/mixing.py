@@ -15,21 +15,24 @@ go by id, then size. Columns of the input other than id, source, size and qualit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrafold.llm.shared import stored
-from terrafold.llm.textcols import text_of, uniform, word_count
+from terrafold.llm.textcols import text_of, uniform, words_of
 
 LEAST_QUALITY = 1e-3
+VARIED = 4.0
 JUNK = "0123456789!#$%&()*+,-./:;<=>?@[]^_{|}~"
 
 
-def text_quality(col: str):
-    """Share of characters that are neither digits nor ASCII punctuation, between 0 and 1."""
-    text = text_of(col)
-    return (1 + F.length(F.translate(text, JUNK, ""))) / (1 + F.length(text))
+def text_quality(text: Column, n_words: Column, n_kinds: Column) -> Column:
+    """Between 0 and 1: the share of characters that are neither digits nor ASCII punctuation, times the variety of words,
+    which is their number of kinds over the root of their number (so that length alone changes little), full at
+    ``VARIED``. Junk and texts that repeat their lines weigh little."""
+    clean = (1 + F.length(F.translate(text, JUNK, ""))) / (1 + F.length(text))
+    return clean * F.least(F.lit(1.0), (1 + n_kinds) / (VARIED * F.sqrt(1 + n_words)))
 
 
 def source_targets(sizes: DataFrame, most: float = 3.0, cycle: int = 3) -> DataFrame:
@@ -58,18 +61,19 @@ def source_targets(sizes: DataFrame, most: float = 3.0, cycle: int = 3) -> DataF
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", quality_col: str = "quality",
-        most: float = 3.0, cycle: int = 3, seed: str = "mix-1", rows_per_range: int = 4096) -> DataFrame:
+        most: float = 3.0, cycle: int = 3, seed: str = "mix-1", rows_per_range: int = 4096, tie_col: str | None = None) -> DataFrame:
     """``id, source, size, source_size, target, epochs, key, taken`` for every row of ``docs``.
 
     ``taken`` sums to the floor of the target over a source: whole epochs for all, then documents in key order,
-    the last of them in part.
+    the last of them in part. Where ids are null, ``tie_col`` draws in their place.
     """
+    drawn = F.coalesce(F.col(id_col).cast("string"), F.col(tie_col)) if tie_col else F.col(id_col)
     quality = F.greatest(F.coalesce(F.col(quality_col).cast("double"), F.lit(0.0)), F.lit(LEAST_QUALITY))
     rows = stored(
         docs.select(
             F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-            F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("size"), quality.alias("quality"),
-        ).withColumn("key", -F.log(uniform("id", seed=seed)) / F.col("quality")),
+            F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("size"), quality.alias("quality"), uniform(drawn, seed=seed).alias("u"),
+        ).withColumn("key", -F.log("u") / F.col("quality")).drop("u"),
         "mix-rows",
     )
     per_source = rows.groupBy("source").agg(
@@ -95,8 +99,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """``mix`` over documents: size is the number of words, quality that of ``text_quality``."""
-    sized = docs.select("doc_id", "source", word_count("text").alias("size"), text_quality("text").alias("quality"))
-    return mix(sized, **options)
+    counts = F.get(F.transform(F.array(words_of("text")), lambda w: F.struct(F.size(w).alias("words"), F.size(F.array_distinct(w)).alias("kinds"))), F.lit(0))
+    counted = docs.select("doc_id", "source", text_of("text").alias("text"), counts.alias("n"))
+    sized = counted.select("doc_id", "source", F.col("n.words").alias("size"), text_quality(F.col("text"), F.col("n.words"), F.col("n.kinds")).alias("quality"),
+                           F.when(F.col("doc_id").isNull(), F.md5("text")).alias("tie"))
+    return mix(sized, tie_col="tie", **options)
 
 
 def op8_mix(spark, sf_dir: str) -> DataFrame:
@@ -108,11 +115,12 @@ def op8_mix(spark, sf_dir: str) -> DataFrame:
 OP8_SQL = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source,
-         len(list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''))::BIGINT AS size,
-         (1 + length(translate(coalesce(text, ''), '{JUNK}', '')))::DOUBLE / (1 + length(coalesce(text, ''))) AS quality
-  FROM documents),
+         len(w)::BIGINT AS size, md5(text) AS tie,
+         (1 + length(translate(coalesce(text, ''), '{JUNK}', '')))::DOUBLE / (1 + length(coalesce(text, '')))
+         * least(1.0::DOUBLE, (1 + len(list_distinct(w)))::DOUBLE / ({VARIED}::DOUBLE * sqrt((1 + len(w))::DOUBLE))) AS quality
+  FROM (SELECT *, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM documents)),
 k AS (
-  SELECT *, -ln((('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+  SELECT *, -ln((('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, tie, '')), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0)
             / greatest(quality, 0.001) AS key FROM d),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,

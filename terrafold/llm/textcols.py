@@ -14,11 +14,16 @@ def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def word_count(col: str | Column) -> Column:
-    """Number of words as long; null and empty texts have 0."""
+def words_of(col: str | Column) -> Column:
+    """The words of a text in order; null and empty texts have none."""
     blanks = "\t\n\x0b\x0c\r"
     spaced = F.translate(text_of(col), blanks, " " * len(blanks))
-    return F.size(F.filter(F.split(spaced, " +"), lambda w: w != "")).cast("long")
+    return F.filter(F.split(spaced, " +"), lambda w: w != "")
+
+
+def word_count(col: str | Column) -> Column:
+    """Number of words as long; null and empty texts have 0."""
+    return F.size(words_of(col)).cast("long")
 
 
 def fold(col: Column, of: int, rest: int) -> Column:

@@ -206,19 +206,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", to: str = "score") -> DataFrame:
-    """``docs`` with the score as a further column; all other columns stay as they are."""
+    """``docs`` with the score as the last column, in place of a column of that name if there is one."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    text = docs.columns.index(text_col)
+    kept = [c for c in docs.columns if c != to]
+    rows = docs.select(*[docs[f"`{c}`"] for c in kept], docs[f"`{text_col}`"].alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.empty(0)]
-            for _, data, bounds in parts(batch.column(text)):
+            for _, data, bounds in parts(batch.columns[-1]):
                 found.append(sent.value.scores(*words(data, bounds, PUNCTUATION)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found))], names=[*batch.schema.names, to])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(found))], names=[*kept, to])
 
-    schema = type(docs.schema)([*docs.schema.fields]).add(to, "double")
-    return docs.mapInArrow(run, schema)
+    schema = type(docs.schema)([docs.schema[c] for c in kept]).add(to, "double")
+    return rows.mapInArrow(run, schema)
 
 
 def fit_tables(spark, docs: DataFrame, sf_dir: str) -> Model:

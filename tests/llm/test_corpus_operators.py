@@ -273,6 +273,27 @@ def test_mixing(docs, rows):
         assert abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - want[s]) <= 1
 
 
+def test_junk_and_repetition_weigh_little(spark):
+    texts = [" ".join(a + b + "e" for a in "abcdefghijklmnopqrst" for b in "aeioubcdfg"), "one line again and again\n" * 60, "12,3;4|5 " * 100, "", None]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    n = {r.id: r for r in mixing.mix_documents(docs).collect()}
+    rate = lambda i: float(np.float64(n[i].key))
+    drawn = {i: -np.log((int(hashlib.md5(f"mix-1:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) for i in n}
+    weight = {i: drawn[i] / rate(i) for i in (0, 1, 2)}
+    assert weight[0] > 0.8 and weight[1] < 0.2 and weight[2] < 0.1
+    none = spark.createDataFrame([(None, f"words {i} here", "s") for i in range(40)], docs.schema)
+    assert len({r.key for r in mixing.mix_documents(none).collect()}) == 40
+
+
+def test_added_columns_replace_those_of_their_names(spark):
+    docs = spark.createDataFrame([(1, "some text", "x", 5)], "doc_id long, text string, score string, media int")
+    assert langid.predict(docs, langid.Profiles([], {}, 5)).columns == ["doc_id", "text", "media", "lang_pred", "score"]
+    coded = media.encode_column(docs.withColumn("data", F.col("text").cast("binary")), "data")
+    assert coded.columns == ["doc_id", "text", "score", "media"]
+    back = media.decode_column(coded.withColumn("payload", F.lit(1))).first()
+    assert bytes(back.payload).rstrip(b"\0") == b"some text" and flac.read(bytes(back.media), 5, 4)[:, 0].astype(np.int8).tobytes() == b"text"
+
+
 def test_fingerprints(docs, rows):
     pairs = merkle.with_next(docs, "doc_id", "text", rows_per_range=3)
     got = pairs.withColumn("edited", merkle.edited(F.col("text"), F.col("next_text"))).withColumns({"f": merkle.fingerprint(F.col("text")), "g": merkle.fingerprint(F.col("edited"))})
