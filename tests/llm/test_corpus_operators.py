@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small tables with nulls, repeats, ties and odd texts."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -563,6 +564,70 @@ def test_no_bigram_is_dropped_that_the_model_keeps(spark):
         assert want <= {(r.a, r.b) for r in table.where(toxicity.may_stand_out(np.array(totals))).collect()}
 
 
+def test_kneser_ney_by_hand():
+    """The model against dictionaries and sums written out, on two made-up classes."""
+    rng = np.random.default_rng(8)
+    texts = {0: [["the", "cat", "sat", "on", "the", "mat"], ["a", "dog", "sat", "there"]] * 3 + [list(rng.choice(list("abcdefgh"), 9)) for _ in range(60)],
+             1: [["you", "vile", "cat"], ["you", "vile", "dog"], ["so", "vile"], ["how", "vile", "you"]] * 5 + [[x, "vile", "thing"] for x in "abcdefghijklmnop"]}
+    triples = {(c, u, v, w) for c, some in texts.items() for t in some for u, v, w in zip(["^", *t], t, t[1:])}
+    vocabulary = sorted({w for some in texts.values() for t in some for w in t})
+    key = {w: np.uint64(1000 + 7 * i) for i, w in enumerate(vocabulary)}
+    pairs = {(v, w): [0, 0] for _, _, v, w in triples}
+    for c, _, v, w in triples:
+        pairs[v, w][c] += 1
+    contexts = {w: [sum(1 for (_, r), n in pairs.items() if r == w and n[c]) for c in (0, 1)] for w in vocabulary}
+    often = {v: [sum(n[c] for (left, _), n in pairs.items() if left == v) for c in (0, 1)] for v in vocabulary}
+
+    def kept(n, totals):
+        out = []
+        for c in (0, 1):
+            expected = sum(n) * totals[c] / sum(totals)
+            stands = n[c] - expected > toxicity.STANDS_OUT * expected**0.5 and n[c] / totals[c] >= toxicity.TIMES * (n[1 - c] + 0.5) / totals[1 - c]
+            out.append(n[c] - toxicity.DISCOUNT if stands else 0.0)
+        return out
+
+    totals = [sum(contexts[w][c] for w in vocabulary) for c in (0, 1)]
+    own = {w: kept(contexts[w], totals) for w in vocabulary}
+    shared = {w: sum(contexts[w]) - sum(own[w]) + 0.5 for w in vocabulary}
+    mass = sum(shared.values()) + 0.5
+
+    def unigram(w, c):
+        rest = 1 - sum(own[x][c] for x in vocabulary) / totals[c]
+        return (own[w][c] / totals[c] if w in own else 0) + rest * (shared[w] if w in own else 0.5) / mass
+
+    of_pairs = [sum(often[v][c] for v in vocabulary) for c in (0, 1)]
+    bigrams = {p: kept(n, of_pairs) for p, n in pairs.items()}
+
+    def probability(w, before, c):
+        if before is None:
+            return unigram(w, c)
+        most = max(1, often.get(before, [0, 0])[c])
+        given = bigrams.get((before, w), [0, 0])[c] / most
+        return given + (1 - sum(n[c] for (v, _), n in bigrams.items() if v == before) / most) * unigram(w, c)
+
+    order = list(pairs)
+    column = lambda i: np.array([key[p[i]] for p in order], np.uint64)
+    table = lambda of: np.array([of[w] for w in vocabulary], float)
+    model = toxicity.kneser_ney(np.array([key[w] for w in vocabulary], np.uint64), table(contexts), table(often), column(0), column(1), np.array([pairs[p] for p in order], float))
+    assert any(any(n) for n in bigrams.values()) and any(any(n) for n in own.values())
+    for text in (["you", "vile", "cat"], ["the", "cat", "sat"], ["unseen", "vile", "unseen"], ["a"], []):
+        want = sum(math.log(probability(w, b, 1)) - math.log(probability(w, b, 0)) for w, b in zip(text, [None, *text]))
+        got = model.evidence(np.array([key.get(w, np.uint64(5)) for w in text], np.uint64), np.array([0, len(text)]))
+        assert abs(got[0] - want) < 1e-9
+    for c in (0, 1):  # each distribution over the vocabulary and the unknown word adds up to one
+        for before in (None, "vile", "you", "a"):
+            assert abs(sum(probability(w, before, c) for w in [*vocabulary, "unseen"]) - 1) < 1e-9
+
+
+def test_out_of_place_distance_by_hand():
+    ranked = {"xx": list("abcde"), "yy": list("badxy")}
+    code = {c: np.uint64(10 * ord(c)) for c in "abcdexyz"}
+    profiles = langid.Profiles(["xx", "yy"], {k: np.array([code[c] for c in v], np.uint64) for k, v in ranked.items()}, 5)
+    own = "bzad"
+    want = [sum(abs(i - v.index(c)) if c in v else 5 for i, c in enumerate(own)) for v in ranked.values()]
+    assert profiles.distances(np.array([code[c] for c in own], np.uint64)).tolist() == want == [1 + 5 + 2 + 0, 0 + 5 + 1 + 1]
+
+
 def test_languages(spark, docs, rows):
     texts = [("en", prose(i, 50)) for i in range(30)] + [("fr", "la maison est près de la rivière et les oiseaux chantent " + "été " * (i % 5)) for i in range(30)]
     train = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
