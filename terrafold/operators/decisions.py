@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.operators.quantiles import column_quantiles
+
 PROBABLE, NEVER = 0.70, 0.20
 
 
@@ -41,8 +43,7 @@ def proximity_setting(water_m: Column, lake_m: Column, channel_m: Column, water:
 
 def purity_by_population(rows: DataFrame, green: str, albedo: str, water: str, high: float = 0.85, low: float = 0.15, least: int = 5) -> DataFrame:
     """Purity against percentiles of the rows themselves; with fewer than ``least`` values there is no cut."""
-    cut = lambda c, p: F.when(F.count(c) >= least, F.percentile(c, F.lit(p)))
-    cuts = rows.agg(cut(green, low).alias("green_cut"), cut(albedo, high).alias("rock_cut"), cut(water, high).alias("water_cut"))
+    cuts = column_quantiles(rows, {"green_cut": (green, low), "rock_cut": (albedo, high), "water_cut": (water, high)}, least)
     out = rows.crossJoin(F.broadcast(cuts))  # one row
     return out.withColumn("purity", F.when((F.col(water) >= F.col("water_cut")) & (F.col(green) <= F.col("green_cut")), F.lit("mixed-water"))
                           .when((F.col(albedo) >= F.col("rock_cut")) & (F.col(green) <= F.col("green_cut")), F.lit("mixed-rock")).otherwise(F.lit("pure")))
@@ -79,7 +80,7 @@ def purity(green: Column, cut: Column | float, by_water: Column) -> Column:
 
 def median_or(rows: DataFrame, value: str, least: int = 5, default: float = 0.60) -> DataFrame:
     """The median of a column, or the default with fewer than ``least`` values."""
-    return rows.agg(F.when(F.count(value) >= least, F.median(value)).otherwise(F.lit(default)).alias("cut"))
+    return column_quantiles(rows, {"cut": (value, 0.5)}, least).select(F.coalesce("cut", F.lit(default)).alias("cut"))
 
 
 def water_override(code: Column, best: Column, absent: Column, water: Column) -> tuple[Column, Column]:

@@ -12,14 +12,16 @@ def _score_counts(rows: DataFrame, truth: str, score: str) -> DataFrame:
         F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
 
 
-def _before(counts: DataFrame, ranges: int = 64) -> DataFrame:
+def _before(counts: DataFrame, ranges: int = 256) -> DataFrame:
     """Each distinct score with the positives and negatives of smaller scores.
 
-    Scores are cut into ranges, each range is summed for itself and continues from the ranges before, so no task sorts all.
+    Scores are cut into ranges at approximate quantiles, so that skewed scores fill them alike; each range is summed for
+    itself and continues from the ranges before, so no task sorts all.
     """
-    low, high = counts.agg(F.min("s"), F.max("s")).first()
-    span = (high - low) if low is not None and high > low else 1.0
-    cut = counts.withColumn("range", F.floor((F.col("s") - F.lit(low if low is not None else 0.0)) / F.lit(float(span)) * ranges))
+    fractions = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    cuts = sorted(set(counts.agg(F.percentile_approx(F.col("s").cast("double"), fractions, F.lit(10 * ranges))).first()[0] or []))
+    at = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col("s"))) if cuts else F.lit(0)
+    cut = counts.withColumn("range", at)
     earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     sums = cut.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     sums = sums.select("range", F.coalesce(F.sum("p").over(earlier), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"))

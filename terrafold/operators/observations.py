@@ -95,3 +95,17 @@ def best_covered(points: DataFrame, scenes: DataFrame, cell: float) -> DataFrame
     covered = held.select("day", "from_id").distinct().groupBy("day").agg(F.count(F.lit(1)).alias("covered"))
     days = scenes.groupBy("day").agg(F.avg("cloud").alias("cloud")).join(covered, "day", "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
     return days.orderBy(F.desc("covered"), F.round("cloud", 9), "day").limit(1).select("day", "covered", "cloud")
+
+
+def polarisation(vv: DataFrame, vh: DataFrame, by: list[str]) -> DataFrame:
+    """Statistics of both polarisations, and the difference of their means in decibel."""
+    a = backscatter(vv, by, "power").select(*by, F.col("db_mean").alias("vv_mean"), F.col("db_sd").alias("vv_sd"))
+    b = backscatter(vh, by, "power").select(*by, F.col("db_mean").alias("vh_mean"), F.col("db_sd").alias("vh_sd"))
+    return a.join(b, by, "full").withColumn("ratio", F.col("vv_mean") - F.col("vh_mean"))
+
+
+def best_readings(readings: DataFrame, by: list[str], value: str, least: int = 2) -> DataFrame:
+    """Of each day the reading with most valid pixels (the first of equals); over days their mean, 10th percentile and
+    deviation, which needs ``least`` days. ``readings`` has day, reading, n_valid."""
+    best = readings.where(F.col(value).isNotNull()).groupBy(*by, "day").agg(F.min_by(value, F.struct(-F.col("n_valid"), F.col("reading"))).alias("v"))
+    return best.groupBy(*by).agg(F.count("v").alias("days"), F.avg("v").alias("mean"), F.percentile("v", F.lit(0.1)).alias("p10"), F.when(F.count("v") >= least, F.stddev_pop("v")).alias("sd"))

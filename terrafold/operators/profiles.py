@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.operators.quantiles import exact_quantiles
+
 QUANTILES = (0.10, 0.25, 0.50, 0.75, 0.90)
 
 
@@ -15,16 +17,14 @@ def unpivoted(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame
 
 def class_percentiles(rows: DataFrame, code: str, columns: list[str], least: int = 10) -> DataFrame:
     """Exact percentiles of each variable in each class with enough values."""
-    stats = unpivoted(rows, [code], columns).groupBy(code, "variable").agg(
-        F.count(F.lit(1)).alias("n"), *[F.percentile("value", F.lit(q)).alias(f"p{round(q * 100)}") for q in QUANTILES])
+    stats = exact_quantiles(unpivoted(rows, [code], columns), [code, "variable"], "value", {f"p{round(q * 100)}": q for q in QUANTILES})
     return stats.where(F.col("n") >= least)
 
 
 def boxplot(rows: DataFrame, code: str, columns: list[str]) -> DataFrame:
     """Quartiles, extremes, and the whisker ends at 1.5 interquartile ranges, cut to the data."""
-    stats = unpivoted(rows, [code], columns).groupBy(code, "variable").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"),
-        *[F.percentile("value", F.lit(q)).alias(c) for q, c in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    # The 0 and 1 quantiles are the extremes.
+    stats = exact_quantiles(unpivoted(rows, [code], columns), [code, "variable"], "value", {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return stats.withColumns({"whisker_low": F.greatest("low", F.col("q1") - reach), "whisker_high": F.least("high", F.col("q3") + reach)})
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terrafold.operators.quantiles import column_quantiles
+
 
 def eligibility(label: Column, doubtful: Column, category: Column, invalid: Column) -> Column:
     """Struct of category (0 absence, null unused), origin and reason."""
@@ -45,10 +47,10 @@ def completeness(rows: DataFrame, predictors: list[str], read: Column) -> DataFr
 
 def undersample(rows: DataFrame, code: str, ratio: float, order: list[Column | str]) -> DataFrame:
     """At most ``max(smallest, floor(smallest * ratio))`` rows a class, in the given order."""
-    sizes = rows.groupBy(code).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least_"))
-    cap = F.greatest(F.col("least_"), F.floor(F.col("least_") * ratio))
+    smallest = rows.groupBy(code).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0] or 0
     ranked = rows.withColumn("rank_", F.row_number().over(Window.partitionBy(code).orderBy(*order)))
-    return ranked.crossJoin(F.broadcast(sizes)).where(F.col("rank_") <= cap).drop("rank_", "least_")  # sizes is one row
+    # A number that the plan knows lets each task keep only so many rows of a class before they travel.
+    return ranked.where(F.col("rank_") <= max(smallest, int(smallest * ratio))).drop("rank_")
 
 
 def group_folds(rows: DataFrame, group: str, k: int) -> DataFrame:
@@ -61,7 +63,7 @@ def group_folds(rows: DataFrame, group: str, k: int) -> DataFrame:
 
 def median_imputed(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls become the column's median, 0 where the column is empty."""
-    medians = rows.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(f"{c}__m") for c in columns])
+    medians = column_quantiles(rows, {f"{c}__m": (c, 0.5) for c in columns}).select(*[F.coalesce(f"{c}__m", F.lit(0.0)).alias(f"{c}__m") for c in columns])
     filled = rows.crossJoin(F.broadcast(medians))  # one row
     return filled.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}__m")) for c in columns}).drop(*[f"{c}__m" for c in columns])
 
@@ -74,3 +76,21 @@ def within_range(rows: DataFrame, value: str, low: float | None, high: float | N
     for limit, inside in ((low, F.col(value) >= (low or 0)), (high, F.col(value) <= (high or 0))):
         keep = keep & inside if limit else keep
     return rows.where(keep)
+
+
+def without_truth(rows: DataFrame) -> DataFrame:
+    """Rows that did not come from the layer of truth."""
+    return rows.where(~F.coalesce(F.col("source") == "truth", F.lit(False)))
+
+
+def without(rows: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among the chosen ones."""
+    return rows.join(chosen.select(key).distinct(), key, "left_anti")
+
+
+def catalogue_union(catalogue: list[str], *sets: list[str]) -> list[str]:
+    """The predictors of any of the sets, in the catalogue's order and once each."""
+    known = {p for one in sets for p in one}
+    if lost := known - set(catalogue):
+        raise ValueError(f"not in the catalogue: {', '.join(sorted(lost))}")
+    return [p for p in catalogue if p in known]

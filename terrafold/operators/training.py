@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrafold.operators.samples import group_folds, median_imputed
+from terrafold.operators.spatial import far_from
+
+#: What the description of a saved model has at least.
+REQUIRED = ("predictors", "classes", "n_rows")
 
 
 def weighted(rows: DataFrame, code: str) -> DataFrame:
@@ -27,6 +33,57 @@ def fit_forest(rows: DataFrame, code: str, predictors: list[str], trees: int = 1
     return (forest.setWeightCol("weight") if balanced else forest).fit(table)
 
 
+def save_model(model: RandomForestClassificationModel, path: str, about: dict) -> None:
+    """The forest, and beside it what it was trained on (``REQUIRED`` keys and any others); the description comes last."""
+    if lost := [k for k in REQUIRED if k not in about]:
+        raise ValueError(f"the description lacks {', '.join(lost)}")
+    spark = SparkSession.active()
+    model.write().overwrite().save(f"{path}/forest")
+    spark.createDataFrame([(json.dumps(about, sort_keys=True),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[RandomForestClassificationModel, dict]:
+    """A saved forest and its description; ValueError where the description lacks a key or does not fit the forest."""
+    about = json.loads(spark.read.text(f"{path}/about").first()[0])
+    if lost := [k for k in REQUIRED if k not in about]:
+        raise ValueError(f"{path}: the description lacks {', '.join(lost)}")
+    model = RandomForestClassificationModel.load(f"{path}/forest")
+    if model.numFeatures != len(about["predictors"]):
+        raise ValueError(f"{path}: {model.numFeatures} predictors in the forest, {len(about['predictors'])} in its description")
+    return model, about
+
+
+def importance_table(spark: SparkSession, model: RandomForestClassificationModel, predictors: list[str]) -> DataFrame:
+    """``rank, variable, importance`` with six decimals as text, for a file."""
+    rows = [(k + 1, name, f"{value:.6f}") for k, (name, value) in enumerate(importances(model, predictors))]  # one row a predictor
+    return spark.createDataFrame(rows, "rank int, variable string, importance string")
+
+
+def presence_labels(rows: DataFrame, least: float = 250.0) -> DataFrame:
+    """``rows`` (id, x, y, label, doubtful) with ``code``: 1 for a known yes, 0 for a known no and for unlabelled rows at
+    least so far from every yes, null for the doubtful and all others, which train nothing."""
+    sure = ~F.coalesce(F.col("doubtful"), F.lit(False))
+    positives = rows.where((F.col("label") == "yes") & sure).select(F.col("id").alias("to_id"), "x", "y")
+    free = rows.where((F.coalesce("label", F.lit("")) == "") & sure).select(F.col("id").alias("from_id"), "x", "y")
+    absent = far_from(free, positives, least).select(F.col("from_id").alias("id"), F.lit(True).alias("far_"))
+    code = F.when(~sure, F.lit(None).cast("double")).when(F.col("label") == "yes", F.lit(1.0)).when(F.col("label") == "no", F.lit(0.0)).when(F.col("far_"), F.lit(0.0))
+    return rows.join(absent, "id", "left").withColumn("code", code).drop("far_")
+
+
+def detector(rows: DataFrame, predictors: list[str], fallback: str | None = None, least: int = 15, **options) -> tuple[RandomForestClassificationModel | None, str]:
+    """A forest of the rows' own labels; with fewer than ``least`` of either class the saved one, if there is any. Says which."""
+    table = presence_labels(rows)
+    sizes = {r.code: r.n for r in table.where("code is not null").groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if min(sizes.get(0.0, 0), sizes.get(1.0, 0)) >= least:
+        return fit_forest(table.where("code is not null"), "code", predictors, **options), "own"
+    if fallback is None:
+        return None, "none"
+    model, about = load_model(rows.sparkSession, fallback)
+    if about["predictors"] != predictors:
+        raise ValueError(f"{fallback}: trained on other predictors")
+    return model, "saved"
+
+
 def predict(model: RandomForestClassificationModel, rows: DataFrame, predictors: list[str]) -> DataFrame:
     """``rows`` with the probabilities of all classes and the predicted class."""
     table = VectorAssembler(inputCols=predictors, outputCol="features").transform(median_imputed(rows, predictors))

@@ -197,3 +197,34 @@ def decision_colours(spark, sf_dir):
     p = F.col("proba")
     d = F.when(F.col("doubtful"), F.lit("DOUBTFUL")).when(p >= 0.7, F.lit("PROBABLE")).when(p >= 0.5, F.lit("POSSIBLE")).when(p <= 0.2, F.lit("VERIFIED_NO")).otherwise(F.lit("UNCERTAIN"))
     return views.points(spark, sf_dir).select("point_id", review.decision_colour(d).alias("colour"), review.says_meadow(d).alias("meadow"))
+
+
+@query(SCENES, "p AS (SELECT point_id, scene_id % 20 AS scene, value, scene_id % 2 AS pol FROM scenes), s AS (SELECT point_id, pol, scene, 10 * log10(avg(value) FILTER (value > 0)) AS db FROM p GROUP BY ALL), a AS (SELECT point_id, pol, avg(db) AS m, stddev_pop(db) AS sd FROM s GROUP BY ALL)",
+       f"SELECT point_id, {r6('vv_mean', 'vv_sd', 'vh_mean', 'vh_sd', 'ratio')} FROM (SELECT point_id, max(m) FILTER (pol = 0) AS vv_mean, max(sd) FILTER (pol = 0) AS vv_sd, max(m) FILTER (pol = 1) AS vh_mean, max(sd) FILTER (pol = 1) AS vh_sd, max(m) FILTER (pol = 0) - max(m) FILTER (pol = 1) AS ratio FROM a GROUP BY 1)")
+def polarisation_ratio(spark, sf_dir):
+    from terrafold.operators.observations import polarisation
+
+    s = views.scenes(spark, sf_dir).withColumnRenamed("value", "power")
+    part = lambda k: s.where(F.col("scene_id") % 2 == k).withColumn("scene_id", F.col("scene_id") % 20)
+    names = ("vv_mean", "vv_sd", "vh_mean", "vh_sd", "ratio")
+    return six(polarisation(part(0), part(1), ["point_id"]).select("point_id", *names), *names)
+
+
+@query(SCENES, "b AS (SELECT point_id, CAST(ts AS DATE) AS day, value, row_number() OVER (PARTITION BY point_id, CAST(ts AS DATE) ORDER BY cloud DESC, scene_id) AS r FROM scenes)",
+       f"SELECT point_id, days, {r6('mean', 'p10', 'sd')} FROM (SELECT point_id, count(value) AS days, avg(value) AS mean, quantile_cont(value, 0.1) AS p10, CASE WHEN count(value) >= 2 THEN stddev_pop(value) END AS sd FROM b WHERE r = 1 GROUP BY 1)")
+def best_readings(spark, sf_dir):
+    from terrafold.operators.observations import best_readings as best
+
+    rows = views.scenes(spark, sf_dir).select("point_id", F.to_date("ts").alias("day"), F.col("scene_id").alias("reading"), F.col("cloud").alias("n_valid"), "value")
+    return six(best(rows, ["point_id"], "value"), "mean", "p10", "sd")
+
+
+@query(POINTS, f"l AS (SELECT point_id, x, y, doubtful, {YES_NO} AS raw FROM points), k AS (SELECT *, CASE WHEN raw = '?' THEN '' ELSE raw END AS label FROM l)",
+       """SELECT point_id AS id, CASE WHEN doubtful THEN NULL WHEN label = 'yes' THEN 1.0 WHEN label = 'no' THEN 0.0
+ WHEN NOT EXISTS (SELECT 1 FROM k p WHERE p.label = 'yes' AND NOT p.doubtful AND sqrt((p.x - k.x) ** 2 + (p.y - k.y) ** 2) < 250) THEN 0.0 END::DOUBLE AS code FROM k""")
+def presence_labels(spark, sf_dir):
+    from terrafold.operators.training import presence_labels as marked
+
+    label = labels.yes_no(F.col("raw_label"))
+    rows = views.points(spark, sf_dir).select(F.col("point_id").alias("id"), "x", "y", "doubtful", F.when(label == "?", F.lit("")).otherwise(label).alias("label"))
+    return marked(rows).select("id", "code")

@@ -73,6 +73,16 @@ def geojson_features(points: DataFrame, drop: list[str] = []) -> DataFrame:
     return points.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.map_concat(hidden, F.create_map(F.lit("ID"), F.col("id").cast("string"))).alias("properties"))).alias("value"))
 
 
+def result_features(points: DataFrame, predictors: list[str]) -> DataFrame:
+    """Features of classified points as a next run reads them: without the rows of the layer of truth, without predictors
+    and hidden attributes, probabilities at four decimals, and without the label that self-training gave."""
+    source, origin = F.try_element_at("attrs", F.lit("source")), F.try_element_at("attrs", F.lit("origin"))
+    kept = points.where(~F.coalesce(source == "truth", F.lit(False)))
+    short = lambda k, v: F.when(k == "proba", F.coalesce(F.round(v.try_cast("double"), 4).cast("string"), v)).otherwise(v)
+    own = F.map_filter("attrs", lambda k, v: ~((k == "label") & F.coalesce(origin == "auto", F.lit(False))))
+    return geojson_features(kept.withColumn("attrs", F.transform_values(own, short)), predictors)
+
+
 def write_geojson_lines(points: DataFrame, path: str, drop: list[str] = []) -> None:
     geojson_features(points, drop).write.text(path)
 

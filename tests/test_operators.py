@@ -212,6 +212,50 @@ def test_forest_permutation_and_self_training(spark):
     assert news[0] > 0 and {r.id % 2 for r in positives.collect()} == {1}
 
 
+def test_exact_quantiles(spark):
+    from terrafold.operators.quantiles import exact_quantiles
+
+    random.seed(9)
+    groups = {"a": [random.gauss(0, 1) for _ in range(700)], "b": [1.0] * 50 + [2.0], None: [5.0, 6.0], "c": [float(i // 40) for i in range(400)]}
+    rows = [(k, v) for k, some in groups.items() for v in some] + [("a", None), ("a", float("nan")), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    names = {f"q{int(q * 100)}": q for q in (0.0, 0.1, 0.5, 0.85, 1.0)}
+
+    def at(some, q):
+        some, x = sorted(some), q * (len(some) - 1)
+        return some[int(x)] + (some[math.ceil(x)] - some[int(x)]) * (x - int(x))
+
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", names, 8).collect()}
+    assert set(got) == set(groups) and all(got[k].n == len(some) and all(abs(got[k][name] - at(some, q)) < 1e-12 for name, q in names.items()) for k, some in groups.items())
+    (all_,) = exact_quantiles(df, [], "v", {"m": 0.5}, 4).collect()
+    assert abs(all_.m - at([v for some in groups.values() for v in some], 0.5)) < 1e-12
+    assert exact_quantiles(df.limit(0), ["k"], "v", names).count() == 0
+
+
+def test_models_are_saved_with_their_description(spark, tmp_path):
+    rows = spark.range(120).select("id", (F.col("id") % 2).cast("double").alias("code"), (F.col("id") % 2 + (F.col("id") % 5) / 10).alias("good"), (F.col("id") % 7).cast("double").alias("noise"))
+    model, path = training.fit_forest(rows, "code", ["good", "noise"], trees=3, depth=3), f"file://{tmp_path}/model"
+    with pytest.raises(ValueError):
+        training.save_model(model, path, {"predictors": ["good", "noise"]})
+    training.save_model(model, path, {"predictors": ["good", "noise"], "classes": [0, 1], "n_rows": 120})
+    back, about = training.load_model(spark, path)
+    score = lambda m: [r.predicted for r in training.predict(m, rows, ["good", "noise"]).orderBy("id").collect()]
+    assert score(back) == score(model) and about["n_rows"] == 120
+    table = training.importance_table(spark, model, ["good", "noise"]).collect()
+    assert [r.variable for r in table] == ["good", "noise"] and len(table[0].importance.partition(".")[2]) == 6
+    few = rows.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.when(F.col("id") < 20, F.lit("yes")).otherwise(F.lit("")).alias("label"), F.lit(False).alias("doubtful"), "good", "noise")
+    assert training.detector(few, ["good", "noise"], path)[1] == "saved" and training.detector(few, ["good", "noise"]) == (None, "none")
+    many = few.withColumn("x", F.col("id") * 100.0)
+    assert training.detector(many, ["good", "noise"], path, trees=3, depth=3)[1] == "own"
+
+
+def test_results_for_a_next_run(spark):
+    rows = spark.createDataFrame([("a", 1.0, 2.0, {"label": "yes", "origin": "auto", "proba": "0.123456", "ndvi": "0.5", "_x": "1"}), ("b", 1.0, 2.0, {"source": "truth"}), ("c", 0.0, 0.0, {"label": "no", "proba": "-"})],
+                                 "id string, lon double, lat double, attrs map<string,string>")
+    got = [json.loads(r.value)["properties"] for r in points.result_features(rows, ["ndvi"]).collect()]
+    assert got == [{"origin": "auto", "proba": "0.1235", "ID": "a"}, {"label": "no", "proba": "-", "ID": "c"}]
+
+
 def test_readers_and_sinks(spark, tmp_path):
     kml = tmp_path / "a.kml"
     kml.write_text("""<?xml version="1.0"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document><Placemark><name>p1</name><ExtendedData><SchemaData><SimpleData name="fid">7</SimpleData>
