@@ -1,4 +1,8 @@
-"""Token ids of whole texts, inside a task."""
+"""Token ids of whole texts, inside a task.
+
+Defined results: the ids are those that the library gives the whole text; a null text is to be made empty before, and the
+empty text has no ids but the end id; equal texts have equal ids, whatever was encoded before them; no texts give no ids.
+"""
 
 from __future__ import annotations
 

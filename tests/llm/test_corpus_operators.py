@@ -628,6 +628,14 @@ def test_out_of_place_distance_by_hand():
     assert profiles.distances(np.array([code[c] for c in own], np.uint64)).tolist() == want == [1 + 5 + 2 + 0, 0 + 5 + 1 + 1]
 
 
+def test_components_of_odd_links(spark):
+    from terrafold.llm.components import components
+
+    links = spark.createDataFrame([(5, 4), (4, 5), (4, 3), (4, 3), (7, 7), (None, 2), (9, 8), (3, 11)], "a long, b long")
+    assert {(r.node, r.component) for r in components(links).collect()} == {(3, 3), (4, 3), (5, 3), (11, 3), (8, 8), (9, 8)}
+    assert components(links.limit(0)).count() == 0
+
+
 def test_languages(spark, docs, rows):
     texts = [("en", prose(i, 50)) for i in range(30)] + [("fr", "la maison est près de la rivière et les oiseaux chantent " + "été " * (i % 5)) for i in range(30)]
     train = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
