@@ -88,7 +88,7 @@ def accumulation(to: DataFrame, cell: float) -> DataFrame:
         if open_:
             break
         state = saved(new, "flow")
-    return state.select(F.floor(F.col("cell") / (1 << 31)).cast("int").alias("row"), (F.col("cell") % (1 << 31)).cast("int").alias("col"), (F.col("n") * (cell * cell / 10000)).alias("hectares"))
+    return state.select(F.floor(F.col("cell") / (1 << 31)).cast("int").alias("row"), F.pmod("cell", F.lit(1 << 31)).cast("int").alias("col"), (F.col("n") * (cell * cell / 10000)).alias("hectares"))
 
 
 def channels(gathered: DataFrame, hectares: float) -> DataFrame:

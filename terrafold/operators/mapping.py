@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.operators.raster import block_of
-from terrafold.operators.spatial import inside_polygons
+from terrafold.operators.zones import Grid, in_runs, zone_runs
+from terrafold.sources.tables import saved
 
 NO_DATA = -9999.0
-MOST_BLOCKS = 20_000
-
-
-def zone_grid(edges: DataFrame, cell: float, block: int = 256) -> DataFrame:
-    """One row: the grid over all polygons, on multiples of the cell, its blocks, and what is wrong with it if anything.
-
-    ``y0`` is the northern edge; rows grow southwards.
-    """
-    box = edges.agg(F.min(F.least("ax", "bx")).alias("x"), F.max(F.greatest("ax", "bx")).alias("x1"), F.min(F.least("ay", "by")).alias("y1"), F.max(F.greatest("ay", "by")).alias("y"))
-    span = lambda n: F.greatest(F.ceil(n), F.lit(1)).cast("long")
-    grid = box.select("x", "x1", "y", "y1", (F.floor(F.col("x") / cell) * cell).cast("double").alias("x0"), (F.ceil(F.col("y") / cell) * cell).cast("double").alias("y0"))
-    grid = grid.withColumns({"width": span((F.col("x1") - F.col("x0")) / cell), "height": span((F.col("y0") - F.col("y1")) / cell)})
-    blocks = (F.ceil(F.col("width") / block) * F.ceil(F.col("height") / block)).cast("long")
-    problem = F.when(F.col("x").isNull() | (F.col("x") >= F.col("x1")) | (F.col("y1") >= F.col("y")), F.lit("no surface")).when(blocks > MOST_BLOCKS, F.lit("too large"))
-    return grid.select("x0", "y0", "width", "height", blocks.alias("blocks"), problem.alias("problem"))
 
 
 def estimated_minutes(blocks: DataFrame, fixed: float = 20.0, per_pixel: float = 0.0008) -> DataFrame:
@@ -33,24 +21,9 @@ def estimated_minutes(blocks: DataFrame, fixed: float = 20.0, per_pixel: float =
     return blocks.agg((F.sum(fixed + per_pixel * F.col("width") * F.col("height")) / 60).alias("minutes"))
 
 
-def zone_mask(pixels: DataFrame, edges: DataFrame, cell: float, block: int = 64) -> DataFrame:
-    """``row, col, inside``: whether the centre of each pixel (x to the right, y = row * cell) lies in a polygon.
-
-    A block that no edge comes near is decided by its first pixel; only pixels of the other blocks are tried themselves.
-    """
-    place = [((F.col("col") + 0.5) * cell).alias("x"), ((F.col("row") + 0.5) * cell).alias("y")]
-    key = F.col("row").cast("long") * (1 << 31) + F.col("col")
-    dealt = pixels.select("row", "col", key.alias("from_id"), *place, *block_of(block))
-    side = block * cell
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / side).cast("int"), F.floor(F.greatest(a, b) / side).cast("int")))
-    near = edges.withColumn("block_row", span("ay", "by")).withColumn("block_col", span("ax", "bx")).select("block_row", "block_col").distinct().withColumn("crossed", F.lit(True))
-    marked = dealt.join(near, ["block_row", "block_col"], "left")
-    whole = marked.where("crossed is null")
-    one = whole.groupBy("block_row", "block_col").agg(F.min(F.struct("from_id", "x", "y")).alias("p")).select("block_row", "block_col", "p.from_id", "p.x", "p.y")
-    tried = inside_polygons(one.select("from_id", "x", "y").union(marked.where("crossed").select("from_id", "x", "y")), edges, side).withColumn("hit", F.lit(True))
-    of_block = one.join(tried, "from_id").select("block_row", "block_col", F.col("hit").alias("block_hit"))
-    out = marked.join(tried, "from_id", "left").join(of_block, ["block_row", "block_col"], "left")
-    return out.select("row", "col", F.coalesce(F.when(F.col("crossed"), F.col("hit")).otherwise(F.col("block_hit")), F.lit(False)).alias("inside"))
+def zone_mask(pixels: DataFrame, edges: DataFrame, grid: Grid) -> DataFrame:
+    """``row, col, inside``: whether the centre of each pixel of the grid lies in a polygon."""
+    return in_runs(pixels.select("row", "col"), zone_runs(edges, grid)).select("row", "col", "inside")
 
 
 def read_blocks(pixels: DataFrame, bands: list[str], size: int = 256) -> DataFrame:
@@ -151,19 +124,32 @@ def read_map(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(f"{path}/pixels"), json.loads(spark.read.text(f"{path}/map.json", wholetext=True).first()[0])
 
 
+def reading_key(**parts) -> str:
+    """A name for a reading: equal where everything that it depends on is equal."""
+    return hashlib.md5(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()
+
+
 def cached_blocks(wanted: DataFrame, compute, path: str, key: str) -> DataFrame:
-    """The wanted blocks (block_row, block_col), read from the cache of this key; what is missing is computed and added.
+    """The pixels of the wanted blocks (block_row, block_col), from the cache of this key; what is missing is computed and added.
 
-    ``compute`` takes the missing blocks and returns pixels with block_row and block_col.
+    ``compute`` takes the missing blocks and returns pixels with block_row and block_col. Pixels are written under the name of
+    their commit, and then, in one file, the list of its blocks, empty ones included: a commit without a list does not count, so a failed one
+    is computed again, and a block that two runs added is read from one of them.
     """
     spark, place = wanted.sparkSession, f"{path}/read={key}"
-    target, files = _path(spark, place)
-    held = spark.read.parquet(place) if files.exists(target) else None
-    missing = wanted if held is None else wanted.join(held.select("block_row", "block_col").distinct(), ["block_row", "block_col"], "left_anti")
-    if held is None or not missing.isEmpty():
-        compute(missing).repartition("block_row", "block_col").write.mode("append").parquet(place)
-        held = spark.read.parquet(place)
-    return held.join(wanted.select("block_row", "block_col").distinct(), ["block_row", "block_col"], "left_semi")
+    target, files = _path(spark, f"{place}/blocks")
+    known = lambda: spark.read.schema("block_row int, block_col int, commit string").parquet(f"{place}/blocks").groupBy("block_row", "block_col").agg(F.min("commit").alias("commit"))
+    missing = wanted.select("block_row", "block_col").distinct()
+    if files.exists(target):
+        missing = missing.join(known(), ["block_row", "block_col"], "left_anti")
+    missing = saved(missing, "missing-blocks")
+    if not missing.isEmpty():
+        commit = uuid.uuid4().hex
+        compute(missing).withColumn("commit", F.lit(commit)).repartition("block_row", "block_col").write.mode("append").partitionBy("commit").parquet(f"{place}/pixels")
+        missing.withColumn("commit", F.lit(commit)).coalesce(1).write.mode("append").parquet(f"{place}/blocks")
+    pixels = spark.read.parquet(f"{place}/pixels")
+    own = known().join(wanted.select("block_row", "block_col").distinct(), ["block_row", "block_col"])
+    return pixels.withColumn("commit", F.col("commit").cast("string")).join(own, ["block_row", "block_col", "commit"]).drop("commit")
 
 
 def signature(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -103,7 +103,7 @@ def raster_lines(segments: DataFrame, cell: float) -> DataFrame:
     """Pixels (half-open squares) that a segment (ax, ay, bx, by) touches.
 
     Along its longer axis a segment meets one line of pixels after the other, and in each the few between the places where
-    it enters and leaves.
+    it enters and leaves. Where it leaves through a corner, the pixel beyond belongs to the next line.
     """
     s = segments.select(*[(F.col(c) / cell).alias(c) for c in ("ax", "ay", "bx", "by")]).withColumn("steep", F.abs(F.col("by") - F.col("ay")) > F.abs(F.col("bx") - F.col("ax")))
     pick = lambda a, b: F.when(F.col("steep"), F.col(a)).otherwise(F.col(b))
@@ -111,7 +111,9 @@ def raster_lines(segments: DataFrame, cell: float) -> DataFrame:
     s = s.withColumns({"low": F.least("u0", "u1"), "high": F.greatest("u0", "u1")}).withColumn("u", F.explode(F.sequence(F.floor("low").cast("int"), F.floor("high").cast("int"))))
     at = lambda u: F.col("v0") + F.coalesce(F.try_divide(u - F.col("u0"), F.col("u1") - F.col("u0")), F.lit(0.0)) * (F.col("v1") - F.col("v0"))
     s = s.withColumns({"e0": at(F.greatest(F.col("low"), F.col("u").cast("double"))), "e1": at(F.least(F.col("high"), F.col("u") + 1.0))})
-    s = s.withColumn("v", F.explode(F.sequence(F.floor(F.least("e0", "e1")).cast("int"), F.floor(F.greatest("e0", "e1")).cast("int"))))
+    goes_on = (F.col("u") + 1 <= F.col("high")) & (F.col("e1") > F.col("e0"))
+    last = F.when(goes_on, F.ceil("e1") - 1).otherwise(F.floor(F.greatest("e0", "e1")))
+    s = s.withColumn("v", F.explode(F.sequence(F.floor(F.least("e0", "e1")).cast("int"), last.cast("int"))))
     return s.select(F.when(F.col("steep"), F.col("u")).otherwise(F.col("v")).alias("row"), F.when(F.col("steep"), F.col("v")).otherwise(F.col("u")).alias("col")).distinct()
 
 

@@ -61,11 +61,16 @@ def group_folds(rows: DataFrame, group: str, k: int) -> DataFrame:
     return sizes.withColumn("fold", F.when(lap % 2 == 0, at).otherwise(k - 1 - at).cast("int"))
 
 
-def median_imputed(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls become the column's median, 0 where the column is empty."""
-    medians = column_quantiles(rows, {f"{c}__m": (c, 0.5) for c in columns}).select(*[F.coalesce(f"{c}__m", F.lit(0.0)).alias(f"{c}__m") for c in columns])
-    filled = rows.crossJoin(F.broadcast(medians))  # one row
-    return filled.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}__m")) for c in columns}).drop(*[f"{c}__m" for c in columns])
+def medians_of(rows: DataFrame, columns: list[str]) -> dict[str, float]:
+    """The exact median of each column, 0 where it is empty."""
+    found = column_quantiles(rows, {c: (c, 0.5) for c in columns}).first()
+    return {c: 0.0 if found[c] is None else float(found[c]) for c in columns}
+
+
+def median_imputed(rows: DataFrame, columns: list[str], medians: dict[str, float] | None = None) -> DataFrame:
+    """Nulls become the column's median: the given one, or that of these rows."""
+    medians = medians_of(rows, columns) if medians is None else medians
+    return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c]))) for c in columns})
 
 
 def within_range(rows: DataFrame, value: str, low: float | None, high: float | None) -> DataFrame:

@@ -65,9 +65,10 @@ def nearest_distance(rows: DataFrame, layer: DataFrame, cell: float, factor: int
     return open_.join(places, ["cx", "cy"]).groupBy("from_id").agg(F.min(d).alias("d"))
 
 
-def far_from(rows: DataFrame, layer: DataFrame, least: float) -> DataFrame:
-    """Rows without a point of the layer nearer than ``least``."""
-    near = pairs_within(rows.select("from_id", "x", "y"), layer, least).where(F.col("d") < least)
+def far_from(rows: DataFrame, layer: DataFrame, least: float, strictly: bool = False) -> DataFrame:
+    """Rows without a point of the layer nearer than ``least``; strictly: nor at that distance."""
+    d = F.col("d")
+    near = pairs_within(rows.select("from_id", "x", "y"), layer, least).where(d <= least if strictly else d < least)
     return rows.join(near.select("from_id").distinct(), "from_id", "left_anti")
 
 

@@ -2,35 +2,85 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from terrafold.functions import indices, labels
-from terrafold.operators import hydrology, mapping, raster
+from terrafold.operators import distance, hydrology, mapping, production, raster, training, zones
 from terrafold.plans import views
-from terrafold.plans.catalogue import RING, query, r6, six
-from terrafold.plans.views import OBSERVATIONS, PIXELS
-
-ZONE = [(x / 40, y / 2) for x, y in RING]
-EDGES = [(*a, *b) for a, b in zip(ZONE, ZONE[1:] + ZONE[:1])]
-ZONE_SQL = "e(x1, y1, x2, y2) AS (VALUES " + ", ".join(f"({a}, {b}, {c}, {d})" for a, b, c, d in EDGES) + ")"
-INSIDE_SQL = """inside AS (SELECT row, col, count_if((y1 > y) <> (y2 > y) AND x1 + (y - y1) * (x2 - x1) / CASE WHEN y2 = y1 THEN 1 ELSE y2 - y1 END > x) % 2 = 1 AS inside
- FROM (SELECT row, col, (col + 0.5) * 10 AS x, (row + 0.5) * 10 AS y FROM px), e GROUP BY row, col)"""
+from terrafold.plans.catalogue import NEIGHBOURS, query, r6, six
+from terrafold.plans.views import OBSERVATIONS, PARCELS, PIXELS, ZONE_RINGS, inside_sql, ring_sql
+from terrafold.sources.tables import saved, shared_folder, table
+
+ZONE_EDGES = ring_sql("zone_edges", "zone_rings")
+INSIDE = inside_sql("inside", "zone_edges")
+PARCEL_EDGES = ring_sql("parcel_edges", "parcels")
+IN_PARCEL = inside_sql("in_parcel", "parcel_edges", "cells")
+CELLS = f"cells AS (SELECT r::INTEGER AS row, c::INTEGER AS col FROM range(-12, 312) a(r), range(-12, {views.WIDTH + 12}) b(c))"
 CLASSES = ["stream wet", "stream dry", "lake wet", "lake dry", "slope wet", "slope dry"]
 
 
-def _edges(spark):
-    return spark.createDataFrame([(1, *e) for e in EDGES], "polygon int, ax double, ay double, bx double, by double")
+def _edges(spark, sf_dir):
+    return zones.ring_edges(views.zone_rings(spark, sf_dir))
 
 
-@query(ZONE_SQL, "b AS (SELECT min(least(x1, x2)) AS x, max(greatest(x1, x2)) AS xm, min(least(y1, y2)) AS ym, max(greatest(y1, y2)) AS y FROM e), g AS (SELECT *, (floor(x / 10) * 10)::DOUBLE AS x0, (ceil(y / 10) * 10)::DOUBLE AS y0 FROM b), h AS (SELECT *, greatest(ceil((xm - x0) / 10), 1)::BIGINT AS width, greatest(ceil((y0 - ym) / 10), 1)::BIGINT AS height FROM g)",
-       "SELECT x0, y0, width, height, (ceil(width / 16) * ceil(height / 16))::BIGINT AS blocks, CASE WHEN x >= xm OR ym >= y THEN 'no surface' END AS problem FROM h")
+@query(ZONE_RINGS, ZONE_EDGES, "b AS (SELECT min(ax) AS x, max(ax) AS xm, min(ay) AS ym, max(ay) AS y FROM zone_edges), g AS (SELECT *, (floor(x / 10) * 10)::DOUBLE AS x0, (ceil(y / 10) * 10)::DOUBLE AS y0 FROM b), h AS (SELECT *, greatest(ceil((xm - x0) / 10), 1)::BIGINT AS width, greatest(ceil((y0 - ym) / 10), 1)::BIGINT AS height FROM g)",
+       "SELECT x0, y0, width, height, (ceil(width / 16) * ceil(height / 16))::BIGINT AS blocks, NULL::VARCHAR AS problem FROM h")
 def zone_grid(spark, sf_dir):
-    return mapping.zone_grid(_edges(spark), 10.0, 16)
+    """The grid that fits the zone."""
+    zone = zones.prepare_zone(10.0, _edges(spark, sf_dir), block=16, most=1 << 40)
+    return spark.createDataFrame([(zone.grid.x0 + 0.0, zone.grid.y0 + 0.0, zone.grid.width, zone.grid.height, zone.blocks, zone.problem)], "x0 double, y0 double, width long, height long, blocks long, problem string")
 
 
-@query(PIXELS, ZONE_SQL, INSIDE_SQL, 'SELECT row AS "row", col, inside FROM inside')
+@query(PIXELS, ZONE_RINGS, ZONE_EDGES, INSIDE, 'SELECT row AS "row", col, inside FROM inside')
 def zone_mask(spark, sf_dir):
-    return mapping.zone_mask(views.pixels(spark, sf_dir), _edges(spark), 10.0, 16)
+    return mapping.zone_mask(views.pixels(spark, sf_dir), _edges(spark, sf_dir), views.GRID)
+
+
+RUNS_SQL = "SELECT row AS \"row\", min(col)::INTEGER AS col_from, max(col)::INTEGER AS col_to FROM (SELECT row, col, col - row_number() OVER (PARTITION BY row ORDER BY col) AS island FROM {}) GROUP BY row, island"
+
+
+@query(PARCELS, PARCEL_EDGES, CELLS, IN_PARCEL, RUNS_SQL.format("in_parcel WHERE inside"))
+def zone_runs(spark, sf_dir):
+    """Parcels with holes as runs of pixels, overlapping ones once."""
+    return zones.zone_runs(zones.ring_edges(views.parcels(spark, sf_dir)), views.GRID)
+
+
+@query(PIXELS, ZONE_RINGS, ZONE_EDGES, PARCELS, PARCEL_EDGES, CELLS, IN_PARCEL, inside_sql("in_zone", "zone_edges", "cells"), RUNS_SQL.format("(SELECT row, col FROM in_parcel WHERE inside INTERSECT SELECT row, col FROM in_zone WHERE inside)"))
+def masked_runs(spark, sf_dir):
+    """The part of the zone that parcels cover."""
+    parcels = zones.ring_edges(views.parcels(spark, sf_dir))
+    return zones.intersection(zones.zone_runs(_edges(spark, sf_dir), views.GRID), zones.centre_runs(parcels, views.GRID))
+
+
+#: A segment touches a pixel, a square without its right and lower sides, where a stretch of it lies within, or its one point.
+TOUCHED = """touching AS (SELECT c.row, c.col FROM cells c JOIN (SELECT *, ax / 10 AS u0, -ay / 10 AS v0, bx / 10 AS u1, -b_y / 10 AS v1 FROM parcel_edges) e
+  ON greatest(u0, u1) >= col AND least(u0, u1) < col + 1 AND greatest(v0, v1) >= row AND least(v0, v1) < row + 1
+  AND greatest(CASE WHEN u1 > u0 THEN (col - u0) / (u1 - u0) WHEN u1 < u0 THEN (col + 1 - u0) / (u1 - u0) ELSE 0 END, CASE WHEN v1 > v0 THEN (row - v0) / (v1 - v0) WHEN v1 < v0 THEN (row + 1 - v0) / (v1 - v0) ELSE 0 END, 0)
+   <= least(CASE WHEN u1 > u0 THEN (col + 1 - u0) / (u1 - u0) WHEN u1 < u0 THEN (col - u0) / (u1 - u0) ELSE 1 END, CASE WHEN v1 > v0 THEN (row + 1 - v0) / (v1 - v0) WHEN v1 < v0 THEN (row - v0) / (v1 - v0) ELSE 1 END, 1))"""
+
+
+@query(PARCELS, PARCEL_EDGES, CELLS, IN_PARCEL, TOUCHED, RUNS_SQL.format("(SELECT row, col FROM in_parcel WHERE inside UNION SELECT row, col FROM touching)"))
+def touched_pixels(spark, sf_dir):
+    """All pixels that parcels touch."""
+    return zones.touched_runs(zones.ring_edges(views.parcels(spark, sf_dir)), views.GRID)
+
+
+@query(PIXELS, "m AS (SELECT row, col FROM px WHERE row % 97 = 41 AND col % 31 = 17)", 'SELECT a.row AS "row", a.col, round(sqrt(min((a.row - m.row) ** 2 + (a.col - m.col) ** 2)) * 10, 6) + 0.0 AS d FROM px a, m GROUP BY 1, 2')
+def distance_transform(spark, sf_dir):
+    """Distances to the nearest of some scattered pixels, across many blocks."""
+    px = views.pixels(spark, sf_dir)
+    return six(distance.distance_transform(px, px.where("row % 97 = 41 and col % 31 = 17"), 10.0), "d")
+
+
+@query(PIXELS, "s AS (SELECT (s_suppkey * 37) % 700 - 100.5::DOUBLE AS x, -((s_suppkey * 91) % 2900) - 7.7::DOUBLE AS y FROM supplier)",
+       'SELECT row AS "row", col, round(min(d) FILTER (d <= 150), 6) + 0.0 AS d FROM (SELECT row, col, sqrt(((col + 0.5) * 10 - x) ** 2 + ((row + 0.5) * -10 - y) ** 2) AS d FROM px, s) GROUP BY 1, 2')
+def point_distance(spark, sf_dir):
+    """Distances to points on and off the grid, within a reach."""
+    k = F.col("s_suppkey")
+    points = table(spark, sf_dir, "supplier").select(((k * 37) % 700 - 100.5).alias("x"), (-((k * 91) % 2900) - 7.7).alias("y"))
+    return six(distance.point_distance(views.pixels(spark, sf_dir), points, views.GRID, 150.0), "d")
 
 
 @query(PIXELS, "b AS (SELECT count(*) AS n, max(row) - min(row) + 1 AS h, max(col) - min(col) + 1 AS w FROM px GROUP BY row // 16, col // 16)", "SELECT round(sum(20 + 0.0008 * h * w) / 60, 6) + 0.0 AS minutes FROM b")
@@ -50,12 +100,12 @@ def _classified(spark, sf_dir):
     share = lambda k: (F.col("row") * (7 * k) + F.col("col") * (3 * k + 1)) % 17 + 1
     total = sum((share(k) for k in range(2, 7)), share(1))
     types = F.array(*[(1 - F.col("value") / 2) * share(k) / total for k in range(1, 7)])
-    inside = mapping.zone_mask(px, _edges(spark), 10.0, 16)
+    inside = mapping.zone_mask(px, _edges(spark, sf_dir), views.GRID)
     probabilities = F.concat(F.array(F.col("value") / 2), types)
     return mapping.classify(px.join(inside, ["row", "col"]), ["value"], probabilities, F.col("inside"), 0.6)
 
 
-@query(PIXELS, ZONE_SQL, INSIDE_SQL, PROBABILITIES, PREDICTED, f'SELECT row AS "row", col, code, {r6("p_max", "p_meadow")} FROM (SELECT row, col, code, p_max::DOUBLE AS p_max, p_meadow::DOUBLE AS p_meadow FROM m)')
+@query(PIXELS, ZONE_RINGS, ZONE_EDGES, INSIDE, PROBABILITIES, PREDICTED, f'SELECT row AS "row", col, code, {r6("p_max", "p_meadow")} FROM (SELECT row, col, code, p_max::DOUBLE AS p_max, p_meadow::DOUBLE AS p_meadow FROM m)')
 def block_predict(spark, sf_dir):
     """Masked pixels to classes in two steps: a meadow or not by the sum of the types, then the likeliest type."""
     done = _classified(spark, sf_dir)
@@ -76,12 +126,12 @@ def _map(spark, sf_dir):
     return met.select("row", "col", F.when(F.col("code").isNull(), F.lit(None).cast("int")).when(F.col("water"), F.lit(0)).otherwise(mapping.composed(branch, leaf, 2)).alias("code"))
 
 
-@query(PIXELS, ZONE_SQL, INSIDE_SQL, PROBABILITIES, PREDICTED, NEAR_WATER, MAP, 'SELECT row AS "row", col, code FROM mapped')
+@query(PIXELS, ZONE_RINGS, ZONE_EDGES, INSIDE, PROBABILITIES, PREDICTED, NEAR_WATER, MAP, 'SELECT row AS "row", col, code FROM mapped')
 def map_classes(spark, sf_dir):
     return _map(spark, sf_dir)
 
 
-@query(PIXELS, ZONE_SQL, INSIDE_SQL, PROBABILITIES, PREDICTED, NEAR_WATER, MAP, "n AS (SELECT code, count(*) AS n FROM mapped GROUP BY 1), k(code, name) AS (VALUES (0, 'absence'), " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(CLASSES, 1)) + ")",
+@query(PIXELS, ZONE_RINGS, ZONE_EDGES, INSIDE, PROBABILITIES, PREDICTED, NEAR_WATER, MAP, "n AS (SELECT code, count(*) AS n FROM mapped GROUP BY 1), k(code, name) AS (VALUES (0, 'absence'), " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(CLASSES, 1)) + ")",
        """SELECT kind, name, pixels, round(pixels * 0.01, 6) + 0.0 AS hectares FROM (SELECT 'class' AS kind, name, coalesce(n, 0) AS pixels FROM k LEFT JOIN n USING (code)
 UNION ALL SELECT 'branch', ((code - 1) // 2 + 1)::VARCHAR, sum(n)::BIGINT FROM n WHERE code > 0 GROUP BY 2 UNION ALL SELECT 'no data', '', coalesce(sum(n) FILTER (code IS NULL), 0)::BIGINT FROM n)""")
 def map_areas(spark, sf_dir):
@@ -89,7 +139,7 @@ def map_areas(spark, sf_dir):
     return six(mapping.map_areas(_map(spark, sf_dir), "code", classes, 10.0, 2), "hectares")
 
 
-@query(PIXELS, ZONE_SQL, INSIDE_SQL, PROBABILITIES, PREDICTED, NEAR_WATER, MAP, """n AS (SELECT count(*) AS n, coalesce(sum(('0x' || left(md5(row || '|' || col || '|' || coalesce(code::VARCHAR, '-')), 12))::BIGINT), 0)::HUGEINT AS s FROM mapped)""", "SELECT md5('row,col,code|' || n || '|' || s) AS signature FROM n")
+@query(PIXELS, ZONE_RINGS, ZONE_EDGES, INSIDE, PROBABILITIES, PREDICTED, NEAR_WATER, MAP, """n AS (SELECT count(*) AS n, coalesce(sum(('0x' || left(md5(row || '|' || col || '|' || coalesce(code::VARCHAR, '-')), 12))::BIGINT), 0)::HUGEINT AS s FROM mapped)""", "SELECT md5('row,col,code|' || n || '|' || s) AS signature FROM n")
 def map_signature(spark, sf_dir):
     return mapping.signature(_map(spark, sf_dir), ["row", "col", "code"])
 
@@ -182,3 +232,73 @@ def centre_and_ring(spark, sf_dir):
 def number_texts(spark, sf_dir):
     px = views.pixels(spark, sf_dir)
     return px.select("row", "col", labels.number_text(F.col("value")).alias("text"), labels.adaptive_text(F.col("z")).alias("z"), labels.adaptive_text(F.col("value") / 2).alias("small"))
+
+
+# The map producer
+
+SEEN = "seen AS (SELECT row, col, water, z, CASE WHEN value >= 0.15 THEN code END AS code FROM px)"
+LAKES = "lakes AS (SELECT (s_suppkey * 37) % 470 + 0.5::DOUBLE AS x, -((s_suppkey * 911) % 290000) - 7.7::DOUBLE AS y FROM supplier WHERE s_suppkey % 5 = 0)"
+PATCHES = "f0 AS (SELECT row, col FROM px WHERE water), g0(row, col, r0, c0) AS (SELECT row, col, row, col FROM f0 UNION SELECT f0.row, f0.col, g0.r0, g0.c0 FROM g0 JOIN f0 ON abs(f0.row - g0.row) <= 1 AND abs(f0.col - g0.col) <= 1), lake AS MATERIALIZED (SELECT row, col FROM g0 GROUP BY row, col HAVING count(*) >= 12)"
+CHANNELS = "flow(row, col) AS (SELECT row, col FROM t UNION ALL SELECT tr, tc FROM flow JOIN t USING (row, col) WHERE tr IS NOT NULL), channel AS MATERIALIZED (SELECT row, col FROM flow GROUP BY row, col HAVING count(*) * 0.01 >= 2)"
+
+
+def _lakes(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").select(((k * 37) % 470 + 0.5).alias("x"), (-((k * 911) % 290000) - 7.7).alias("y"))
+
+
+def _near(name: str, of: str) -> str:
+    return f"{name} AS (SELECT p.row, p.col, sqrt(min((p.row - o.row) ** 2 + (p.col - o.col) ** 2)) * 10 AS d FROM px p LEFT JOIN {of} o ON true GROUP BY 1, 2)"
+
+
+@query(PIXELS, NEIGHBOURS, SEEN, LAKES, PATCHES, CHANNELS, _near("dw", "lake"), _near("dc", "channel"), "dl AS (SELECT row, col, min(sqrt(((col + 0.5) * 10 - x) ** 2 + ((row + 0.5) * -10 - y) ** 2)) AS d FROM px LEFT JOIN lakes ON true GROUP BY 1, 2)",
+       """s AS (SELECT seen.row, seen.col, lake.row IS NOT NULL AS lake_water, dw.d AS d_water, CASE WHEN dl.d <= 1000 THEN dl.d END AS d_lake, dc.d AS d_channel, CASE WHEN lake.row IS NOT NULL AND seen.code > 0 THEN 0 ELSE seen.code END AS code
+ FROM seen JOIN dw USING (row, col) JOIN dl USING (row, col) JOIN dc USING (row, col) LEFT JOIN lake ON lake.row = seen.row AND lake.col = seen.col)""",
+       f"""SELECT row AS "row", col, lake_water, {r6('d_water', 'd_lake', 'd_channel')}, setting, CASE WHEN code > 0 THEN (setting - 1) * 3 + code ELSE code END::INTEGER AS class
+ FROM (SELECT *, (CASE WHEN coalesce(d_water::FLOAT <= 100, false) OR coalesce(d_lake::FLOAT <= 120, false) THEN 2 WHEN coalesce(d_channel::FLOAT <= 30, false) THEN 1 ELSE 3 END)::INTEGER AS setting FROM s)""")
+def map_settings(spark, sf_dir):
+    """The second phase of a map: patches of water, exact distances to water, lakes and channels, settings and composed classes; lake water is no meadow."""
+    px = views.pixels(spark, sf_dir)
+    code = F.when(F.col("value") >= 0.15, F.col("code"))
+    first = saved(px.select("row", "col", code.alias("code"), F.lit(0.9).alias("p_max"), F.array(F.lit(0.1)).alias("probabilities"), F.lit(None).cast("float").alias("green"), F.lit(False).alias("wet"), F.col("water").alias("candidate")), "first-phase")
+    channels = saved(production.channel_pixels(px.select("row", "col", "z"), 2.0, 10.0), "channels")
+    rules = production.Rules(least_water=12, remove_water=True)
+    done = production.second_phase(first, views.GRID, rules, 3, _lakes(spark, sf_dir), channels)
+    return six(done.select("row", "col", "lake_water", "d_water", "d_lake", "d_channel", "setting", "class"), "d_water", "d_lake", "d_channel")
+
+
+BANDS_OF_MAP = ["value", "wetness", "z", "ndwi", "slope", "early"]
+PREDICTORS_OF_MAP = ["value", "wetness", "z"]
+
+
+def bands(pixels):
+    """Bands of pixels (row, col, z, water, value): some of them have none."""
+    row, col = F.col("row"), F.col("col")
+    wetness = (row * 7 + col * 3) % 17 / 17
+    return pixels.select("row", "col", F.when((row * 5 + col) % 29 != 0, F.col("value")).alias("value"), wetness.alias("wetness"), "z", F.when(F.col("water"), F.lit(0.2)).otherwise(-F.col("value")).alias("ndwi"),
+                         ((row + col) % 20).cast("double").alias("slope"), (F.col("value") * 0.8).alias("early"))
+
+
+def samples_of_map(pixels):
+    """Labelled pixels: 0 absence, 1 wet, 2 dry."""
+    truth = F.when(F.col("value") < 0.35, F.lit(0.0)).when(F.col("wetness") > 0.5, F.lit(1.0)).otherwise(F.lit(2.0))
+    return bands(pixels).where((F.col("row") * 31 + F.col("col")) % 13 == 5).withColumn("code", F.when(F.col("value").isNotNull(), truth)).where("code is not null")
+
+
+@query()
+def map_from_model(spark, sf_dir):
+    """From samples to a committed map: a forest is trained, saved and loaded, and predicts the zone's pixels by blocks; settings, water and purity follow from the whole map."""
+    px, folder = views.pixels(spark, sf_dir), f"{shared_folder(spark)}/map-{uuid.uuid4().hex[:12]}"
+    rows = saved(samples_of_map(px), "samples")
+    trained = training.fit_forest(rows, "code", PREDICTORS_OF_MAP, trees=30, depth=8)
+    training.save_model(trained, f"{folder}/model", {"classes": ["absence", "wet", "dry"], "n_rows": rows.count()})
+    model, about = training.load_model(spark, f"{folder}/model")
+    zone = zones.prepare_zone(10.0, _edges(spark, sf_dir))
+    down, right = int(-zone.grid.y0 // 10), int(zone.grid.x0 // 10)
+    placed = bands(px).withColumns({"row": F.col("row") - down, "col": F.col("col") - right})
+    read = lambda blocks: placed.withColumns({"block_row": raster.block_of()[0], "block_col": raster.block_of()[1]}).join(blocks, ["block_row", "block_col"], "left_semi")
+    rules = production.Rules(threshold=0.5, channel_hectares=2.0, remove_water=True)
+    production.produce_map(model, about, read, BANDS_OF_MAP, zone, f"{folder}/map", f"{folder}/store", rules, _lakes(spark, sf_dir), placed.select("row", "col", "z"), ndwi="ndwi", slope="slope", purity=production.Purity("early", "ndwi"))
+    mapped, _ = mapping.read_map(spark, f"{folder}/map")
+    names = ("p_max", "p_meadow", "d_water", "d_lake", "d_channel")
+    return six(mapped.select((F.col("row") + down).alias("row"), (F.col("col") + right).alias("col"), "class", "setting", "purity", "lake_water", *[F.col(c).cast("double").alias(c) for c in names]), *names)

@@ -221,7 +221,7 @@ def best_readings(spark, sf_dir):
 
 @query(POINTS, f"l AS (SELECT point_id, x, y, doubtful, {YES_NO} AS raw FROM points), k AS (SELECT *, CASE WHEN raw = '?' THEN '' ELSE raw END AS label FROM l)",
        """SELECT point_id AS id, CASE WHEN doubtful THEN NULL WHEN label = 'yes' THEN 1.0 WHEN label = 'no' THEN 0.0
- WHEN NOT EXISTS (SELECT 1 FROM k p WHERE p.label = 'yes' AND NOT p.doubtful AND sqrt((p.x - k.x) ** 2 + (p.y - k.y) ** 2) < 250) THEN 0.0 END::DOUBLE AS code FROM k""")
+ WHEN NOT EXISTS (SELECT 1 FROM k p WHERE p.label = 'yes' AND sqrt((p.x - k.x) ** 2 + (p.y - k.y) ** 2) <= 250) THEN 0.0 END::DOUBLE AS code FROM k""")
 def presence_labels(spark, sf_dir):
     from terrafold.operators.training import presence_labels as marked
 

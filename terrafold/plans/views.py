@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import indices
 from terrafold.operators.observations import season
+from terrafold.operators.zones import Grid
 from terrafold.sources.tables import table
 
 PER_LON, PER_LAT = 88800, 111000
@@ -93,6 +94,49 @@ SCORED = """scored AS (SELECT d.doc_id, lang, source, quality AS truth, ((d.doc_
 WIDTH = 48
 
 
+#: The grid of the pixels: its north-western corner is the origin.
+GRID = Grid(0.0, 0.0, 10.0)
+
+#: Rings of the zone to be mapped, in shares of the grid's width and height, southwards: an area, a hole in it, and an outlier.
+ZONE = [[(0.02, 0.0105), (0.5, 0.0022), (0.981, 0.052), (0.917, 0.979), (0.53, 0.807), (0.061, 0.991)], [(0.4, 0.402), (0.61, 0.423), (0.553, 0.507)], [(0.9, 0.985), (0.97, 0.987), (0.93, 0.997)]]
+
+
+def zone_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zone as rings of polygons, as high as the grid is."""
+    height = table(spark, sf_dir, "orders").agg((F.floor(F.max("o_orderkey") / WIDTH) + 1).cast("double").alias("h"))
+    points_ = [(0 if k < 2 else 1, k, i, u, v) for k, ring in enumerate(ZONE) for i, (u, v) in enumerate(ring)]
+    units = spark.createDataFrame(points_, "polygon int, ring int, at int, u double, v double")
+    return units.crossJoin(F.broadcast(height)).select("polygon", "ring", "at", (F.col("u") * (WIDTH * 10.0)).alias("x"), (-(F.col("v") * 10.0 * F.col("h"))).alias("y"))
+
+
+ZONE_RINGS = "zone_rings AS (SELECT polygon, ring, pos, u * 480.0::DOUBLE AS x, -(v * 10.0::DOUBLE * h) AS y FROM (VALUES " + ", ".join(
+    f"({0 if k < 2 else 1}, {k}, {i}, {u}::DOUBLE, {v}::DOUBLE)" for k, ring in enumerate(ZONE) for i, (u, v) in enumerate(ring)) + f") z(polygon, ring, pos, u, v), (SELECT (max(o_orderkey) // {WIDTH} + 1)::DOUBLE AS h FROM orders))"
+
+
+def ring_sql(name: str, rings: str) -> str:
+    """Edges of rings, as a view of that name."""
+    return f"""{name} AS (SELECT polygon, x AS ax, y AS ay, coalesce(lead(x) OVER w, first_value(x) OVER w) AS bx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS b_y FROM {rings} WINDOW w AS (PARTITION BY polygon, ring ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+
+def inside_sql(name: str, edges: str, pixels: str = "px") -> str:
+    """Whether the centre of each pixel lies in any polygon of the edges."""
+    return f"""{name} AS (SELECT p.row, p.col, coalesce(bool_or(odd), false) AS inside FROM {pixels} p LEFT JOIN (SELECT row, col, polygon, count(*) % 2 = 1 AS odd FROM (SELECT row, col, (col + 0.5) * 10.0::DOUBLE AS x, 0.0::DOUBLE - (row + 0.5) * 10.0::DOUBLE AS y FROM {pixels}) q JOIN {edges} e
+  ON (ay > y) <> (b_y > y) AND ax + (y - ay) * (bx - ax) / (b_y - ay) > x GROUP BY ALL) t ON t.row = p.row AND t.col = p.col GROUP BY ALL)"""
+
+
+def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings of a six-sided parcel with a triangular hole for each supplier, over the grid of the pixels."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(k.alias("polygon"), ((k * 37) % 470 + 3.3).alias("cx"), (-((k * 91) % 2900) - 7.7).alias("cy"), (20 + k % 7 * 9.1).alias("r"))
+    corners = F.array(*[F.struct(F.lit(ring).alias("ring"), F.lit(at).alias("at"), F.lit(float(dx)).alias("dx"), F.lit(float(dy)).alias("dy")) for ring, at, dx, dy in CORNERS])
+    return s.select("polygon", "cx", "cy", "r", F.inline(corners)).select("polygon", "ring", "at", (F.col("cx") + F.col("r") * F.col("dx")).alias("x"), (F.col("cy") + F.col("r") * F.col("dy")).alias("y"))
+
+
+CORNERS = [(0, 0, 1, 0), (0, 1, 0.5, 0.875), (0, 2, -0.5, 0.875), (0, 3, -1, 0), (0, 4, -0.5, -0.875), (0, 5, 0.5, -0.875), (1, 0, 0.25, 0.25), (1, 1, -0.375, 0.125), (1, 2, 0.125, -0.5)]
+PARCELS = """parcels AS (SELECT polygon, ring, pos, cx + r * dx AS x, cy + r * dy AS y FROM (SELECT s_suppkey AS polygon, ((s_suppkey * 37) % 470 + 3.3::DOUBLE) AS cx, (-((s_suppkey * 91) % 2900) - 7.7::DOUBLE) AS cy, (20 + s_suppkey % 7 * 9.1::DOUBLE) AS r FROM supplier),
+ (VALUES """ + ", ".join(f"({ring}, {at}, {dx}::DOUBLE, {dy}::DOUBLE)" for ring, at, dx, dy in CORNERS) + ") c(ring, pos, dx, dy))"
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pixel for each order, in rows of ``WIDTH``: the grid grows with the tables. Elevations form a valley."""
     k, cust = F.col("o_orderkey"), F.col("o_custkey")

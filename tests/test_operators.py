@@ -148,10 +148,6 @@ def test_reviews_are_all_or_none(spark):
 
 
 def test_zones_and_classes(spark):
-    none = spark.createDataFrame([], "polygon int, ax double, ay double, bx double, by double")
-    assert mapping.zone_grid(none, 10.0).first().problem == "no surface"
-    big = spark.createDataFrame([(1, 0.0, 0.0, 1e6, 0.0), (1, 1e6, 0.0, 1e6, 1e6)], none.schema)
-    assert mapping.zone_grid(big, 10.0).first().problem == "too large"
     px = spark.createDataFrame([(0, 0, 0.5, [0.5, 0.3, 0.2]), (0, 1, None, [0.1, 0.5, 0.4]), (0, 2, 0.1, [0.4, 0.3, 0.3])], "row int, col int, v double, p array<double>")
     code = lambda **k: [r.code for r in mapping.classify(px, ["v"], F.col("p"), **k).orderBy("col").collect()]
     assert code() == [0, None, 0] and code(threshold=0.5) == [1, None, 1] and code(with_absence=False) == [1, None, 1] and code(allowed=F.col("col") < 2, threshold=0.55) == [0, None, None]
@@ -205,7 +201,7 @@ def test_inflation_and_elimination(spark):
 def test_forest_permutation_and_self_training(spark):
     df = spark.range(240).select("id", (F.col("id") % 2).cast("double").alias("code"), (F.col("id") % 2 + (F.col("id") % 5) / 10).alias("good"), ((F.col("id") * 37) % 11).cast("double").alias("noise"))
     model = training.fit_forest(df, "code", ["good", "noise"], trees=5, depth=4)
-    found = training.permutation_importance(model, df.withColumn("code", F.col("code").cast("int")), "code", ["good", "noise"], "id", {"good": ["good"], "noise": ["noise"]}, 2)
+    found = training.permutation_importance(model, df.withColumn("code", F.col("code").cast("int")), "code", "id", {"good": ["good"], "noise": ["noise"]}, 2)
     assert found[0][0] == "good" and found[0][1] > 0.2
     rows = df.select("id", "good", "noise", F.when(F.col("id") < 20, F.when(F.col("code") == 1, F.lit("yes")).otherwise(F.lit("no"))).otherwise(F.lit("")).alias("label"), F.lit(False).alias("doubtful"))
     positives, news = training.self_training(rows, ["good", "noise"], 3, trees=5, depth=3, least=1)
@@ -236,12 +232,12 @@ def test_models_are_saved_with_their_description(spark, tmp_path):
     rows = spark.range(120).select("id", (F.col("id") % 2).cast("double").alias("code"), (F.col("id") % 2 + (F.col("id") % 5) / 10).alias("good"), (F.col("id") % 7).cast("double").alias("noise"))
     model, path = training.fit_forest(rows, "code", ["good", "noise"], trees=3, depth=3), f"file://{tmp_path}/model"
     with pytest.raises(ValueError):
-        training.save_model(model, path, {"predictors": ["good", "noise"]})
-    training.save_model(model, path, {"predictors": ["good", "noise"], "classes": [0, 1], "n_rows": 120})
+        training.save_model(model, path, {"classes": [0, 1]})
+    training.save_model(model, path, {"classes": [0, 1], "n_rows": 120})
     back, about = training.load_model(spark, path)
-    score = lambda m: [r.predicted for r in training.predict(m, rows, ["good", "noise"]).orderBy("id").collect()]
-    assert score(back) == score(model) and about["n_rows"] == 120
-    table = training.importance_table(spark, model, ["good", "noise"]).collect()
+    score = lambda m: [r.predicted for r in training.predict(m, rows).orderBy("id").collect()]
+    assert score(back) == score(model) and about["n_rows"] == 120 and about["predictors"] == ["good", "noise"] and back.medians == model.medians
+    table = training.importance_table(spark, model).collect()
     assert [r.variable for r in table] == ["good", "noise"] and len(table[0].importance.partition(".")[2]) == 6
     few = rows.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.when(F.col("id") < 20, F.lit("yes")).otherwise(F.lit("")).alias("label"), F.lit(False).alias("doubtful"), "good", "noise")
     assert training.detector(few, ["good", "noise"], path)[1] == "saved" and training.detector(few, ["good", "noise"]) == (None, "none")
@@ -249,6 +245,40 @@ def test_models_are_saved_with_their_description(spark, tmp_path):
     assert training.detector(many, ["good", "noise"], path, trees=3, depth=3)[1] == "own"
 
 
+def test_a_row_is_predicted_alike_in_any_company(spark, tmp_path):
+    code = F.col("id") % 2
+    rows = spark.range(200).select("id", code.cast("double").alias("code"), F.when(F.col("id") % 5 != 0, code + (F.col("id") % 7) / 20).alias("good"), F.when(F.col("id") % 3 != 0, (F.col("id") % 11).cast("double")).otherwise(F.lit(float("nan"))).alias("noise"))
+    model = training.fit_forest(rows, "code", ["good", "noise"], trees=10, depth=4)
+    known = sorted(r.good for r in rows.where("good is not null").collect())
+    assert abs(model.medians["good"] - (known[79] + known[80]) / 2) < 1e-12
+    training.save_model(model, f"file://{tmp_path}/m", {"classes": [0, 1], "n_rows": 200})
+    back, _ = training.load_model(spark, f"file://{tmp_path}/m")
+    score = lambda m, some: {r.id: r.probabilities for r in training.predict(m, some).collect()}
+    whole = score(model, rows)
+    for some in (rows.where("id = 15"), rows.where("id < 50"), rows.where("id % 5 = 0")):
+        part = score(back, some)
+        assert part and all(whole[i] == p for i, p in part.items())
+    nulls = training.predict(back, rows.where("id = 15")).first()
+    assert nulls.good is None  # what was missing stays missing
+
+
+def test_forest_strategies_and_parameters(spark):
+    rows = spark.range(300).select("id", F.when(F.col("id") % 10 == 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("code"), (F.col("id") % 10).cast("double").alias("a"))
+    for strategy in training.STRATEGIES:
+        model = training.fit_forest(rows, "code", ["a"], trees=10, depth=None, strategy=strategy, key="id")
+        assert {r.id for r in training.predict(model, rows).where("predicted = 1").collect()} == set(range(0, 300, 10))
+    assert training.fit_forest(rows, "code", ["a"], trees=10, strategy="undersample", ratio=2.0, key="id").medians["a"] < 4.5
+    for bad in ({"strategy": "other"}, {"strategy": "both"}, {"least": 0}, {"depth": 0}, {"subset": "half"}):
+        with pytest.raises(ValueError):
+            training.fit_forest(rows, "code", ["a"], trees=10, **bad)
+
+
+def test_absences_lie_farther_than_the_buffer(spark):
+    rows = [(1, 0.0, 0.0, "yes", False), (2, 250.0, 0.0, "", False), (3, 250.001, 0.0, "", False), (4, 900.0, 0.0, "yes", True), (5, 901.0, 0.0, "", None), (6, 1.0, 0.0, "no", False), (7, 5000.0, 0.0, "", True), (8, 5000.0, 0.0, None, None)]
+    got = {r.id: r.code for r in training.presence_labels(spark.createDataFrame(rows, "id long, x double, y double, label string, doubtful boolean")).collect()}
+    assert got == {1: 1.0, 2: None, 3: 0.0, 4: None, 5: None, 6: 0.0, 7: None, 8: 0.0}
+
+
 def test_results_for_a_next_run(spark):
     rows = spark.createDataFrame([("a", 1.0, 2.0, {"label": "yes", "origin": "auto", "proba": "0.123456", "ndvi": "0.5", "_x": "1"}), ("b", 1.0, 2.0, {"source": "truth"}), ("c", 0.0, 0.0, {"label": "no", "proba": "-"})],
                                  "id string, lon double, lat double, attrs map<string,string>")
