@@ -1,12 +1,14 @@
 """Secret scans with corpus-wide ownership frequency (DataFrame operations only).
 
 Candidates are credential-like strings. The hash of each candidate's value is counted over the whole corpus by
-distinct repositories and by distinct owners; a repository is a distinct text, unless a column names it, so exact
-copies count once. A value that reaches both ``example_owners`` and ``example_repositories`` is an example that was
-copied. All others are specific to their owners: those in a few owners, in copies of few texts, or in any number of texts
+distinct repositories and by distinct owners; a repository is a document, unless a column names it, so exact
+copies count each. A value that reaches both ``example_owners`` and ``example_repositories`` is an example that was widely
+copied, be it in one text or in many. All others are specific to their owners: those in a few owners, and those in any number of texts
 of one owner; they look live if their shape is that of a credential too (``credential_like``). The scan keeps every base
 match and adds, for each value that looks live, a span of kind ``live`` that covers the value itself.
 
+Without limits in the call, the limit of owners follows from the table (``owner_limit``), and that of repositories is the same.
+
 Defined results: null text is empty; a null owner or repository counts as one value of its own; texts without
 candidates give no spans; repeated rows are scanned each for itself and count once for their owner; an empty
 table gives an empty result. Columns other than those named in the call are carried by nobody and cannot clash.
@@ -33,16 +35,18 @@ FIRST_LOOK = {"assign": r"(?i:passw|secret|token|api_?key)", "access": r"AKIA[A-
 #: Runs shorter than the least length can't hold a match, and maximal runs don't overlap, so the search may skip them.
 SEARCH = {"hex": r"[0-9a-f]{16,}", "access": r"AKIA[A-Z0-9]{14,}"}
 
-#: Owners and repositories from which the queries take a value for an example. On check_h, of 20 sources, values are in
-#: at most 6 sources and 4 texts or in at least 16 sources and 29 texts.
-EXAMPLE_OWNERS = 10
-EXAMPLE_REPOSITORIES = 10
+#: A value is widely copied from a quarter of the table's owners on, at least 3 and at most 10. A credential and its forks and
+#: mirrors have an owner or two, hence 3; in a large corpus ten that share one value by accident are not to be expected, hence
+#: 10; the quarter is for tables of few owners, where 3 is soon reached. The numbers are set by this argument, not on given tables.
+LEAST_OWNERS, MOST_OWNERS, OWNERS_PART = 3, 10, 4
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value_start:int,value:string>>"
 #: Running sums and cuts go by blocks of so many spans, so that a text with very many of them takes little more than linear time.
 BLOCK = 128
 #: A value with one of these is a placeholder, whoever has it.
 PLACEHOLDER = "(?i)example|changeme|placeholder|dummy|sample|your_|xxxx"
+#: So is one of fewer bits a character than random digits of base 16 have at 16 characters, but for some in a thousand.
+LEAST_BITS = 2.3
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -84,8 +88,16 @@ def candidates(text: Column) -> Column:
 
 
 def credential_like(value: Column) -> Column:
-    """Whether a value may be a credential by its shape: it is no placeholder."""
-    return ~value.rlike(PLACEHOLDER)
+    """Whether a value may be a credential by its shape: it has the variety of random characters (``LEAST_BITS``), most of
+    its characters do not repeat or follow the one before (aaaa, abcd, 4321), and it has no word of a placeholder."""
+    def varied(chars: Column) -> Column:
+        share = lambda c: (F.length(value) - F.length(F.replace(value, c, F.lit("")))) / F.length(value)
+        bits = F.aggregate(F.array_sort(F.array_distinct(chars)), F.lit(0.0), lambda total, c: total - share(c) * F.log2(share(c)))
+        codes = F.transform(chars, F.ascii)
+        steps = F.zip_with(codes, F.slice(codes, 2, F.length(value)), lambda a, b: F.coalesce(F.abs(a - b) <= 1, F.lit(False)))
+        return (bits >= LEAST_BITS) & (2 * F.size(F.filter(steps, lambda x: x)) <= F.length(value) - 1)
+
+    return ~value.rlike(PLACEHOLDER) & _let(F.split(value, ""), varied)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -101,16 +113,25 @@ def ownership(found: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("side") == "owner", F.col("n_uses"))).alias("n_uses"))
 
 
-def text_key(text: Column) -> Column:
-    return F.xxhash64(text).cast("string")
+def owner_limit(table_owners: Column) -> Column:
+    """Owners from which a value is widely copied, in a table of so many owners."""
+    return F.least(F.greatest(F.ceil(table_owners / OWNERS_PART), F.lit(LEAST_OWNERS)), F.lit(MOST_OWNERS))
 
 
-def looks_live(example_owners: int, example_repositories: int) -> Column:
-    return (F.col("n_owners") < example_owners) | (F.col("n_repositories") < example_repositories)
+def specific_values(found: DataFrame, owners: DataFrame, example_owners: int | None, example_repositories: int | None) -> DataFrame:
+    """``value_hash, n_owners, n_repositories`` of the values that no wide copying explains; ``owners`` has the owner of every row of the table."""
+    counted = ownership(found)
+    if example_owners is None:
+        every = owners.agg(owner_limit(F.count_distinct("owner")).alias("limit"))  # one row
+        counted = counted.crossJoin(F.broadcast(every))
+    else:
+        counted = counted.withColumn("limit", F.lit(example_owners))
+    least = F.col("limit") if example_repositories is None else F.lit(example_repositories)
+    return counted.where((F.col("n_owners") < F.col("limit")) | (F.col("n_repositories") < least)).select("value_hash", "n_owners", "n_repositories")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None,
-         example_owners: int = 2, example_repositories: int = 2) -> DataFrame:
+         example_owners: int | None = None, example_repositories: int | None = None) -> DataFrame:
     """``row_id, id, base, live`` for every row: the base spans, and those of values that look live.
 
     Texts are read once: the narrow table of spans is written to the shared folder, and only it is joined.
@@ -121,7 +142,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     narrow = stored(
         docs.select(
             F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("id"), distinct(owner_col).alias("owner"),
-            (distinct(repository_col) if repository_col else text_key(text_of(text_col))).alias("repository"), candidates(text_of(text_col)).alias("base"),
+            distinct(repository_col or id_col).alias("repository"), candidates(text_of(text_col)).alias("base"),
         ).select(
             "row_id", "id", "owner", "repository",
             F.transform("base", lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"], s["value_start"], F.sha2(s["value"], 256).alias("value_hash"), credential_like(s["value"]).alias("shaped"))).alias("base"),
@@ -130,7 +151,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     )
     found = narrow.where(F.size("base") > 0).select("row_id", "owner", "repository", F.explode("base").alias("span")).select(
         "row_id", "owner", "repository", "span", F.col("span.value_hash").alias("value_hash"))
-    few = ownership(found).where(looks_live(example_owners, example_repositories)).select("value_hash", "n_owners", "n_repositories")
+    few = specific_values(found, narrow.select("owner"), example_owners, example_repositories)
     live = found.where("span.shaped").join(few, "value_hash").groupBy("row_id").agg(
         F.array_sort(F.collect_list(F.struct("span.value_start", "span.end", "span.kind", "n_owners", "n_repositories"))).alias("live"))
     nothing = F.array().cast("array<struct<value_start:int,end:int,kind:string,n_owners:bigint,n_repositories:bigint>>")
@@ -159,17 +180,17 @@ def _cut(text: Column, spans: Column, mark: str) -> Column:
     return _let(first_of_overlapping(spans), pieces)
 
 
-def redact(docs: DataFrame, mark: str = "<secret>", example_owners: int = 2, example_repositories: int = 2) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "<secret>", example_owners: int | None = None, example_repositories: int | None = None) -> DataFrame:
     """Documents with every live value replaced by ``mark``; n_chars follows the new text. Columns stay as they are."""
     numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     # The spans are found again on the rows themselves, so that no text is joined: only narrow value hashes are.
     spans = numbered.withColumn("base", F.transform(candidates(text_of(F.col("doc.text"))), lambda s: F.struct(
         s["value_start"].alias("value_start"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("value_hash"), credential_like(s["value"]).alias("shaped"))))
-    spans = stored(spans.withColumns({"row_id": F.monotonically_increasing_id(), "repository": text_key(text_of(F.col("doc.text")))}), "redact-spans")
-    owner = F.coalesce(F.concat(F.lit("="), F.col("doc.source").cast("string")), F.lit("null"))
-    found = spans.where(F.size("base") > 0).select("row_id", owner.alias("owner"), "repository", F.explode("base").alias("span"))
+    spans = stored(spans.withColumn("row_id", F.monotonically_increasing_id()), "redact-spans")
+    told = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"doc.{c}").cast("string")), F.lit("null"))
+    found = spans.where(F.size("base") > 0).select("row_id", told("source").alias("owner"), told("doc_id").alias("repository"), F.explode("base").alias("span"))
     found = found.select("row_id", "owner", "repository", "span", F.col("span.value_hash").alias("value_hash"))
-    few = ownership(found).where(looks_live(example_owners, example_repositories)).select("value_hash")
+    few = specific_values(found, spans.select(told("source").alias("owner")), example_owners, example_repositories).select("value_hash")
     live = found.where("span.shaped").join(few, "value_hash").groupBy("row_id").agg(
         F.array_sort(F.collect_set(F.struct("span.value_start", "span.end"))).alias("live"))
     text = F.col("doc.text")
@@ -184,7 +205,7 @@ def _joined(spans: Column) -> Column:
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), example_owners=EXAMPLE_OWNERS, example_repositories=EXAMPLE_REPOSITORIES)
+    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     part = "struct<start:int,rank:int,kind:string,end:int>"
     base = F.transform("base", lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"]).cast(part))
     added = F.transform("live", lambda s: F.struct(s["value_start"], F.lit(len(KINDS)), F.lit("live"), s["end"]).cast(part))
@@ -209,9 +230,13 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 matches AS ({" UNION ALL ".join(_sql_spans(rank) for rank in range(len(KINDS)))}),
 placed AS (SELECT *, sum(length(gap) + length(whole)) OVER (PARTITION BY doc_id, rank ORDER BY i) AS "end" FROM matches),
 spans AS (SELECT doc_id, source, text, rank, kind, "end" - length(whole) AS start, "end", "end" - length(value) AS value_start, value FROM placed WHERE length(value) >= least),
-uses AS (SELECT value, count(DISTINCT coalesce('=' || source, 'null')) AS n_owners, count(DISTINCT text) AS n_repositories FROM spans GROUP BY value),
-live AS (SELECT doc_id, value_start AS start, {len(KINDS)} AS rank, 'live' AS kind, "end" FROM spans JOIN uses USING (value)
-  WHERE (n_owners < {EXAMPLE_OWNERS} OR n_repositories < {EXAMPLE_REPOSITORIES}) AND NOT regexp_matches(value, '{PLACEHOLDER}')),
+told_owners AS (SELECT least(greatest(ceil(count(DISTINCT coalesce('=' || source, 'null')) / {OWNERS_PART}), {LEAST_OWNERS}), {MOST_OWNERS}) AS least_owners FROM d),
+uses AS (SELECT value, count(DISTINCT coalesce('=' || source, 'null')) AS n_owners, count(DISTINCT coalesce('=' || doc_id, 'null')) AS n_repositories FROM spans GROUP BY value),
+shapes AS (SELECT value, string_split(value, '') AS chars FROM (SELECT DISTINCT value FROM spans)),
+varied AS (SELECT value, list_sum(list_transform(list_distinct(chars), lambda c: -(length(value) - length(replace(value, c, ''))) / length(value) * log2((length(value) - length(replace(value, c, ''))) / length(value)))) AS bits,
+  len(list_filter(range(1, length(value)), lambda i: abs(ord(chars[i]) - ord(chars[i + 1])) <= 1)) AS steps FROM shapes),
+live AS (SELECT doc_id, value_start AS start, {len(KINDS)} AS rank, 'live' AS kind, "end" FROM spans JOIN uses USING (value) JOIN varied USING (value), told_owners
+  WHERE (n_owners < least_owners OR n_repositories < least_owners) AND NOT regexp_matches(value, '{PLACEHOLDER}') AND bits >= {LEAST_BITS} AND 2 * steps <= length(value) - 1),
 every_span AS (SELECT doc_id, start, rank, kind, "end" FROM spans UNION ALL SELECT * FROM live),
 told AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(kind || ':' || start::BIGINT || ':' || "end"::BIGINT, ',' ORDER BY start, rank) FILTER (kind <> 'live') AS base,
