@@ -38,15 +38,15 @@ def dilate(pixels: DataFrame) -> DataFrame:
     return pixels.select("row", "col", F.explode(_offsets()).alias("o")).select((F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col")).distinct()
 
 
-def patches(pixels: DataFrame, least: int = 1) -> DataFrame:
-    """``row, col, patch, size``: 8-connected components of the flagged pixels, named by their first pixel.
+def patches(pixels: DataFrame, least: int = 1, within: tuple[str, ...] = ()) -> DataFrame:
+    """``row, col, patch, size``: 8-connected components of the flagged pixels (of each image, if ``within`` names its key), named by their first pixel.
 
     Each round takes the smallest label around and then that label's label; it ends when nothing changes.
     """
-    key = F.col("row").cast("long") * (1 << 31) + F.col("col")
-    cells = saved(pixels.select("row", "col", key.alias("cell")), "cells")
-    near = cells.select("cell", "row", "col", F.explode(_offsets()).alias("o")).select("cell", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"))
-    links = saved(near.join(cells.withColumnRenamed("cell", "other"), ["row", "col"]).select("cell", "other"), "links")
+    key = F.struct(*within, "row", "col") if within else F.col("row").cast("long") * (1 << 31) + F.col("col")
+    cells = saved(pixels.select(*within, "row", "col", key.alias("cell")), "cells")
+    near = cells.select(*within, "cell", "row", "col", F.explode(_offsets()).alias("o")).select(*within, "cell", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"))
+    links = saved(near.join(cells.withColumnRenamed("cell", "other"), [*within, "row", "col"]).select("cell", "other"), "links")
     labels = cells.select("cell", F.col("cell").alias("patch"))
     while True:
         around = links.join(labels.withColumnRenamed("cell", "other"), "other").groupBy("cell").agg(F.min("patch").alias("low"))
@@ -56,7 +56,7 @@ def patches(pixels: DataFrame, least: int = 1) -> DataFrame:
         if step.where("old <> patch").isEmpty():
             break
     sizes = labels.groupBy("patch").agg(F.count(F.lit(1)).alias("size"))
-    return cells.join(labels, "cell").join(sizes, "patch").where(F.col("size") >= least).select("row", "col", "patch", "size")
+    return cells.join(labels, "cell").join(sizes, "patch").where(F.col("size") >= least).select(*within, "row", "col", "patch", "size")
 
 
 def bounded_distance(pixels: DataFrame, marked: DataFrame, reach: int, cell: float) -> DataFrame:

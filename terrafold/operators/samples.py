@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,6 +62,76 @@ def group_folds(rows: DataFrame, group: str, k: int) -> DataFrame:
     return sizes.withColumn("fold", F.when(lap % 2 == 0, at).otherwise(k - 1 - at).cast("int"))
 
 
+def _fold_chooser(k: int, n_classes: int):
+    """A function that deals groups (in the order they come) to the fold that evens the classes most."""
+    def deal(batches):
+        totals = None
+        for rows in batches:
+            counts = np.array(rows["counts"].tolist(), np.float64).reshape(len(rows), n_classes)
+            if totals is None:
+                totals = np.array(rows["totals"].iloc[0], np.float64)
+                held, sizes = np.zeros((k, n_classes)), np.zeros(k)
+            folds = []
+            for own in counts:
+                spread = []
+                for f in range(k):
+                    held[f] += own
+                    spread.append((round(float((held / totals).std(axis=0).mean()), 9), sizes[f], f))
+                    held[f] -= own
+                f = min(spread)[2]
+                held[f] += own
+                sizes[f] += own.sum()
+                folds.append(f)
+            yield rows[["group"]].assign(n=counts.sum(axis=1).astype("int64"), fold=np.array(folds, "int32"))
+
+    return deal
+
+
+def stratified_group_folds(rows: DataFrame, group: str, code: str, k: int = 5) -> DataFrame:
+    """``group, n, fold``: whole groups in k folds whose classes are alike.
+
+    Groups by falling spread of their class counts (then by name) go each to the fold with which the deviation of the classes' shares
+    over the folds is least; of equals to the smaller, then to the first fold. One row a group is dealt in one task: groups are zones, whose
+    number follows the area and not the samples.
+    """
+    classes = [r[0] for r in rows.select(code).distinct().orderBy(code).collect()]  # one row a class
+    each = [F.count_if(F.col(code) == c).cast("double") for c in classes]
+    counts = rows.groupBy(F.col(group).cast("string").alias("group")).agg(F.array(*each).alias("counts"))
+    totals = rows.agg(F.array(*each).alias("totals"))
+    mean = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x) / len(classes)
+    spread = F.round(F.sqrt(F.aggregate("counts", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / len(classes)), 9)
+    ordered = counts.crossJoin(F.broadcast(totals)).withColumn("spread", spread).repartition(1).sortWithinPartitions(F.desc("spread"), "group")
+    return ordered.select("group", "counts", "totals").mapInPandas(_fold_chooser(k, len(classes)), "group string, n long, fold int").withColumnRenamed("group", group)
+
+
+def stratified_folds(rows: DataFrame, key: str, code: str, k: int, seed: int = 42) -> DataFrame:
+    """``rows`` with ``fold``: the rows of each class, in the order of a hash, go to the folds in turn.
+
+    Rows are numbered within ranges of the hash, and a range begins where the ones before end, so no class is in one task.
+    """
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 31))
+    ranged = rows.withColumns({"place_": place, "range_": F.floor(place / (1 << 21)).cast("int")})
+    sums = ranged.groupBy(code, "range_").agg(F.count(F.lit(1)).alias("n_"))
+    before = Window.partitionBy(code).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # at most 1024 ranges a class
+    sums = sums.withColumn("before_", F.coalesce(F.sum("n_").over(before), F.lit(0))).drop("n_")
+    at = F.row_number().over(Window.partitionBy(code, "range_").orderBy("place_", key)) - 1
+    return ranged.withColumn("at_", at).join(sums, [code, "range_"]).withColumn("fold", ((F.col("at_") + F.col("before_")) % k).cast("int")).select(*rows.columns, "fold")
+
+
+def spatial_folds(rows: DataFrame, key: str, group: str, code: str, k: int = 5, least_groups: int = 3, seed: int = 42) -> tuple[DataFrame, str, list[tuple[str, object]]]:
+    """``rows`` with ``fold``, the kind of folds, and warnings: by groups where there are ``least_groups`` of them, else by class
+    alone (``no groups``, with their number); ``class in one group`` names classes that some fold cannot have learned."""
+    n_groups = rows.select(group).distinct().count()
+    sizes = rows.groupBy(code).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(group).alias("g")).orderBy(code).collect()  # one row a class
+    if n_groups >= least_groups:
+        k = min(k, n_groups)
+        folds = stratified_group_folds(rows, group, code, k).select(F.col(group).alias("group_"), "fold")
+        out = rows.join(folds, rows[group].cast("string").eqNullSafe(F.col("group_"))).drop("group_")
+        return out, "groups", [("class in one group", r[0]) for r in sizes if r.g == 1]
+    k = max(2, min(k, min((r.n for r in sizes), default=2)))
+    return stratified_folds(rows, key, code, k, seed), "classes", [("no groups", n_groups)]
+
+
 def medians_of(rows: DataFrame, columns: list[str]) -> dict[str, float]:
     """The exact median of each column, 0 where it is empty."""
     found = column_quantiles(rows, {c: (c, 0.5) for c in columns}).first()

@@ -127,10 +127,65 @@ def first_region(points: DataFrame, regions: DataFrame) -> DataFrame:
     return held.groupBy("from_id").agg(F.min_by("region", "priority").alias("region"))
 
 
-def uniform_in_box(spark, n: int, box: tuple[float, float, float, float], seed: int) -> DataFrame:
-    """n points, uniform in a box, the same for the same seed."""
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("id")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return spark.range(n).select("id", (box[0] + u(1) * (box[2] - box[0])).alias("x"), (box[1] + u(2) * (box[3] - box[1])).alias("y"))
+def uniform_in_box(spark, n: int, box: tuple[float, float, float, float], seed: int, start: int = 0) -> DataFrame:
+    """n points, uniform in a box, the same for the same seed (by MD5 of seed, axis and number); numbered from ``start``."""
+    digits = lambda k: F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(k)), F.col("id").cast("string")).cast("binary")), 1, 13)
+    u = lambda k: (F.conv(digits(k), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    return spark.range(start, start + n).select("id", (box[0] + u(1) * (box[2] - box[0])).alias("x"), (box[1] + u(2) * (box[3] - box[1])).alias("y"))
+
+
+def uniform_in_area(edges: DataFrame, n: int, seed: int = 42, most_tries: int = 200) -> tuple[DataFrame, int]:
+    """n points (id, x, y), uniform in polygons (borders included), and how many were tried: at most ``most_tries`` times n.
+
+    The tries of a seed are numbered, so the points are the first n inside, whatever the batches: reruns agree. Batches grow with what
+    the share inside so far says that it takes; an area that holds almost nothing ends with fewer points.
+    """
+    from terrafold.sources.tables import saved
+
+    spark = edges.sparkSession
+    box = edges.agg(F.min(F.least("ax", "bx")), F.min(F.least("ay", "by")), F.max(F.greatest("ax", "bx")), F.max(F.greatest("ay", "by"))).first()
+    empty = spark.createDataFrame([], "id long, x double, y double")
+    if box[0] is None or n < 1:
+        return empty, 0
+    cell = max(box[3] - box[1], 1e-9) / 256
+    found, held, tried, limit = empty, 0, 0, n * most_tries
+    while held < n and tried < limit:
+        more = min(limit - tried, max(n, int((n - held) * 1.2 * (tried + 1) / (held + 1))))
+        batch = uniform_in_box(spark, more, tuple(box), seed, tried)
+        inside = inside_polygons(batch.select(F.col("id").alias("from_id"), "x", "y"), edges, cell)
+        found = saved(found.union(batch.join(inside, batch["id"] == inside["from_id"], "left_semi")), "points-inside")
+        held, tried = found.count(), tried + more
+    return (found.orderBy("id").limit(n) if held > n else found), tried
+
+
+def random_points(edges: DataFrame, n: int, elevation=None, low: float | None = None, high: float | None = None, stratified: bool = False, avoid: DataFrame | None = None, far: float = 0.0, seed: int = 42) -> tuple[DataFrame, dict]:
+    """Up to n points (id, x, y and z, if elevations are asked for) in an area, away from the points ``avoid`` (x, y), within a range of elevation or from five bands of it.
+
+    ``elevation`` takes points (id, x, y) and gives them z. The second result says what was kept, and why nothing was: ``low above area``,
+    ``high below area``, ``nothing in range`` or ``no elevations``.
+    """
+    from terrafold.operators.samples import within_range
+
+    ranged, away = bool(low or high), avoid is not None and far > 0
+    pool, tried = uniform_in_area(edges, n * (4 if stratified else 3 if ranged else 1) * (3 if away else 1), seed)
+    about = {"requested": n, "tried": tried, "excluded": 0, "reason": None}
+    if away:
+        kept = far_from(pool.withColumnRenamed("id", "from_id"), avoid.select("x", "y").withColumn("to_id", F.lit(0)), far).withColumnRenamed("from_id", "id").select("id", "x", "y")
+        about["excluded"] = pool.count() - kept.count()
+        pool = kept
+    if ranged or stratified:
+        if elevation is None:
+            raise ValueError("elevations are needed for a range or bands of them")
+        pool = elevation(pool).where("z is not null")
+        ends = pool.agg(F.min("z").alias("a"), F.max("z").alias("b")).first()
+        about |= {"lowest": ends.a, "highest": ends.b}
+        pool = within_range(pool, "z", low, high)
+        if pool.isEmpty():
+            about["reason"] = "no elevations" if ends.a is None else "low above area" if low and ends.b < low else "high below area" if high and ends.a > high else "nothing in range"
+        elif stratified:
+            pool = bands(pool, "z", 5, max(1, n // 5), ["id"]).drop("band")
+    out = pool.orderBy("id").limit(n)
+    return out, {**about, "kept": out.count()}
 
 
 def spaced(points: DataFrame, least: float) -> DataFrame:

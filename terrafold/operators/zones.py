@@ -66,14 +66,16 @@ def centre_runs(edges: DataFrame, grid: Grid) -> DataFrame:
     return runs.where("col_from <= col_to")
 
 
-def swept(runs: DataFrame, least: int) -> DataFrame:
-    """The longest runs in which every pixel is in at least ``least`` of the given runs: a sweep along each row, no pairs of runs."""
+def swept(runs: DataFrame, least: int, within: tuple[str, ...] = ()) -> DataFrame:
+    """The longest runs in which every pixel is in at least ``least`` of the given runs: a sweep along each row (of each image, if
+    ``within`` names its key), no pairs of runs."""
+    keys = [*within, "row"]
     ends = F.array(F.struct(F.col("col_from").alias("at"), F.lit(1).alias("step")), F.struct((F.col("col_to") + 1).alias("at"), F.lit(-1).alias("step")))
-    turns = runs.select("row", F.inline(ends)).groupBy("row", "at").agg(F.sum("step").alias("step"))
-    w = Window.partitionBy("row").orderBy("at")
+    turns = runs.select(*keys, F.inline(ends)).groupBy(*keys, "at").agg(F.sum("step").alias("step"))
+    w = Window.partitionBy(*keys).orderBy("at")
     inside = turns.withColumn("inside", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)) >= least)
     changed = inside.withColumn("was", F.lag("inside", 1, False).over(w)).where("inside <> was")
-    return changed.withColumn("end", F.lead("at").over(w)).where("inside").select("row", F.col("at").alias("col_from"), (F.col("end") - 1).alias("col_to"))
+    return changed.withColumn("end", F.lead("at").over(w)).where("inside").select(*keys, F.col("at").alias("col_from"), (F.col("end") - 1).alias("col_to"))
 
 
 def union(*sets: DataFrame) -> DataFrame:

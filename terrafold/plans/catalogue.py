@@ -647,4 +647,4 @@ def spaced_points(spark, sf_dir):
     return six(spatial.spaced(rows, 400.0), "x", "y")
 
 
-from terrafold.plans import maps, reviews  # noqa: E402, F401  they register their queries
+from terrafold.plans import maps, reviews, studies  # noqa: E402, F401  they register their queries

@@ -96,15 +96,6 @@ def purity_agreement(spark, sf_dir):
     return review.purity_agreement(rows, "purity", "p1", -0.5, 0.5, 0.5)
 
 
-@query(PREDICTORS, """f AS (SELECT vec_id, abs(p1) AS green, (abs(p2) * 100)::INTEGER AS n, abs(p4) * 300 AS mean, abs(p5) AS largest, abs(p6) AS opened FROM tab),
-c AS (SELECT *, 100 * (0.30 * least(greatest((n - 5) / 55, 0), 1) + 0.25 * (1 - least(greatest((mean - 5) / 195, 0), 1)) + 0.20 * (1 - least(greatest((largest - 0.2) / (0.8 - 0.2), 0), 1)) + 0.25 * (1 - least(greatest((opened - 0.2) / (0.8 - 0.2), 0), 1))) AS shrub FROM f)""",
-       "SELECT vec_id, CASE WHEN green < 0.02 THEN 'ROCK' WHEN opened >= 0.55 AND largest >= 0.40 AND green >= 0.08 THEN 'MEADOW' WHEN shrub >= 55 THEN 'SHRUB' WHEN green < 0.05 THEN 'ROCK' ELSE 'MIXED' END AS pattern FROM c")
-def patch_patterns(spark, sf_dir):
-    a = lambda c: F.abs(F.col(c))
-    found = review.patch_pattern(a("p1"), F.bround(a("p2") * 100).cast("int"), a("p4") * 300, a("p5"), a("p6"))
-    return views.predictors(spark, sf_dir).select("vec_id", found.alias("pattern"))
-
-
 @query(POINTS, f"l AS (SELECT point_id, {YES_NO} AS label, proba, doubtful FROM points)", "p AS (SELECT *, label = 'yes' AND point_id % 2 = 0 AS base, (label = 'yes' OR (proba >= 0.7 AND NOT doubtful)) AND label <> 'no' AS pos FROM l)",
        """SELECT point_id AS id, CASE WHEN doubtful THEN 'doubtful' WHEN label = 'no' OR base THEN 'verified' WHEN pos THEN 'auto' ELSE 'predicted' END AS origin,
 CASE WHEN doubtful OR label = 'no' THEN 'NO' WHEN base THEN 'VERIFIED_YES' WHEN pos THEN 'AUTO' ELSE 'NO' END AS decision FROM p""")
