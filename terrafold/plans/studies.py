@@ -248,7 +248,7 @@ def learning_history(spark, sf_dir):
     """Three rounds of self-training on points with predictors: what each promoted and trained on."""
     path = f"{shared_folder(spark)}/learning-{uuid.uuid4().hex[:12]}"
     k = F.col("vec_id")
-    label = F.when(k % 5 == 0, F.when(F.col("code") == 0, F.lit("yes")).otherwise(F.lit("no"))).otherwise(F.lit(""))
+    label = F.when(k % 5 == 0, F.when(F.col("code") < 4, F.lit("yes")).otherwise(F.lit("no"))).otherwise(F.lit(""))
     rows = views.predictors(spark, sf_dir).select(k.alias("id"), (k % 100 * 300.0).alias("x"), (F.floor(k / 100) * 300.0).alias("y"), label.alias("label"), (k % 41 == 1).alias("doubtful"), *PS, F.lit("slope").alias("setting_proposed"), F.when(F.col("p2") > 0, F.lit("wet")).otherwise(F.lit("dry")).alias("wetness_proposed"))
     options = {"trees": 20, "depth": 5}
     learning.begin(saved(rows, "points"), path, PS, **options)
