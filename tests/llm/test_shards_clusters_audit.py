@@ -205,3 +205,18 @@ def test_same_as_sql(spark, name):
     ours, theirs = QUERIES[name](spark, str(SF)).toPandas(), con.sql(SQL[name]).df()
     told = lambda frame: sorted(map(str, frame[sorted(frame.columns)].astype(object).where(frame.notna(), None).itertuples(index=False, name=None)))
     assert sorted(ours.columns) == sorted(theirs.columns) and told(ours) == told(theirs)
+
+
+# The working point of the toxicity curve
+
+def test_the_working_point_is_the_best_cut():
+    from terrafold.llm import toxicity
+
+    y = np.array([0, 0, 0, 1, 1])
+    assert toxicity.working_point(np.array([-3.0, -2.0, -1.0, 1.0, 2.0]), y) == 0.0  # 0 parts them already
+    assert toxicity.working_point(np.array([-9.0, -8.0, -7.0, -5.0, -4.0]), y) == -6.0
+    assert toxicity.working_point(np.array([3.0, 4.0, 5.0, 7.0, 9.0]), y) == 6.0
+    # A toxic text among many ordinary ones is not worth their false alarms.
+    m, y = np.r_[np.arange(-100.0, 0.0), [-50.5, 5.0, 6.0]], np.r_[np.zeros(100), [1, 1, 1]]
+    assert toxicity.working_point(m, y) == 0.0
+    assert -1 < toxicity.steady_point(m, y) <= 0.0
