@@ -6,27 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terrafold.sources.tables import saved
+
 
 def _score_counts(rows: DataFrame, truth: str, score: str) -> DataFrame:
     return rows.where(F.col(score).isNotNull() & F.col(truth).isNotNull()).groupBy(F.col(score).alias("s")).agg(
         F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
 
 
-def _before(counts: DataFrame, ranges: int = 256) -> DataFrame:
+def _before(counts: DataFrame) -> DataFrame:
     """Each distinct score with the positives and negatives of smaller scores.
 
-    Scores are cut into ranges at approximate quantiles, so that skewed scores fill them alike; each range is summed for
+    Scores are dealt to ranges, as many as a shuffle has partitions; each range is summed for
     itself and continues from the ranges before, so no task sorts all.
     """
-    fractions = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = sorted(set(counts.agg(F.percentile_approx(F.col("s").cast("double"), fractions, F.lit(10 * ranges))).first()[0] or []))
-    at = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col("s"))) if cuts else F.lit(0)
-    cut = counts.withColumn("range", at)
+    cut = saved(counts.repartitionByRange("s").withColumn("range", F.spark_partition_id()), "score-ranges")
     earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     sums = cut.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     sums = sums.select("range", F.coalesce(F.sum("p").over(earlier), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"))
     inside = Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    return cut.join(F.broadcast(sums), "range").select(  # sums has at most ranges + 1 rows
+    return cut.join(F.broadcast(sums), "range").select(  # sums has one row a range
         "s", "pos", "neg", (F.col("p0") + F.coalesce(F.sum("pos").over(inside), F.lit(0))).alias("pos_before"), (F.col("n0") + F.coalesce(F.sum("neg").over(inside), F.lit(0))).alias("neg_before"))
 
 
@@ -111,3 +110,27 @@ def importance_ranks(rows: DataFrame, drop: str, impurity: str, place: str) -> D
     """Variables ranked by what their permutation costs, then by impurity, then by their place in the catalogue."""
     order = Window.orderBy(F.desc(F.round(drop, 9)), F.desc(F.round(impurity, 9)), place)  # one row a variable
     return rows.withColumn("rank", F.row_number().over(order))
+
+
+def fold_metrics(rows: DataFrame, fold: str, real: str, predicted: str) -> DataFrame:
+    """``fold, n, accuracy, macro_f1`` of the rows of each fold; classes that a fold neither has nor predicts don't count in it."""
+    counts = rows.groupBy(fold, real, predicted).agg(F.count(F.lit(1)).alias("n"))
+    hit = F.col(real) == F.col(predicted)
+    sides = F.array(F.struct(F.col(real).alias("class"), F.lit(1).alias("is_real")), F.struct(F.col(predicted).alias("class"), F.lit(0).alias("is_real")))
+    each = counts.select(fold, "n", hit.alias("hit"), F.inline(sides)).groupBy(fold, "class").agg(F.sum("n").alias("both"), F.sum(F.when(F.col("hit") & (F.col("is_real") == 1), F.col("n")).otherwise(F.lit(0))).alias("tp"), F.sum(F.when(F.col("is_real") == 1, F.col("n")).otherwise(F.lit(0))).alias("support"))
+    return each.groupBy(fold).agg(F.sum("support").alias("n"), (F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg(2 * F.col("tp") / F.col("both")).alias("macro_f1"))
+
+
+CRITERIA = ("f1", "tss", "manual")
+
+
+def chosen_threshold(sweep: DataFrame, criterion: str = "f1", manual: float | None = None, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """One row ``threshold, run, value``: the best by F1 or by TSS, or a manual cut with the figures of its nearest threshold; ValueError where it is out of range."""
+    if criterion not in CRITERIA:
+        raise ValueError(f"criterion: one of {', '.join(CRITERIA)}")
+    if criterion != "manual":
+        return best_threshold(sweep, criterion)
+    if manual is None or not low <= manual <= high:
+        raise ValueError(f"a manual threshold lies between {low:g} and {high:g}")
+    near = sweep.orderBy(F.round(F.abs(F.col("threshold") - manual), 9), "threshold").limit(1)
+    return near.select(F.lit(manual).alias("threshold"), F.lit(1).cast("long").alias("run"), F.col("f1").alias("value"))

@@ -39,23 +39,27 @@ def _block_filler(step: float):
 def filled(dem: DataFrame, step: float = 0.0, block: int = 256) -> DataFrame:
     """The lowest surface over the grid from which every cell drains to the edge, by at least ``step`` a cell.
 
-    Starts at infinity inside and at the ground on the edge. Each round solves every block for itself, lowest cell first,
-    with the levels that its neighbours' border cells have, until no level changes: as many rounds as blocks on the longest
-    path, not cells. Cells without elevation drain. A task holds one block and its border.
+    Starts at infinity inside and at the ground on the edge. Each round solves blocks for themselves, lowest cell first,
+    with the levels that their neighbours' border cells have: all blocks at first, and then those next to a border cell that changed, until none
+    did. Cells without elevation drain. A task holds one block and its border.
     """
     known = dem.where(F.col("z").isNotNull()).select("row", "col", F.col("z").cast("double").alias("z"))
     inner = neighbours(known, ["z"]).groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"))
-    level = saved(known.join(inner, ["row", "col"], "left").select("row", "col", "z", F.when(F.coalesce("n", F.lit(0)) < 8, F.col("z")).otherwise(F.lit(float("inf"))).alias("w")), "level")
     br, bc = F.floor(F.col("row") / block).cast("int"), F.floor(F.col("col") / block).cast("int")
+    level = saved(known.join(inner, ["row", "col"], "left").select("row", "col", "z", F.when(F.coalesce("n", F.lit(0)) < 8, F.col("z")).otherwise(F.lit(float("inf"))).alias("w"), br.alias("at_row"), bc.alias("at_col")), "level")
     near = lambda x: F.array_distinct(F.array(*[F.floor((F.col(x) + d) / block).cast("int") for d in (-1, 0, 1)]))
+    open_ = saved(level.select(F.col("at_row").alias("block_row"), F.col("at_col").alias("block_col")).distinct(), "open-blocks")
     while True:
         # Cells at a border go to the neighbouring blocks too, of which most cells have none.
-        dealt = level.withColumn("block_row", F.explode(near("row"))).withColumn("block_col", F.explode(near("col")))
-        dealt = dealt.withColumn("own", (F.col("block_row") == br) & (F.col("block_col") == bc)).where("own or w < double('Infinity')")
-        new = dealt.groupBy("block_row", "block_col").applyInPandas(_block_filler(step), "row int, col int, z double, w double, old double")
-        new = saved(new, "level")
-        level = new.select("row", "col", "z", "w")
-        if new.where("old <> w").isEmpty():
+        dealt = level.withColumn("block_row", F.explode(near("row"))).withColumn("block_col", F.explode(near("col"))).join(open_, ["block_row", "block_col"], "left_semi")
+        dealt = dealt.withColumn("own", (F.col("block_row") == F.col("at_row")) & (F.col("block_col") == F.col("at_col"))).where("own or w < double('Infinity')").drop("at_row", "at_col")
+        new = saved(dealt.groupBy("block_row", "block_col").applyInPandas(_block_filler(step), "row int, col int, z double, w double, old double"), "solved")
+        new = new.withColumns({"at_row": br, "at_col": bc})
+        ended = level.join(open_.select(F.col("block_row").alias("at_row"), F.col("block_col").alias("at_col")), ["at_row", "at_col"], "left_anti")
+        level = saved(ended.select("row", "col", "z", "w", "at_row", "at_col").union(new.select("row", "col", "z", "w", "at_row", "at_col")), "level")
+        changed = new.where("old <> w").withColumn("block_row", F.explode(near("row"))).withColumn("block_col", F.explode(near("col"))).where("block_row <> at_row or block_col <> at_col")
+        open_ = saved(changed.select("block_row", "block_col").distinct(), "open-blocks")
+        if open_.isEmpty():
             return level.select("row", "col", F.col("w").alias("z"))
 
 

@@ -36,6 +36,32 @@ def findings(rows: DataFrame, columns: list[str], share: float = 0.95, least: in
         (F.col("n") >= least) & (top >= share), F.lit("nearly constant")).alias("finding"))
 
 
+def table_findings(rows: DataFrame, columns: list[str], least_r: float = 0.95, per_column: int = 5) -> DataFrame:
+    """``finding, a, b, value``: what is odd in a training table; it says so and changes nothing.
+
+    ``fewer rows than columns`` or ``few rows a column`` (value: rows), ``constant``, ``nearly constant`` (share of the commonest value), ``duplicate``
+    and ``opposite`` columns (equal in every row, or with the sign changed), and ``correlated`` ones (r) that are neither. Pairs are columns of one aggregate.
+    """
+    told = {r.column: r for r in findings(rows, columns).collect()}  # one row a column
+    constant = {c for c in columns if c not in told or told[c].finding == "constant"}
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :] if a not in constant and b not in constant]
+    differ = lambda i, a, b: [F.count_if(~F.col(a).eqNullSafe(F.col(b))).alias(f"d{i}"), F.count_if(~F.coalesce(F.abs(F.col(a) + F.col(b)) <= 1e-9, F.lit(False))).alias(f"o{i}"), correlation(a, b).alias(f"r{i}")]
+    wide = rows.agg(F.count(F.lit(1)).alias("n"), *[x for i, (a, b) in enumerate(pairs) for x in differ(i, a, b)]).first()
+    out, n = [], wide.n
+    if n and n < per_column * len(columns):
+        out.append(("fewer rows than columns" if n < len(columns) else "few rows a column", None, None, float(n)))
+    out += [(told[c].finding, c, None, float(told[c].top_share)) for c in columns if c in told and told[c].finding]
+    for i, (a, b) in enumerate(pairs if n else []):
+        r = wide[f"r{i}"]
+        if not wide[f"d{i}"]:
+            out.append(("duplicate", a, b, 1.0))
+        elif not wide[f"o{i}"]:
+            out.append(("opposite", a, b, -1.0))
+        elif n >= 3 and r is not None and abs(r) >= least_r:
+            out.append(("correlated", a, b, float(r)))
+    return rows.sparkSession.createDataFrame(out, "finding string, a string, b string, value double")
+
+
 def imbalance(rows: DataFrame, code: str) -> DataFrame:
     sizes = rows.groupBy(code).agg(F.count(F.lit(1)).alias("n"))
     return sizes.agg(F.max("n").alias("largest"), F.min("n").alias("smallest"), (F.max("n") / F.min("n")).alias("ratio"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terrafold.operators.quantiles import column_quantiles
+
 # The types of each level.
 LEVELS = {"setting": ("stream", "lake", "slope"), "wetness": ("wet", "dry"), "purity": ("pure", "mixed-water", "mixed-rock")}
 #: Decisions that say meadow, as parts of their names, and those that say the contrary.
@@ -97,7 +99,7 @@ def threshold_from_truth(rows: DataFrame, truth: str, score: str, low: float = 0
     table = table.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "p": F.sum("pos").over(Window.partitionBy()), "n": F.sum("neg").over(Window.partitionBy())})
     j = F.round(F.try_divide(F.col("tp").cast("double"), F.col("p").cast("double")) - F.try_divide(F.col("fp").cast("double"), F.col("n").cast("double")), 9)
     best = table.where("cut").agg(F.min_by("k", F.struct(-j, F.col("k"))).alias("k"), F.max("p").alias("p"), F.max("n").alias("n"))
-    kept = known.agg(F.percentile(F.when(F.col("t") == 1, F.col("s")), F.lit(1 - recall)).alias("kept"))
+    kept = column_quantiles(known.where("t = 1"), {"kept": ("s", 1 - recall)})
     value = F.when(F.coalesce("p", F.lit(0)) < least, F.lit(None).cast("double")).when(F.col("n") >= least, F.col("k") / 1000).otherwise(F.col("kept"))
     held = F.least(F.greatest(F.col("value"), F.lit(low)), F.lit(high))
     return best.crossJoin(F.broadcast(kept)).select(value.alias("value")).select(F.when(F.col("value").isNotNull(), held).alias("threshold"))  # one row each

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terrafold.operators.quantiles import at_ranks
+
 
 def year_ranges(rows: DataFrame, key: str, year: str) -> DataFrame:
     """The years of each key as text: single years and ranges of consecutive ones."""
@@ -17,10 +19,9 @@ def year_ranges(rows: DataFrame, key: str, year: str) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """The element at place n div 2 (from 0) of the sorted values; it is not interpolated."""
-    w = Window.partitionBy(*by)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("r_", F.row_number().over(w.orderBy(value)) - 1).withColumn("n_", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("r_") == F.floor(F.col("n_") / 2)).select(*by, value)
+    """The element at place n div 2 (from 0) of the sorted values; it is not interpolated. Values are numbers; groups may be of any size."""
+    found = at_ranks(rows, by, value, {"upper": F.floor(F.col("n") / 2)})
+    return found.select(*by, F.col("low_").cast(rows.schema[value].dataType).alias(value))
 
 
 def deltas(history: DataFrame, order: str, size: str) -> DataFrame:

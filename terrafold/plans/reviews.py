@@ -127,10 +127,27 @@ def top_confusions(spark, sf_dir):
     return evaluation.confusion(views.scored(spark, sf_dir), "truth", "predicted").where("truth <> predicted").orderBy(F.desc("n"), "truth", "predicted").limit(5)
 
 
-@query(SCORED, "f AS (SELECT doc_id % 5 AS fold, count(*) AS n, avg((truth = predicted)::INTEGER) AS accuracy FROM scored GROUP BY 1)", f"SELECT fold, n, {r6('accuracy')} FROM f")
+@query(SCORED, "c AS (SELECT doc_id % 5 AS fold, cls, count(*) FILTER (truth = cls AND predicted = cls) AS tp, count(*) FILTER (truth = cls) + count(*) FILTER (predicted = cls) AS sides, count(*) FILTER (truth = cls) AS support FROM scored, (SELECT unnest([0, 1]) AS cls) GROUP BY 1, 2)",
+       f"SELECT fold, n, {r6('accuracy', 'macro_f1')} FROM (SELECT fold, sum(support)::BIGINT AS n, sum(tp) / sum(support) AS accuracy, avg(2 * tp / sides) AS macro_f1 FROM c WHERE sides > 0 GROUP BY 1)")
 def fold_metrics(spark, sf_dir):
-    rows = views.scored(spark, sf_dir)
-    return six(rows.groupBy((F.col("doc_id") % 5).alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("truth") == F.col("predicted")).cast("int")).alias("accuracy")), "accuracy")
+    return six(evaluation.fold_metrics(views.scored(spark, sf_dir).withColumn("fold", F.col("doc_id") % 5), "fold", "truth", "predicted"), "accuracy", "macro_f1")
+
+
+SWEEP = """t AS (SELECT i / 1000.0::DOUBLE AS threshold, count(*) FILTER (score >= i / 1000.0::DOUBLE AND truth = 1) AS tp, count(*) FILTER (score >= i / 1000.0::DOUBLE AND truth = 0) AS fp, count(*) FILTER (score < i / 1000.0::DOUBLE AND truth = 1) AS fn, count(*) FILTER (score < i / 1000.0::DOUBLE AND truth = 0) AS tn FROM scored, (SELECT unnest(range(25, 976, 25)) AS i) GROUP BY i),
+m AS (SELECT threshold, 2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0) AS f1, tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0) - 1 AS tss FROM t)"""
+
+
+def _best(criterion: str) -> str:
+    return f"""(SELECT '{criterion}' AS criterion, threshold, n AS run, best AS value FROM (SELECT avg(threshold) AS threshold, count(*) AS n, any_value(best) AS best FROM (SELECT threshold, best, i - row_number() OVER (ORDER BY threshold) AS island
+ FROM (SELECT threshold, round({criterion}, 9) AS v, max(round({criterion}, 9)) OVER () AS best, row_number() OVER (ORDER BY threshold) AS i FROM m) WHERE v = best) GROUP BY island) ORDER BY n DESC, abs(threshold - 0.5), threshold LIMIT 1)"""
+
+
+@query(SCORED, SWEEP, f"SELECT criterion, run, {r6('threshold', 'value')} FROM ({_best('f1')} UNION ALL {_best('tss')} UNION ALL (SELECT 'manual', 0.61, 1, f1 FROM m ORDER BY round(abs(threshold - 0.61), 9), threshold LIMIT 1))")
+def threshold_choices(spark, sf_dir):
+    """The cut by each criterion, and a manual one with the figures of its nearest threshold."""
+    sweep = evaluation.threshold_sweep(views.scored(spark, sf_dir), "truth", "score")
+    parts = [evaluation.chosen_threshold(sweep, c, 0.61).withColumn("criterion", F.lit(c)) for c in evaluation.CRITERIA]
+    return six(parts[0].unionByName(parts[1]).unionByName(parts[2]), "threshold", "value")
 
 
 @query(PREDICTORS, "i AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS variable, {k} AS place, abs(corr({c}, code)) AS drop_mean, stddev_pop({c}) AS impurity FROM tab" for k, c in enumerate(PS)) + "))",

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from terrafold.functions import geo
-from terrafold.operators import evaluation, learning, production, raster, resampling, samples, spatial, texture, zones
+from terrafold.operators import evaluation, learning, production, quality, raster, resampling, samples, spatial, texture, zones
 from terrafold.plans import views
 from terrafold.plans.catalogue import NEIGHBOURS, PS, query, r6, six
 from terrafold.plans.maps import ZONE_EDGES
@@ -253,3 +253,23 @@ def learning_history(spark, sf_dir):
     options = {"trees": 20, "depth": 5}
     learning.begin(saved(rows, "points"), path, PS, **options)
     return learning.learn(spark, path, PS, 3, cutoff=0.5, **options)
+
+
+# Odd columns
+
+ODD = ["p1", "p2", "same", "minus", "near", "one", "rare"]
+ODD_SQL = "odd AS (SELECT p1, p2, p1 AS same, -p2 AS minus, p1 + p2 / 1000 AS near, 1.0::DOUBLE AS one, CASE WHEN vec_id % 40 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS rare FROM tab)"
+VARYING = [c for c in ODD if c != "one"]
+
+
+def _pair_sql(a: str, b: str) -> str:
+    return f"SELECT CASE WHEN count(*) FILTER ({a} IS DISTINCT FROM {b}) = 0 THEN 'duplicate' WHEN count(*) FILTER (abs({a} + {b}) > 1e-9) = 0 THEN 'opposite' ELSE 'correlated' END AS finding, '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS value FROM odd"
+
+
+@query(PREDICTORS, ODD_SQL, "pairs AS (" + " UNION ALL ".join(_pair_sql(a, b) for i, a in enumerate(VARYING) for b in VARYING[i + 1 :]) + ")",
+       f"SELECT finding, a, b, {r6('value')} FROM (SELECT * FROM pairs WHERE abs(value) >= 0.95 UNION ALL SELECT 'constant', 'one', NULL, 1.0::DOUBLE UNION ALL SELECT 'nearly constant', 'rare', NULL, avg(1 - rare) FROM odd HAVING avg(1 - rare) >= 0.95 UNION ALL SELECT 'few rows a column', NULL, NULL, count(*)::DOUBLE FROM odd HAVING count(*) < 35)")
+def table_findings(spark, sf_dir):
+    """Constant, duplicate, opposite and correlated columns of a table."""
+    t = views.predictors(spark, sf_dir)
+    odd = t.select("p1", "p2", F.col("p1").alias("same"), (-F.col("p2")).alias("minus"), (F.col("p1") + F.col("p2") / 1000).alias("near"), F.lit(1.0).alias("one"), F.when(F.col("vec_id") % 40 == 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("rare"))
+    return six(quality.table_findings(odd, ODD), "value")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrafold.functions.geo import from_utm, to_utm
+
 ID_CHAIN = ("ID", "id", "@id", "name")
 
 
@@ -24,18 +26,41 @@ def read_kml(spark: SparkSession, path: str) -> DataFrame:
     return out.where("lon is not null and lat is not null").select(_first_id(F.col("attrs"), F.concat(F.lit("pt_"), F.monotonically_increasing_id())).alias("id"), "lon", "lat", "attrs")
 
 
+#: The old member that names the projection of a file.
+CRS = "crs struct<properties:struct<name:string>>"
+
+
+def _epsg(crs: Column) -> Column:
+    """Code of a projection by its name; null where the file names none."""
+    return F.nullif(F.regexp_extract(F.coalesce(crs["properties"]["name"], F.lit("")), r"EPSG:+(\d+)", 1), F.lit("")).cast("int")
+
+
+def degrees_of(x: Column, y: Column, epsg: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of coordinates in a projection: degrees (4326, 4258 or none), or UTM on WGS 84 or ETRS 89; others are an error."""
+    utm = epsg.between(32601, 32660) | epsg.between(32701, 32760) | epsg.between(25828, 25838)
+    lon, lat = from_utm(x, y, F.coalesce(epsg % 100, F.lit(1)), epsg.between(32701, 32760))
+    plain = epsg.isNull() | epsg.isin(4326, 4258)
+    other = F.raise_error(F.concat(F.lit("a projection that is not known: EPSG:"), epsg.cast("string"))).cast("double")
+    return F.when(plain, x).when(utm, lon).otherwise(other), F.when(plain, y).when(utm, lat).otherwise(other)
+
+
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """``id, lon, lat, attrs`` of the points of a GeoJSON collection or feature; of a MultiPoint the first, others are skipped."""
+    """``id, lon, lat, attrs`` of the points of a GeoJSON collection or feature; of a MultiPoint the first, others are skipped.
+
+    A file that names a UTM projection in the old ``crs`` member is read in degrees too.
+    """
     feature = "struct<type:string,id:string,geometry:struct<type:string,coordinates:string>,properties:map<string,string>>"
-    schema = f"type string, id string, geometry struct<type:string,coordinates:string>, properties map<string,string>, features array<{feature}>"
+    schema = f"type string, id string, geometry struct<type:string,coordinates:string>, properties map<string,string>, features array<{feature}>, {CRS}"
     rows = spark.read.option("multiLine", True).schema(schema).json(path)
     one = F.array(F.struct("type", "id", "geometry", "properties"))
-    each = rows.select(F.inline(F.when(F.col("features").isNotNull(), F.col("features")).otherwise(one.cast(f"array<{feature}>"))))
+    each = rows.select(_epsg(F.col("crs")).alias("epsg"), F.inline(F.when(F.col("features").isNotNull(), F.col("features")).otherwise(one.cast(f"array<{feature}>"))))
     text = F.when(F.col("geometry.type") == "Point", F.col("geometry.coordinates")).when(
         F.col("geometry.type") == "MultiPoint", F.regexp_extract(F.col("geometry.coordinates"), r"\[\s*(\[[^\]]*\])", 1))
     xy = F.from_json(text, "array<double>")
     attrs = F.coalesce(F.col("properties"), F.create_map().cast("map<string,string>"))
-    out = each.select(attrs.alias("attrs"), F.col("id").alias("fid"), F.get(xy, 0).alias("lon"), F.get(xy, 1).alias("lat"))
+    found = each.select(attrs.alias("attrs"), F.col("id").alias("fid"), "epsg", F.get(xy, 0).alias("x"), F.get(xy, 1).alias("y")).where("x is not null and y is not null")
+    lon, lat = degrees_of(F.col("x"), F.col("y"), F.col("epsg"))
+    out = found.select("attrs", "fid", lon.alias("lon"), lat.alias("lat"))
     return out.where("lon is not null and lat is not null").select(_first_id(F.col("attrs"), F.coalesce("fid", F.concat(F.lit("pt_"), F.monotonically_increasing_id()))).alias("id"), "lon", "lat", "attrs")
 
 
@@ -52,6 +77,30 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return each.where(F.size("p") > 1).select("feature", "part", point(-1, 0).alias("ax"), point(-1, 1).alias("ay"), point(0, 0).alias("bx"), point(0, 1).alias("by"))
 
 
+def read_polygons(spark: SparkSession, path: str) -> DataFrame:
+    """``polygon, ring, at, lon, lat``: the rings of the polygons of a GeoJSON collection, feature or file of several, holes included.
+
+    Every part of a MultiPolygon is a polygon of its own; rings may repeat their first point at the end. ValueError where there is no polygon.
+    """
+    feature = "struct<geometry:struct<type:string,coordinates:string>>"
+    rows = spark.read.option("multiLine", True).schema(f"geometry struct<type:string,coordinates:string>, features array<{feature}>, {CRS}").json(path)
+    each = rows.select(_epsg(F.col("crs")).alias("epsg"), F.posexplode(F.coalesce("features", F.array(F.struct("geometry")))).alias("feature", "f"))
+    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    parts = F.when(kind == "Polygon", F.array(F.from_json(text, "array<array<array<double>>>"))).when(kind == "MultiPolygon", F.from_json(text, "array<array<array<array<double>>>>"))
+    rings = each.select("epsg", "feature", F.posexplode(parts).alias("part", "p")).select("epsg", (F.col("feature") * (1 << 20) + F.col("part")).cast("long").alias("polygon"), F.posexplode("p").alias("ring", "r"))
+    points = rings.select("epsg", "polygon", "ring", F.posexplode("r").alias("at", "xy")).select("epsg", "polygon", "ring", "at", F.get("xy", 0).alias("x"), F.get("xy", 1).alias("y"))
+    if points.isEmpty():
+        raise ValueError(f"{path}: no polygons")
+    lon, lat = degrees_of(F.col("x"), F.col("y"), F.col("epsg"))
+    return points.select("polygon", "ring", "at", lon.alias("lon"), lat.alias("lat"))
+
+
+def projected_rings(rings: DataFrame, zone: int) -> DataFrame:
+    """``polygon, ring, at, x, y`` of rings in degrees, in metres of a UTM zone."""
+    x, y = to_utm(F.col("lon"), F.col("lat"), F.lit(zone))
+    return rings.select("polygon", "ring", "at", x.alias("x"), y.alias("y"))
+
+
 def read_csv(spark: SparkSession, path: str, numbers: list[str]) -> DataFrame:
     """A headed CSV; the named columns are numbers, null where they don't parse."""
     rows = spark.read.option("header", True).csv(path)

@@ -221,9 +221,10 @@ def test_exact_quantiles(spark):
         some, x = sorted(some), q * (len(some) - 1)
         return some[int(x)] + (some[math.ceil(x)] - some[int(x)]) * (x - int(x))
 
-    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", names, 8).collect()}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", names, 8, 20).collect()}
     assert set(got) == set(groups) and all(got[k].n == len(some) and all(abs(got[k][name] - at(some, q)) < 1e-12 for name, q in names.items()) for k, some in groups.items())
-    (all_,) = exact_quantiles(df, [], "v", {"m": 0.5}, 4).collect()
+    assert got == {r.k: r for r in exact_quantiles(df, ["k"], "v", names).collect()}
+    (all_,) = exact_quantiles(df, [], "v", {"m": 0.5}, 4, 50).collect()
     assert abs(all_.m - at([v for some in groups.values() for v in some], 0.5)) < 1e-12
     assert exact_quantiles(df.limit(0), ["k"], "v", names).count() == 0
 

@@ -133,3 +133,39 @@ def test_rows_that_do_not_train(spark):
     rows = spark.createDataFrame([(1, "truth"), (2, None), (3, "field")], "id int, source string")
     assert [r.id for r in samples.without_truth(rows).orderBy("id").collect()] == [2, 3]
     assert [r.id for r in samples.without(rows, rows.where("id = 2"), "id").orderBy("id").collect()] == [1, 3]
+
+
+def test_polygons_of_files(spark, tmp_path):
+    import json
+
+    from terrafold.sources import points
+
+    square = lambda x, y, side: [[x, y], [x + side, y], [x + side, y + side], [x, y + side], [x, y]]
+    feature = lambda kind, xy: {"type": "Feature", "geometry": {"type": kind, "coordinates": xy}, "properties": {}}
+    flat = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "urn:ogc:def:crs:EPSG::25830"}}, "features": [
+        feature("Polygon", [square(467000, 4102000, 100), square(467040, 4102040, 20)]), feature("Point", [467000, 4102000]), feature("MultiPolygon", [[square(467300, 4102000, 50)], [square(467400, 4102000, 10)]])]}
+    (tmp_path / "a.geojson").write_text(json.dumps(flat))
+    rings = points.read_polygons(spark, f"{tmp_path}/a.geojson")
+    assert rings.select("polygon").distinct().count() == 3 and {r.ring for r in rings.collect()} == {0, 1}
+    edges = zones.ring_edges(points.projected_rings(rings, 30))
+    grid = zones.Grid(466990.0, 4102110.0, 10.0, 60, 12)
+    assert zones.run_area(zones.zone_runs(edges, grid), 10.0).first().pixels == 100 - 4 + 25 + 1
+    (tmp_path / "b.geojson").write_text(json.dumps({"type": "Feature", "crs": {"properties": {"name": "EPSG:32730"}}, "geometry": {"type": "Point", "coordinates": [500000.0, 9999000.0]}, "properties": {"ID": "s"}}))
+    (p,) = points.read_geojson(spark, f"{tmp_path}/b.geojson").collect()
+    assert abs(p.lon + 3) < 1e-9 and -0.0091 < p.lat < -0.0090
+    (tmp_path / "c.geojson").write_text(json.dumps({"type": "FeatureCollection", "crs": {"properties": {"name": "EPSG:3857"}}, "features": [feature("Point", [1.0, 2.0])]}))
+    with pytest.raises(Exception, match="not known"):
+        points.read_geojson(spark, f"{tmp_path}/c.geojson").collect()
+    with pytest.raises(ValueError, match="no polygons"):
+        points.read_polygons(spark, f"{tmp_path}/c.geojson")
+
+
+def test_findings_of_tables(spark):
+    from terrafold.operators import quality
+
+    rows = spark.range(40).select((F.col("id") * 1.0).alias("a"), (F.col("id") * 1.0).alias("b"), (F.col("id") * -1.0).alias("c"), F.lit(2.0).alias("k"), (F.col("id") % 2 * 1.0).alias("d"), F.lit(None).cast("double").alias("none"))
+    got = {(r.finding, r.a, r.b) for r in quality.table_findings(rows, ["a", "b", "c", "k", "d", "none"]).collect()}
+    assert got == {("duplicate", "a", "b"), ("opposite", "a", "c"), ("opposite", "b", "c"), ("constant", "k", None)}
+    few = {(r.finding, r.value) for r in quality.table_findings(rows.where("id < 3" if "id" in rows.columns else "a < 3"), ["a", "d", "k", "none"]).collect()}
+    assert ("fewer rows than columns", 3.0) in few
+    assert quality.table_findings(rows.limit(0), ["a", "b"]).count() == 0
