@@ -67,7 +67,7 @@ def touched_pixels(spark, sf_dir):
     return zones.touched_runs(zones.ring_edges(views.parcels(spark, sf_dir)), views.GRID)
 
 
-@query(PIXELS, "m AS (SELECT row, col FROM px WHERE row % 97 = 41 AND col % 31 = 17)", 'SELECT a.row AS "row", a.col, round(sqrt(min((a.row - m.row) ** 2 + (a.col - m.col) ** 2)) * 10, 6) + 0.0 AS d FROM px a, m GROUP BY 1, 2')
+@query(PIXELS, "m AS (SELECT row, col FROM px WHERE row % 97 = 41 AND col % 31 = 17)", 'SELECT a.row AS "row", a.col, round(sqrt(min((a.row - m.row) ** 2 + (a.col - m.col) ** 2)) * 10, 6) + 0.0 AS d FROM px a LEFT JOIN m ON true GROUP BY 1, 2')
 def distance_transform(spark, sf_dir):
     """Distances to the nearest of some scattered pixels, across many blocks."""
     px = views.pixels(spark, sf_dir)
