@@ -134,3 +134,11 @@ def chosen_threshold(sweep: DataFrame, criterion: str = "f1", manual: float | No
         raise ValueError(f"a manual threshold lies between {low:g} and {high:g}")
     near = sweep.orderBy(F.round(F.abs(F.col("threshold") - manual), 9), "threshold").limit(1)
     return near.select(F.lit(manual).alias("threshold"), F.lit(1).cast("long").alias("run"), F.col("f1").alias("value"))
+
+
+def macro_f1_of_batches(rows: DataFrame, batch: list[str], real: str, predicted: str, classes: list) -> DataFrame:
+    """``batch, macro_f1`` of many sets of predictions at once, over the given classes: 0 for one that is neither there nor predicted."""
+    counts = rows.groupBy(*batch, real, predicted).agg(F.count(F.lit(1)).alias("n"))
+    of = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    each = [2 * of((F.col(real) == c) & (F.col(predicted) == c)) / F.greatest(of(F.col(real) == c) + of(F.col(predicted) == c), F.lit(1)) for c in classes]
+    return counts.groupBy(*batch).agg((sum(each[1:], each[0]) / len(classes)).alias("macro_f1"))

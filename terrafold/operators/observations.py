@@ -109,3 +109,11 @@ def best_readings(readings: DataFrame, by: list[str], value: str, least: int = 2
     deviation, which needs ``least`` days. ``readings`` has day, reading, n_valid."""
     best = readings.where(F.col(value).isNotNull()).groupBy(*by, "day").agg(F.min_by(value, F.struct(-F.col("n_valid"), F.col("reading"))).alias("v"))
     return best.groupBy(*by).agg(F.count("v").alias("days"), F.avg("v").alias("mean"), F.percentile("v", F.lit(0.1)).alias("p10"), F.when(F.count("v") >= least, F.stddev_pop("v")).alias("sd"))
+
+
+def in_windows(rows: DataFrame, ts: str, windows: list[tuple[str, str]]) -> DataFrame:
+    """Rows within any of the windows (first day, last day inclusive): one predicate, which reaches the scan."""
+    keep = F.lit(False)
+    for first, last in windows:
+        keep = keep | ((F.col(ts) >= F.lit(first).cast("timestamp")) & (F.col(ts) < F.date_add(F.lit(last).cast("date"), 1).cast("timestamp")))
+    return rows.where(keep)

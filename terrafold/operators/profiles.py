@@ -60,3 +60,22 @@ def nested_counts(rows: DataFrame, levels: list[str]) -> DataFrame:
 
 def contingency(rows: DataFrame, row: str, column: str, values: list) -> DataFrame:
     return rows.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0)
+
+
+def yearly_span(rows: DataFrame, keys: list[str], year: str, columns: list[str]) -> DataFrame:
+    """``keys, variable, mean, low, high, years``: over the yearly means of each variable their mean, least and largest."""
+    yearly = unpivoted(rows, [*keys, year], columns).groupBy(*keys, year, "variable").agg(F.avg("value").alias("y"))
+    return yearly.groupBy(*keys, "variable").agg(F.avg("y").alias("mean"), F.min("y").alias("low"), F.max("y").alias("high"), F.count(F.lit(1)).alias("years"))
+
+
+def class_scatter(rows: DataFrame, key: str, code: str, x: str, y: str, names: dict) -> DataFrame:
+    """``key, class, x, y`` of the rows that have both values, by the name of their class; rows of other classes are ``other``."""
+    name = F.lit(None).cast("string")
+    for k, v in names.items():
+        name = F.when(F.col(code) == k, F.lit(v)).otherwise(name)
+    return rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.coalesce(name, F.lit("other")).alias("class"), F.col(x).alias("x"), F.col(y).alias("y"))
+
+
+def zone_counts(rows: DataFrame, zone: str, code: str) -> DataFrame:
+    """``code, n, zones``: rows of each class, and how many zones they come from."""
+    return rows.groupBy(code).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(zone).alias("zones"))

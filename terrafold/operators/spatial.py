@@ -108,6 +108,38 @@ def neighbourhood(points: DataFrame, pixels: DataFrame, reach: int, value: str)
     return keys.join(pixels, ["row", "col"], "left").groupBy("from_id").agg(F.avg(value).alias("mean"), F.count(value).alias("n_valid"))
 
 
+def buffer_mean(points: DataFrame, pixels: DataFrame, grid, radius: float, value: str) -> DataFrame:
+    """``from_id, mean, n_valid`` of the pixels whose centre lies within the radius of each point (from_id, x, y).
+
+    Pixels count whole by their centre; a service that weighs border pixels by their covered share differs there.
+    """
+    from math import ceil
+
+    reach = ceil(radius / grid.cell)
+    span = F.array(*[F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)])
+    at = points.select("from_id", "x", "y", F.explode(span).alias("o")).select(
+        "from_id", "x", "y", (F.floor((grid.y0 - F.col("y")) / grid.cell) + F.col("o.dr")).cast("int").alias("row"), (F.floor((F.col("x") - grid.x0) / grid.cell) + F.col("o.dc")).cast("int").alias("col"))
+    cx, cy = grid.centre()
+    near = at.where(F.hypot(cx - F.col("x"), cy - F.col("y")) <= radius)
+    found = near.join(pixels.select("row", "col", value), ["row", "col"]).groupBy("from_id").agg(F.avg(value).alias("mean"), F.count(value).alias("n_valid"))
+    return points.select("from_id").join(found, "from_id", "left").select("from_id", "mean", F.coalesce("n_valid", F.lit(0)).alias("n_valid"))
+
+
+def at_place(rows: DataFrame, values: DataFrame, lon: str = "lon", lat: str = "lat", digits: int = 7) -> DataFrame:
+    """``rows`` with the values that were read at the same place, to so many decimals of a degree; of places read twice the values of
+    the first by all their columns. Rows without a reading keep nulls."""
+    key = lambda c, name: F.bround(F.col(c) * 10**digits).cast("long").alias(name)
+    own = [c for c in values.columns if c not in (lon, lat)]
+    read = values.select(key(lon, "lon_"), key(lat, "lat_"), F.struct(*own).alias("v_")).groupBy("lon_", "lat_").agg(F.min("v_").alias("v_"))
+    met = rows.withColumns({"lon_": key(lon, "l"), "lat_": key(lat, "l")}).join(read, ["lon_", "lat_"], "left")
+    return met.select(*rows.columns, *[F.col(f"v_.{c}").alias(c) for c in own])
+
+
+def degree_area_km2(edges: DataFrame) -> DataFrame:
+    """``polygon, km2`` of polygons in degrees: 12321 square kilometres a square degree, at any latitude."""
+    return edges.groupBy("polygon").agg((F.abs(F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay"))) / 2 * 12321).alias("km2"))
+
+
 def occupied_cells(points: DataFrame, size_x: float, size_y: float, area: float) -> DataFrame:
     """Number of cells with points, and their area."""
     return points.select(F.floor(F.col("x") / size_x).alias("cx"), F.floor(F.col("y") / size_y).alias("cy")).distinct().agg(

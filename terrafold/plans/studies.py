@@ -8,11 +8,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from terrafold.functions import geo
-from terrafold.operators import evaluation, learning, production, quality, raster, resampling, samples, spatial, texture, zones
+from terrafold.operators import evaluation, learning, observations, production, profiles, quality, raster, resampling, samples, spatial, texture, zones
 from terrafold.plans import views
 from terrafold.plans.catalogue import NEIGHBOURS, PS, query, r6, six
 from terrafold.plans.maps import ZONE_EDGES
-from terrafold.plans.views import PIXELS, PREDICTORS, SCORED, WIDTH, ZONE, ZONE_RINGS
+from terrafold.plans.views import OBSERVATIONS, PARCELS, PIXELS, POINTS, PREDICTORS, SCORED, WIDTH, ZONE, ZONE_RINGS
 from terrafold.operators.zones import Grid
 from terrafold.sources.tables import saved, shared_folder, table
 
@@ -273,3 +273,60 @@ def table_findings(spark, sf_dir):
     t = views.predictors(spark, sf_dir)
     odd = t.select("p1", "p2", F.col("p1").alias("same"), (-F.col("p2")).alias("minus"), (F.col("p1") + F.col("p2") / 1000).alias("near"), F.lit(1.0).alias("one"), F.when(F.col("vec_id") % 40 == 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("rare"))
     return six(quality.table_findings(odd, ODD), "value")
+
+
+# Points against pixels, places, classes and years
+
+@query(PIXELS, "p AS (SELECT c_custkey AS id, (c_custkey * 7) % 480 + 0.3::DOUBLE AS x, -((c_custkey * 13) % 3000) - 0.7::DOUBLE AS y FROM customer)",
+       f"SELECT id AS from_id, {r6('mean')}, n_valid FROM (SELECT id, avg(value) AS mean, count(value) AS n_valid FROM p LEFT JOIN px ON sqrt(((col + 0.5) * 10 - x) ** 2 + ((row + 0.5) * -10 - y) ** 2) <= 25 GROUP BY id)")
+def buffer_means(spark, sf_dir):
+    """Mean of the pixels within 25 m of points."""
+    k = F.col("c_custkey")
+    p = table(spark, sf_dir, "customer").select(k.alias("from_id"), ((k * 7) % 480 + 0.3).alias("x"), (-((k * 13) % 3000) - 0.7).alias("y"))
+    return six(spatial.buffer_mean(p, views.pixels(spark, sf_dir), views.GRID, 25.0, "value"), "mean")
+
+
+@query(POINTS, "p AS (SELECT point_id, x / 88800 - 3 AS lon, y / 111000 + 37 AS lat FROM points), r AS (SELECT point_id * 10 AS reading, lon + 0.00000002 AS lon, lat - 0.00000001 AS lat FROM p WHERE point_id % 3 <> 0)",
+       "SELECT point_id, reading FROM p LEFT JOIN (SELECT round_even(lon * 10000000, 0)::BIGINT AS a, round_even(lat * 10000000, 0)::BIGINT AS b, min(reading) AS reading FROM r GROUP BY 1, 2) ON a = round_even(lon * 10000000, 0)::BIGINT AND b = round_even(lat * 10000000, 0)::BIGINT")
+def readings_at_places(spark, sf_dir):
+    """Readings that were taken at a point's place, to seven decimals of a degree."""
+    p = views.points(spark, sf_dir).select("point_id", (F.col("x") / 88800 - 3).alias("lon"), (F.col("y") / 111000 + 37).alias("lat"))
+    read = p.where("point_id % 3 <> 0").select((F.col("point_id") * 10).alias("reading"), (F.col("lon") + 0.00000002).alias("lon"), (F.col("lat") - 0.00000001).alias("lat"))
+    return spatial.at_place(p, read).select("point_id", "reading")
+
+
+@query(PARCELS, views.ring_sql("e", "parcels"), f"SELECT polygon, {r6('km2')} FROM (SELECT polygon, abs(sum(ax * b_y - bx * ay)) / 2 * 12321 / 1000000 AS km2 FROM e GROUP BY 1)")
+def parcel_areas(spark, sf_dir):
+    """Areas of parcels whose coordinates are taken for thousandths of a degree."""
+    edges = zones.ring_edges(views.parcels(spark, sf_dir))
+    return six(spatial.degree_area_km2(edges).withColumn("km2", F.col("km2") / 1000000), "km2")
+
+
+@query(OBSERVATIONS, "y AS (SELECT point_id, season, year, avg(ndvi) AS v FROM obs GROUP BY ALL)", f"SELECT point_id, season, 'ndvi' AS variable, {r6('mean', 'low', 'high')}, years FROM (SELECT point_id, season, avg(v) AS mean, min(v) AS low, max(v) AS high, count(*) AS years FROM y GROUP BY 1, 2)")
+def yearly_span(spark, sf_dir):
+    """Of each point and season the mean, least and largest yearly index."""
+    return six(profiles.yearly_span(views.observations(spark, sf_dir), ["point_id", "season"], "year", ["ndvi"]), "mean", "low", "high")
+
+
+@query(PREDICTORS, "SELECT vec_id, CASE code WHEN 0 THEN 'absence' WHEN 1 THEN 'wet' WHEN 2 THEN 'dry' ELSE 'other' END AS class, round(p1, 6) + 0.0 AS x, round(p3, 6) + 0.0 AS y FROM tab WHERE p1 IS NOT NULL AND p3 IS NOT NULL")
+def class_scatter(spark, sf_dir):
+    return six(profiles.class_scatter(views.predictors(spark, sf_dir), "vec_id", "code", "p1", "p3", {0: "absence", 1: "wet", 2: "dry"}), "x", "y")
+
+
+@query(PREDICTORS, "SELECT code, count(*) AS n, count(DISTINCT vec_id % 23) AS zones FROM tab GROUP BY 1")
+def zone_counts(spark, sf_dir):
+    return profiles.zone_counts(views.predictors(spark, sf_dir).withColumn("zone", F.col("vec_id") % 23), "zone", "code")
+
+
+@query(SCORED, f"b AS (SELECT cut, truth, (score >= cut / 10.0)::INTEGER AS p FROM scored, (SELECT unnest([2, 5, 8]) AS cut)), c AS (SELECT cut, cls, count(*) FILTER (truth = cls AND p = cls) AS tp, count(*) FILTER (truth = cls) + count(*) FILTER (p = cls) AS sides FROM b, (SELECT unnest([0, 1, 2]) AS cls) GROUP BY 1, 2)",
+       f"SELECT cut, {r6('macro_f1')} FROM (SELECT cut, avg(2 * tp / greatest(sides, 1)) AS macro_f1 FROM c GROUP BY 1)")
+def macro_f1_of_batches(spark, sf_dir):
+    """Macro F1 of several sets of predictions, over classes of which one is never there."""
+    rows = views.scored(spark, sf_dir).withColumn("cut", F.explode(F.array(F.lit(2), F.lit(5), F.lit(8)))).withColumn("p", (F.col("score") >= F.col("cut") / 10).cast("int"))
+    return six(evaluation.macro_f1_of_batches(rows, ["cut"], "truth", "p", [0, 1, 2]), "macro_f1")
+
+
+@query(OBSERVATIONS, "SELECT year::INTEGER AS year, count(*) AS n FROM obs WHERE (ts >= TIMESTAMP '1996-06-15' AND ts < TIMESTAMP '1996-07-26') OR (ts >= TIMESTAMP '1999-08-01' AND ts < TIMESTAMP '1999-10-01') GROUP BY 1")
+def chosen_windows(spark, sf_dir):
+    """Observations within any of some windows of dates."""
+    return observations.in_windows(views.observations(spark, sf_dir), "ts", [("1996-06-15", "1996-07-25"), ("1999-08-01", "1999-09-30")]).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
