@@ -42,7 +42,11 @@ def test_mixing_is_what_sql_says(spark):
         assert ours[c].tolist() == theirs[c].tolist(), c
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+#: Queries whose rows are no documents: vectors, and steps of filter orders. Their rows are compared with SQL.
+OTHER_ROWS = {"op12_dual_tree", "op13_filter_audit"}
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - OTHER_ROWS))
 def test_each_document_once(spark, name):
     got = queries.QUERIES[name](spark, str(SF))
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
