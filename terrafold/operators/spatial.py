@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terrafold.sources.tables import spread
+
 
 def _cells(size: float, reach: int = 0) -> list[Column]:
     cx, cy = F.floor(F.col("x") / size), F.floor(F.col("y") / size)
@@ -24,7 +26,7 @@ def pairs_within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     a = left.select("from_id", F.col("x").alias("ax"), F.col("y").alias("ay"), "x", "y").select("from_id", "ax", "ay", *_cells(radius, 1))
     b = right.select("to_id", F.col("x").alias("bx"), F.col("y").alias("by"), *_cells(radius))
     d = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
-    return a.join(b, ["cx", "cy"]).select("from_id", "to_id", d.alias("d")).where(F.col("d") <= radius)
+    return spread(a).join(b, ["cx", "cy"]).select("from_id", "to_id", d.alias("d")).where(F.col("d") <= radius)
 
 
 def nearest_within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
@@ -69,7 +71,7 @@ def far_from(rows: DataFrame, layer: DataFrame, least: float, strictly: bool = F
     """Rows without a point of the layer nearer than ``least``; strictly: nor at that distance."""
     d = F.col("d")
     near = pairs_within(rows.select("from_id", "x", "y"), layer, least).where(d <= least if strictly else d < least)
-    return rows.join(near.select("from_id").distinct(), "from_id", "left_anti")
+    return rows.join(spread(near.select("from_id").distinct()), "from_id", "left_anti")
 
 
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -105,7 +107,7 @@ def neighbourhood(points: DataFrame, pixels: DataFrame, reach: int, value: str)
     """Mean and count of the valid pixels in the square window around each point."""
     span = F.sequence(F.lit(-reach), F.lit(reach))
     keys = points.withColumn("dr", F.explode(span)).withColumn("dc", F.explode(span)).select("from_id", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"))
-    return keys.join(pixels, ["row", "col"], "left").groupBy("from_id").agg(F.avg(value).alias("mean"), F.count(value).alias("n_valid"))
+    return spread(keys).join(pixels, ["row", "col"], "left").groupBy("from_id").agg(F.avg(value).alias("mean"), F.count(value).alias("n_valid"))
 
 
 def buffer_mean(points: DataFrame, pixels: DataFrame, grid, radius: float, value: str) -> DataFrame:
@@ -121,8 +123,8 @@ def buffer_mean(points: DataFrame, pixels: DataFrame, grid, radius: float, value
         "from_id", "x", "y", (F.floor((grid.y0 - F.col("y")) / grid.cell) + F.col("o.dr")).cast("int").alias("row"), (F.floor((F.col("x") - grid.x0) / grid.cell) + F.col("o.dc")).cast("int").alias("col"))
     cx, cy = grid.centre()
     near = at.where(F.hypot(cx - F.col("x"), cy - F.col("y")) <= radius)
-    found = near.join(pixels.select("row", "col", value), ["row", "col"]).groupBy("from_id").agg(F.avg(value).alias("mean"), F.count(value).alias("n_valid"))
-    return points.select("from_id").join(found, "from_id", "left").select("from_id", "mean", F.coalesce("n_valid", F.lit(0)).alias("n_valid"))
+    found = spread(near).join(pixels.select("row", "col", value), ["row", "col"]).groupBy("from_id").agg(F.avg(value).alias("mean"), F.count(value).alias("n_valid"))
+    return points.select("from_id").join(spread(found), "from_id", "left").select("from_id", "mean", F.coalesce("n_valid", F.lit(0)).alias("n_valid"))
 
 
 def at_place(rows: DataFrame, values: DataFrame, lon: str = "lon", lat: str = "lat", digits: int = 7) -> DataFrame:

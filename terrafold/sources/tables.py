@@ -28,6 +28,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for a join in which both sides grow with the tables: they are shuffled and sorted, and none is sent whole through the driver.
+
+    Spark takes sizes from compressed files, and not at all from ``explode``, so it may take tens of millions of rows for a few megabytes.
+    """
+    return df.hint("merge")
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write and read back: cuts lineage in iterations, and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
