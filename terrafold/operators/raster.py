@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrafold.sources.tables import saved
+from terrafold.sources.tables import saved, spread
 
 
 def grid_pixels(spark: SparkSession, rows: int, cols: int) -> DataFrame:
@@ -38,25 +40,57 @@ def dilate(pixels: DataFrame) -> DataFrame:
     return pixels.select("row", "col", F.explode(_offsets()).alias("o")).select((F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col")).distinct()
 
 
-def patches(pixels: DataFrame, least: int = 1, within: tuple[str, ...] = ()) -> DataFrame:
+def _block_labeller(within: tuple[str, ...]):
+    """A function that gives each flagged pixel of one block the first pixel of its component there.
+
+    It is made here, not at the top of the module, so that it travels to workers whole.
+    """
+    def label(cells: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values(["row", "col"], ignore_index=True)
+        row, col = cells["row"].to_numpy(), cells["col"].to_numpy()
+        at = np.full((row.max() - row.min() + 2, col.max() - col.min() + 3), -1)  # with a border to the south and on both sides
+        r, c = row - row.min(), col - col.min() + 1
+        at[r, c] = np.arange(len(cells))
+        pairs = [(at[r, c], at[r + i, c + j]) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))]
+        one, other = (np.concatenate(x) for x in zip(*[(x[y >= 0], y[y >= 0]) for x, y in pairs]))
+        first = np.arange(len(cells))
+        while len(one):
+            a, b = first[one], first[other]
+            np.minimum.at(first, np.maximum(a, b), np.minimum(a, b))
+            while (first[first] != first).any():
+                first = first[first]
+            open_ = first[one] != first[other]
+            one, other = one[open_], other[open_]
+        return cells[[*within, "row", "col"]].assign(row0=row[first], col0=col[first])
+
+    return label
+
+
+def patches(pixels: DataFrame, least: int = 1, within: tuple[str, ...] = (), block: int = 256) -> DataFrame:
     """``row, col, patch, size``: 8-connected components of the flagged pixels (of each image, if ``within`` names its key), named by their first pixel.
 
-    Each round takes the smallest label around and then that label's label; it ends when nothing changes.
+    Blocks are solved for themselves; their components are then linked where blocks meet. Each round takes the smallest label around and then
+    that label's label, of these components only; it ends when nothing changes.
     """
-    key = F.struct(*within, "row", "col") if within else F.col("row").cast("long") * (1 << 31) + F.col("col")
-    cells = saved(pixels.select(*within, "row", "col", key.alias("cell")), "cells")
-    near = cells.select(*within, "cell", "row", "col", F.explode(_offsets()).alias("o")).select(*within, "cell", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"))
-    links = saved(near.join(cells.withColumnRenamed("cell", "other"), [*within, "row", "col"]).select("cell", "other"), "links")
-    labels = cells.select("cell", F.col("cell").alias("patch"))
-    while True:
-        around = links.join(labels.withColumnRenamed("cell", "other"), "other").groupBy("cell").agg(F.min("patch").alias("low"))
+    key = lambda r, c: F.struct(*within, F.col(r).alias("row"), F.col(c).alias("col")) if within else F.col(r).cast("long") * (1 << 31) + F.col(c)
+    flagged = pixels.select(*within, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flagged.schema)
+    cells = saved(flagged.groupBy(*within, *block_of(block)).applyInPandas(_block_labeller(within), f"{shape}, row0 int, col0 int").select(*within, "row", "col", key("row0", "col0").alias("part")), "cells")
+    border = cells.where((F.pmod("row", F.lit(block)).isin(0, block - 1)) | (F.pmod("col", F.lit(block)).isin(0, block - 1)))
+    near = border.select(*within, F.col("part").alias("cell"), "row", "col", F.explode(_offsets()).alias("o")).select(*within, "cell", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"))
+    links = saved(spread(near).join(border.withColumnRenamed("part", "other"), [*within, "row", "col"]).where("cell <> other").select("cell", "other").distinct(), "links")
+    labels = saved(links.select("cell", F.col("cell").alias("patch")).distinct(), "labels")
+    while not links.isEmpty():
+        around = spread(links).join(labels.withColumnRenamed("cell", "other"), "other").groupBy("cell").agg(F.min("patch").alias("low"))
         jump = labels.select(F.col("cell").alias("low"), F.col("patch").alias("lower"))
-        step = saved(labels.join(around, "cell").join(jump, "low").select("cell", F.col("patch").alias("old"), F.least("low", "lower").alias("patch")), "labels")
+        met = labels.join(spread(around), "cell").withColumn("low", F.least("low", "patch"))
+        step = saved(met.join(spread(jump), "low").select("cell", F.col("patch").alias("old"), F.least("low", "lower").alias("patch")), "labels")
         labels = step.select("cell", "patch")
         if step.where("old <> patch").isEmpty():
             break
-    sizes = labels.groupBy("patch").agg(F.count(F.lit(1)).alias("size"))
-    return cells.join(labels, "cell").join(sizes, "patch").where(F.col("size") >= least).select(*within, "row", "col", "patch", "size")
+    named = cells.join(spread(labels.withColumnRenamed("cell", "part")), "part", "left").select(*within, "row", "col", F.coalesce("patch", "part").alias("patch"))
+    sizes = named.groupBy("patch").agg(F.count(F.lit(1)).alias("size"))
+    return named.join(spread(sizes), "patch").where(F.col("size") >= least).select(*within, "row", "col", "patch", "size")
 
 
 def bounded_distance(pixels: DataFrame, marked: DataFrame, reach: int, cell: float) -> DataFrame:
@@ -69,7 +103,7 @@ def bounded_distance(pixels: DataFrame, marked: DataFrame, reach: int, cell: flo
     sideways = vertical.select("row", F.explode(F.sequence(F.col("col") - reach, F.col("col") + reach)).alias("to"), "col", "v2")
     best = sideways.groupBy("row", F.col("to").alias("col")).agg(F.min(F.col("v2") + F.pow(F.col("to") - F.col("col"), F.lit(2))).alias("d2"))
     d = F.when(F.col("d2") <= reach * reach, F.sqrt("d2") * cell)
-    return pixels.join(best, ["row", "col"], "left").select("row", "col", d.alias("d"))
+    return pixels.join(spread(best), ["row", "col"], "left").select("row", "col", d.alias("d"))
 
 
 def overview_mode(pixels: DataFrame, code: str, factor: int) -> DataFrame:
@@ -124,7 +158,7 @@ def bilinear(points: DataFrame, pixels: DataFrame, value: str) -> DataFrame:
     keys = corner.withColumn("o", F.explode(around)).withColumns({"row": F.col("r0") + F.col("o.i"), "col": F.col("c0") + F.col("o.j")})
     fr, fc = F.col("r") - F.col("r0"), F.col("c") - F.col("c0")
     weight = F.when(F.col("o.i") == 1, fr).otherwise(1 - fr) * F.when(F.col("o.j") == 1, fc).otherwise(1 - fc)
-    met = keys.join(pixels.select("row", "col", F.col(value).alias("v")), ["row", "col"], "left")
+    met = spread(keys).join(pixels.select("row", "col", F.col(value).alias("v")), ["row", "col"], "left")
     return met.groupBy("from_id").agg(F.when(F.count_if((weight > 0) & F.col("v").isNull()) == 0, F.sum(F.when(weight > 0, weight * F.col("v")).otherwise(F.lit(0.0)))).alias("value"))
 
 
@@ -133,7 +167,7 @@ def texture(pixels: DataFrame, level: str, levels: int = 32) -> DataFrame:
     right = F.array(*[F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i, j in ((0, 1), (1, 0), (1, 1), (1, -1))])
     a = pixels.select("window", "row", "col", F.col(level).alias("i"), F.explode(right).alias("o"))
     a = a.select("window", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"), "i")
-    pairs = a.join(pixels.select("window", "row", "col", F.col(level).alias("j")), ["window", "row", "col"])
+    pairs = spread(a).join(pixels.select("window", "row", "col", F.col(level).alias("j")), ["window", "row", "col"])
     both = pairs.select("window", "i", "j").union(pairs.select("window", F.col("j").alias("i"), F.col("i").alias("j")))
     counts = both.groupBy("window", "i", "j").agg(F.count(F.lit(1)).alias("n"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy("window"))  # at most levels * levels rows a window
@@ -154,7 +188,7 @@ def useful_blocks(pixels: DataFrame, allowed: Column, size: int = 256) -> DataFr
 def viewport(screen: DataFrame, pixels: DataFrame, value: str) -> DataFrame:
     """Screen cells (sx, sy, row, col as fractions) with the nearest pixel's value."""
     near = screen.withColumns({"row": F.floor("row").cast("int"), "col": F.floor("col").cast("int")})
-    return near.join(pixels.select("row", "col", value), ["row", "col"], "left").select("sx", "sy", value)
+    return spread(near).join(pixels.select("row", "col", value), ["row", "col"], "left").select("sx", "sy", value)
 
 
 def compared(samples_: DataFrame, mapped: DataFrame, real: str, code: str) -> DataFrame:
@@ -165,7 +199,7 @@ def compared(samples_: DataFrame, mapped: DataFrame, real: str, code: str) -> Da
 def laplacian(pixels: DataFrame, z: str) -> DataFrame:
     """``row, col, curvature``: the sum of the eight neighbours less eight times the pixel; null where a neighbour is missing."""
     near = neighbours(pixels, [z]).groupBy("row", "col").agg(F.count(z).alias("n"), F.sum(z).alias("sum"))
-    return pixels.select("row", "col", z).join(near, ["row", "col"], "left").select("row", "col", F.when(F.col("n") == 8, F.col("sum") - 8 * F.col(z)).alias("curvature"))
+    return pixels.select("row", "col", z).join(spread(near), ["row", "col"], "left").select("row", "col", F.when(F.col("n") == 8, F.col("sum") - 8 * F.col(z)).alias("curvature"))
 
 
 def centre_and_ring(pixels: DataFrame, value: str, side: int, limit: float = 0.18) -> DataFrame:

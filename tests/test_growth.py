@@ -16,3 +16,31 @@ def test_buffers_of_points_are_not_broadcast(spark):
     found = spatial.buffer_mean(points, pixels, Grid(0.0, 0.0, 10.0), 12.0, "v")
     assert "Broadcast" not in plan(found)
     assert {r.from_id: (r.mean, r.n_valid) for r in found.collect()}[2] == (1.5, 6)
+
+
+def test_patches_across_blocks(spark):
+    lines = ["##..#...#", "..#.#.#..", "#..#...#.", "#......#.", ".#.#.#...", "..#.#..##"]
+    flagged = [(r - 2, c, k) for k in (0, 1) for r, line in enumerate(lines) for c, x in enumerate(line if k == 0 else line[::-1]) if x == "#"]
+
+    def flood(at):
+        parts, left = {}, set(at)
+        while left:
+            queue = [min(left)]
+            first, got = queue[0], set()
+            while queue:
+                p = queue.pop()
+                if p in left:
+                    left.discard(p)
+                    got.add(p)
+                    queue += [(p[0] + i, p[1] + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+            parts |= {p: (first, len(got)) for p in got}
+        return parts
+
+    px = spark.createDataFrame(flagged, "row int, col int, image int")
+    one = raster.patches(px.where("image = 0").select("row", "col"), 1, block=3)
+    assert "Broadcast" not in plan(one)
+    want = flood([(r, c) for r, c, k in flagged if k == 0])
+    assert {(r.row, r.col): (r.patch, r.size) for r in one.collect()} == {p: (a[0] * (1 << 31) + a[1], n) for p, (a, n) in want.items()}
+    both = {(r.image, r.row, r.col): (tuple(r.patch), r.size) for r in raster.patches(px, 1, ("image",), block=2).collect()}
+    assert both == {(k, *p): ((k, *a), n) for k in (0, 1) for p, (a, n) in flood([(r, c) for r, c, i in flagged if i == k]).items()}
+    assert raster.patches(px.where("row > 99").select("row", "col")).count() == 0
