@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from terrafold.operators.raster import patches
 from terrafold.operators.review import patch_pattern
 from terrafold.operators.zones import swept
+from terrafold.sources.tables import spread
 
 #: Edges are steeper than so many times the upper quartile of their window.
 STEEP = 1.25
@@ -40,7 +41,7 @@ def edge_measures(pixels: DataFrame, value: str) -> DataFrame:
     """``window, edge_density, laplacian_var``: share of pixels steeper than ``STEEP`` upper quartiles, and the variance of the Laplacian."""
     g = gradients(pixels, value)
     limits = g.groupBy("window").agg((F.percentile("magnitude", F.lit(0.75)) * STEEP).alias("limit"), F.var_pop("laplacian").alias("laplacian_var"))
-    return g.join(limits, "window").groupBy("window").agg(F.avg((F.col("magnitude") > F.col("limit")).cast("double")).alias("edge_density"), F.first("laplacian_var").alias("laplacian_var"))
+    return g.join(spread(limits), "window").groupBy("window").agg(F.avg((F.col("magnitude") > F.col("limit")).cast("double")).alias("edge_density"), F.first("laplacian_var").alias("laplacian_var"))
 
 
 def mask_runs(mask: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def patch_measures(mask: DataFrame, windows: DataFrame, side: int, radius: int =
     flagged = mask.groupBy("window").agg(F.count(F.lit(1)).alias("flagged"))
     left = opened(runs, side, radius).groupBy("window").agg(F.sum(F.col("col_to") - F.col("col_from") + 1).alias("left"))
     parts = patches(mask, 1, ("window",)).groupBy("window", "patch").agg(F.count(F.lit(1)).alias("n")).groupBy("window").agg(F.count(F.lit(1)).alias("n_patches"), F.avg("n").alias("mean_patch"), F.max("n").alias("most"))
-    met = windows.join(flagged, "window", "left").join(left, "window", "left").join(parts, "window", "left")
+    met = windows.join(spread(flagged), "window", "left").join(spread(left), "window", "left").join(spread(parts), "window", "left")
     green = F.coalesce("flagged", F.lit(0)) / F.col("n")
     some = lambda v: F.when(F.col("green") >= least_green, F.coalesce(v, F.lit(0.0))).otherwise(F.lit(0.0))
     out = met.withColumn("green", green).select("window", "green", some(F.col("n_patches").cast("double")).cast("long").alias("n_patches"), some(F.col("mean_patch")).alias("mean_patch"), some(F.col("most") / F.col("flagged")).alias("largest"), some(F.col("left") / F.col("flagged")).alias("opened"))

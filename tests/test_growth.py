@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from terrafold.operators import raster, spatial
+from terrafold.operators import raster, spatial, texture
 from terrafold.operators.zones import Grid
 
 
@@ -44,3 +44,10 @@ def test_patches_across_blocks(spark):
     both = {(r.image, r.row, r.col): (tuple(r.patch), r.size) for r in raster.patches(px, 1, ("image",), block=2).collect()}
     assert both == {(k, *p): ((k, *a), n) for k in (0, 1) for p, (a, n) in flood([(r, c) for r, c, i in flagged if i == k]).items()}
     assert raster.patches(px.where("row > 99").select("row", "col")).count() == 0
+
+
+def test_measures_of_patches_are_not_broadcast(spark):
+    mask = spark.range(40).select((F.col("id") / 20).cast("long").alias("window"), (F.col("id") % 20 / 5).cast("int").alias("row"), (F.col("id") % 5).cast("int").alias("col"))
+    found = texture.patch_measures(mask.where("row <> 1"), mask.groupBy("window").agg(F.count(F.lit(1)).alias("n")), 5, 1)
+    assert "Broadcast" not in plan(found)
+    assert [(r.window, r.n_patches, r.mean_patch) for r in found.orderBy("window").collect()] == [(0, 2, 7.5), (1, 2, 7.5)]
