@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrafold.operators.zones import Grid
+from terrafold.sources.tables import spread
 
 #: Pixels of a strip that one task solves, if one line of the grid is not longer.
 STRIP = 1 << 18
@@ -128,5 +129,5 @@ def point_distance(pixels: DataFrame, points: DataFrame, grid: Grid, reach: floa
     x, y = grid.centre()
     own = pixels.select("row", "col", x.alias("x"), y.alias("y")).withColumns({"cx": at("x"), "cy": at("y")})
     d = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
-    near = own.join(dealt, ["cx", "cy"]).select("row", "col", d.alias("d")).where(F.col("d") <= reach).groupBy("row", "col").agg(F.min("d").alias("d"))
-    return pixels.select("row", "col").join(near, ["row", "col"], "left")
+    near = own.join(spread(dealt), ["cx", "cy"]).select("row", "col", d.alias("d")).where(F.col("d") <= reach).groupBy("row", "col").agg(F.min("d").alias("d"))
+    return pixels.select("row", "col").join(spread(near), ["row", "col"], "left")

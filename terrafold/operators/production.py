@@ -18,7 +18,7 @@ from terrafold.operators.distance import distance_transform, point_distance
 from terrafold.operators.mapping import branch_and_leaf, cached_blocks, classify, composed, reading_key, write_map
 from terrafold.operators.training import Bundle, predict
 from terrafold.operators.zones import Grid, Zone, in_runs, run_area
-from terrafold.sources.tables import saved
+from terrafold.sources.tables import saved, spread
 
 #: Settings in the order of their codes, which make the branches of composed classes.
 SETTINGS = ("stream", "lake", "slope")
@@ -98,11 +98,11 @@ def with_settings(first: DataFrame, grid: Grid, rules: Rules, lakes: DataFrame |
     """
     place = first.select("row", "col")
     water = saved(lake_water(first, rules.least_water), "lake-water")
-    out = first.join(water.withColumn("lake_water", F.lit(True)), ["row", "col"], "left").withColumn("lake_water", F.coalesce("lake_water", F.lit(False)))
+    out = first.join(spread(water.withColumn("lake_water", F.lit(True))), ["row", "col"], "left").withColumn("lake_water", F.coalesce("lake_water", F.lit(False)))
     nothing = F.lit(None).cast("double")
     near = point_distance(place, lakes, grid, rules.reach) if lakes is not None else place.withColumn("d", nothing)
     for name, part in (("d_water", distance_transform(place, water, grid.cell)), ("d_lake", near), ("d_channel", distance_transform(place, channels, grid.cell) if channels is not None else place.withColumn("d", nothing))):
-        out = out.join(part.withColumnRenamed("d", name), ["row", "col"])
+        out = out.join(spread(part.withColumnRenamed("d", name)), ["row", "col"])
     name = decisions.proximity_setting(F.col("d_water"), F.col("d_lake"), F.col("d_channel"), rules.water, rules.lake, rules.channel)
     return out.withColumn("setting", F.array_position(F.array(*map(F.lit, SETTINGS)), name).cast("int"))
 
@@ -118,7 +118,7 @@ def without_open_water(first: DataFrame, with_absence: bool = True) -> DataFrame
 def with_purity(first: DataFrame, pure_from: float) -> DataFrame:
     """``purity`` of meadow pixels: pure from that share of green on; else mixed with water at or next to water, or with rock."""
     near = raster.dilate(first.where("wet")).withColumn("by_water_", F.lit(True))
-    out = first.join(near, ["row", "col"], "left")
+    out = first.join(spread(near), ["row", "col"], "left")
     kind = F.when(F.col("green") >= F.lit(pure_from).cast("float"), F.lit("pure")).when(F.col("by_water_"), F.lit("mixed-water")).otherwise(F.lit("mixed-rock"))
     return out.withColumn("purity", F.when((F.col("code") > 0) & F.col("green").isNotNull(), kind)).drop("by_water_")
 
