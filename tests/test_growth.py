@@ -1,9 +1,13 @@
 """What grows with the tables is neither sent whole through the driver nor walked one step a round."""
 
+import math
+
 from pyspark.sql import functions as F
 
-from terrafold.operators import hydrology, raster, spatial, texture
+from terrafold.functions import geo
+from terrafold.operators import hydrology, raster, resampling, spatial, texture
 from terrafold.operators.zones import Grid
+from terrafold.plans import maps, studies, views
 
 
 def plan(df) -> str:
@@ -75,3 +79,19 @@ def test_flow_across_blocks(spark):
         assert "Join" not in plan(flow)  # a cell meets its neighbours within its block
         assert {(r.row, r.col): r.to_row is not None and (r.to_row, r.to_col) or None for r in flow.collect()} == to
         assert {(r.row, r.col): round(r.hectares * 100) for r in hydrology.accumulation(flow, 10.0, block).collect()} == n
+
+
+def test_texts_of_low_ground_are_null_as_in_sql(spark, monkeypatch):
+    low = spark.createDataFrame([(0, 0, 100.0, 0.5), (1, 0, 99.0, 0.25), (2, 0, -250.0, 0.1)], "row int, col int, z double, value double")
+    monkeypatch.setattr(views, "pixels", lambda spark, sf_dir: low)
+    assert [(r.text, r.z, r.small) for r in maps.number_texts(spark, "").orderBy("row").collect()] == [("0.5000", "100", "0.250"), ("0.2500", None, "0.125"), ("0.1000", None, "0.050")]
+
+
+def test_view_of_a_high_grid_keeps_its_zoom(spark, monkeypatch):
+    high = 40_000
+    monkeypatch.setattr(views, "pixels", lambda spark, sf_dir: spark.createDataFrame([(0, 0, 1), (high - 1, 3, 2)], "row int, col int, code int"))
+    res = resampling.METRES_AT_ZOOM_0 / 2**14
+    place = lambda lat: math.log(math.tan(math.radians(lat) / 2 + math.pi / 4)) * geo.A / res
+    wide = math.ceil(math.radians(studies.VIEW_WEST + studies.VIEW_WIDTH) * geo.A / res) - math.floor(math.radians(studies.VIEW_WEST) * geo.A / res)
+    n = wide * (math.ceil(place(studies.VIEW_NORTH)) - math.floor(place(studies.VIEW_NORTH - high / 11000)))
+    assert n > resampling.MOST_POINTS and studies.map_view(spark, "").count() == n
