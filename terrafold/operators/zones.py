@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrafold.operators.raster import raster_lines
+from terrafold.sources.tables import spread
 
 MOST_BLOCKS = 20_000
 #: Columns of a piece of a run, by which pixels meet runs.
@@ -134,7 +135,7 @@ def in_runs(pixels: DataFrame, runs: DataFrame) -> DataFrame:
     pieces = runs.withColumn("piece_", F.explode(F.sequence(F.floor(F.col("col_from") / PIECE), F.floor(F.col("col_to") / PIECE)))).withColumnRenamed("row", "row_")
     met = pixels.withColumn("piece_at_", F.floor(F.col("col") / PIECE))
     on = (met["row"] == pieces["row_"]) & (met["piece_at_"] == pieces["piece_"]) & (met["col"] >= pieces["col_from"]) & (met["col"] <= pieces["col_to"])
-    return met.join(pieces, on, "left").withColumn("inside", F.col("col_from").isNotNull()).drop("row_", "piece_", "piece_at_", "col_from", "col_to")
+    return met.join(spread(pieces), on, "left").withColumn("inside", F.col("col_from").isNotNull()).drop("row_", "piece_", "piece_at_", "col_from", "col_to")
 
 
 def box_edges(spark, box: tuple[float, float, float, float]) -> DataFrame:
