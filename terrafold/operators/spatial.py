@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from math import floor, hypot
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -222,25 +225,50 @@ def random_points(edges: DataFrame, n: int, elevation=None, low: float | None =
     return out, {**about, "kept": out.count()}
 
 
-def spaced(points: DataFrame, least: float) -> DataFrame:
-    """A subset in which no two points are nearer than ``least`` and to which none can be added.
+def _tile_thinner(least: float):
+    """A function that decides which of one tile's points stay, first ids first, as far as the points around the tile allow.
 
-    In rounds: points that come first (by id) among their remaining neighbours stay, and their neighbours go.
+    It is made here, not at the top of the module, so that it travels to workers whole.
+    """
+    def thin(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id", ignore_index=True)
+        kept, open_ = {}, {}
+        stays = []
+        for x, y, known, own in zip(rows["x"], rows["y"], rows["kept"], rows["own"]):
+            cx, cy = floor(x / least), floor(y / least)
+            near = lambda places: any(hypot(x - a, y - b) < least for i in (-1, 0, 1) for j in (-1, 0, 1) for a, b in places.get((cx + i, cy + j), ()))  # noqa: B023, E731
+            goes = not known and near(kept)
+            if not known and not goes and own:
+                known = not near(open_)
+            if not goes:
+                (kept if known else open_).setdefault((cx, cy), []).append((x, y))
+            stays.append(None if goes else bool(known))
+        return rows.assign(kept=pd.Series(stays, dtype="boolean"))[rows["own"] & ~pd.Series([k is None for k in stays], dtype=bool)][["id", "x", "y", "kept"]]
+
+    return thin
+
+
+def spaced(points: DataFrame, least: float, cells: int = 16) -> DataFrame:
+    """A subset in which no two points are nearer than ``least`` and to which none can be added: points that come first (by id) among their remaining
+    neighbours stay, and their neighbours go.
+
+    Tiles of ``cells`` times ``least`` a side are thinned for themselves, with the points around them; a point whose earlier neighbours are open stays open
+    until the next round, whose tiles lie half a tile aside. Of points at one place only the first can stay, so the others don't take part.
     """
     from terrafold.sources.tables import saved
 
-    left, kept = points.select("id", "x", "y"), None
-    while True:
-        left = saved(left, "spaced")
-        near = pairs_within(left.select(F.col("id").alias("from_id"), "x", "y"), left.select(F.col("id").alias("to_id"), "x", "y"), least).where("from_id <> to_id").where(F.col("d") < least)
-        near = saved(near, "near")
-        blocked = near.where("to_id < from_id").select(F.col("from_id").alias("id")).distinct()
-        first = left.join(blocked, "id", "left_anti")
-        kept = first if kept is None else kept.unionByName(first)
-        gone = first.select("id").union(near.join(first.select(F.col("id").alias("to_id")), "to_id", "left_semi").select(F.col("from_id").alias("id"))).distinct()
-        left = left.join(gone, "id", "left_anti")
-        if left.isEmpty():
-            return kept
+    rows, side = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), cells * least
+    nowhere = F.col("x").isNull() | F.col("y").isNull() | F.isnan("x") | F.isnan("y")  # near to nothing
+    if least <= 0:
+        return rows
+    state = saved(rows.where(~nowhere).groupBy("x", "y").agg(F.min("id").alias("id")).select("id", "x", "y", F.lit(False).alias("kept")), "spaced")
+    shape, shift = f"id {rows.schema['id'].dataType.simpleString()}, x double, y double, kept boolean", 0.0
+    while not state.where("not kept").isEmpty():
+        at = lambda c, d=0.0, s=shift: F.floor((F.col(c) + d - s) / side)
+        near = lambda c: F.array_distinct(F.array(at(c, -least), at(c), at(c, least)))
+        dealt = state.withColumn("tx", F.explode(near("x"))).withColumn("ty", F.explode(near("y"))).withColumn("own", (F.col("tx") == at("x")) & (F.col("ty") == at("y")))
+        state, shift = saved(dealt.groupBy("tx", "ty").applyInPandas(_tile_thinner(least), shape), "spaced"), side / 2 - shift
+    return state.select("id", "x", "y").union(rows.where(nowhere))
 
 
 def bands(rows: DataFrame, value: str, n: int, per_band: int, order: list[Column | str]) -> DataFrame:

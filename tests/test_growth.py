@@ -95,3 +95,14 @@ def test_view_of_a_high_grid_keeps_its_zoom(spark, monkeypatch):
     wide = math.ceil(math.radians(studies.VIEW_WEST + studies.VIEW_WIDTH) * geo.A / res) - math.floor(math.radians(studies.VIEW_WEST) * geo.A / res)
     n = wide * (math.ceil(place(studies.VIEW_NORTH)) - math.floor(place(studies.VIEW_NORTH - high / 11000)))
     assert n > resampling.MOST_POINTS and studies.map_view(spark, "").count() == n
+
+
+def test_spaced_points_of_many_tiles_and_copies(spark):
+    at = {k: ((k % 24) * 0.7, (k // 24 % 20) * 0.6) for k in range(1200)}  # rows of places, most of them more than once
+    points = spark.createDataFrame([(k, *xy) for k, xy in at.items()] + [(9001, None, 1.0), (9002, None, 1.0)], "id long, x double, y double")
+    kept = []
+    for k, xy in at.items():
+        if all(math.dist(xy, at[o]) >= 1.5 for o in kept):
+            kept.append(k)
+    for cells in (2, 16):
+        assert sorted(r.id for r in spatial.spaced(points, 1.5, cells).collect()) == [*kept, 9001, 9002]
