@@ -62,10 +62,17 @@ def classify(pixels: DataFrame, features: list[str], probabilities: Column, allo
         valid = valid & F.col(f).isNotNull() & ~F.isnan(F.col(f))
     if allowed is not None:
         valid = valid & F.coalesce(allowed, F.lit(False))
-    total, kind, best, absent = split_probabilities(probabilities, with_absence)
+    # Each step is a column of its own, so that no array is made again for every use of it.
+    told = pixels.withColumn("valid_", valid)
+    told = told.withColumn("shares_", F.when(F.col("valid_"), F.transform(probabilities, lambda x: x.cast("float"))))
+    told = told.withColumn("types_", F.slice("shares_", 2, F.size("shares_") - 1) if with_absence else F.col("shares_"))
+    told = told.withColumns({"total_": F.aggregate("types_", F.lit(0.0).cast("float"), lambda a, x: (a + x).cast("float")), "best_": F.array_max("types_"), "absent_": F.element_at("shares_", 1) if with_absence else F.lit(None).cast("float")})
+    total, best, absent = F.col("total_"), F.col("best_"), F.col("absent_")
     is_type = F.lit(True) if not with_absence else best > absent if threshold is None else total >= F.lit(threshold).cast("float")
-    return pixels.withColumns({
-        "code": F.when(valid, F.when(is_type, kind).otherwise(F.lit(0))), "p_max": F.when(valid, F.when(is_type, best).otherwise(absent)), "p_meadow": F.when(valid, total)})
+    kind = F.array_position("types_", best).cast("int")
+    done = told.withColumns({
+        "code": F.when(F.col("valid_"), F.when(is_type, kind).otherwise(F.lit(0))), "p_max": F.when(F.col("valid_"), F.when(is_type, best).otherwise(absent)), "p_meadow": F.when(F.col("valid_"), total)})
+    return done.drop("valid_", "shares_", "types_", "total_", "best_", "absent_")
 
 
 def combined(meadow: Column, types: Column) -> Column:

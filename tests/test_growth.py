@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from terrafold.functions import geo
-from terrafold.operators import hydrology, raster, resampling, spatial, texture
+from terrafold.operators import hydrology, mapping, raster, resampling, spatial, texture
 from terrafold.operators.zones import Grid
 from terrafold.plans import maps, studies, views
 
@@ -106,3 +106,10 @@ def test_spaced_points_of_many_tiles_and_copies(spark):
             kept.append(k)
     for cells in (2, 16):
         assert sorted(r.id for r in spatial.spaced(points, 1.5, cells).collect()) == [*kept, 9001, 9002]
+
+
+def test_classes_add_probabilities_once(spark):
+    px = spark.createDataFrame([(0, [0.1, 0.4, 0.5]), (1, [0.7, 0.2, 0.1])], "id int, p array<double>").repartition(2)
+    done = mapping.classify(px, [], F.col("p"), threshold=0.6)
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    assert [(r.code, round(r.p_max, 6), round(r.p_meadow, 6)) for r in done.orderBy("id").collect()] == [(2, 0.5, 0.9), (0, 0.7, 0.3)]
