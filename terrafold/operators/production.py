@@ -95,14 +95,14 @@ def with_settings(first: DataFrame, grid: Grid, rules: Rules, lakes: DataFrame |
     """``first`` (row, col, code, candidate, ...) with ``lake_water, d_water, d_lake, d_channel, setting`` (its code).
 
     ``lakes``: points x, y. ``channels``: pixels row, col, which may lie off the map; both count from wherever they are.
+    Each distance is stored before the pixels meet it: in one plan the driver would hold all of them, and send that plan's counters with every task.
     """
     place = first.select("row", "col")
     water = saved(lake_water(first, rules.least_water), "lake-water")
     out = first.join(spread(water.withColumn("lake_water", F.lit(True))), ["row", "col"], "left").withColumn("lake_water", F.coalesce("lake_water", F.lit(False)))
-    nothing = F.lit(None).cast("double")
-    near = point_distance(place, lakes, grid, rules.reach) if lakes is not None else place.withColumn("d", nothing)
-    for name, part in (("d_water", distance_transform(place, water, grid.cell)), ("d_lake", near), ("d_channel", distance_transform(place, channels, grid.cell) if channels is not None else place.withColumn("d", nothing))):
-        out = out.join(spread(part.withColumnRenamed("d", name)), ["row", "col"])
+    near = point_distance(place, lakes, grid, rules.reach) if lakes is not None else None
+    for name, part in (("d_water", distance_transform(place, water, grid.cell)), ("d_lake", near), ("d_channel", distance_transform(place, channels, grid.cell) if channels is not None else None)):
+        out = out.withColumn(name, F.lit(None).cast("double")) if part is None else out.join(spread(saved(part.withColumnRenamed("d", name), name)), ["row", "col"])
     name = decisions.proximity_setting(F.col("d_water"), F.col("d_lake"), F.col("d_channel"), rules.water, rules.lake, rules.channel)
     return out.withColumn("setting", F.array_position(F.array(*map(F.lit, SETTINGS)), name).cast("int"))
 

@@ -80,14 +80,14 @@ def patches(pixels: DataFrame, least: int = 1, within: tuple[str, ...] = (), blo
     near = border.select(*within, F.col("part").alias("cell"), "row", "col", F.explode(_offsets()).alias("o")).select(*within, "cell", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"))
     links = saved(spread(near).join(border.withColumnRenamed("part", "other"), [*within, "row", "col"]).where("cell <> other").select("cell", "other").distinct(), "links")
     labels = saved(links.select("cell", F.col("cell").alias("patch")).distinct(), "labels")
-    while not links.isEmpty():
+    linked = not links.isEmpty()
+    while linked:
         around = spread(links).join(labels.withColumnRenamed("cell", "other"), "other").groupBy("cell").agg(F.min("patch").alias("low"))
         jump = labels.select(F.col("cell").alias("low"), F.col("patch").alias("lower"))
         met = labels.join(spread(around), "cell").withColumn("low", F.least("low", "patch"))
         step = saved(met.join(spread(jump), "low").select("cell", F.col("patch").alias("old"), F.least("low", "lower").alias("patch")), "labels")
         labels = step.select("cell", "patch")
-        if step.where("old <> patch").isEmpty():
-            break
+        linked = not step.where("old <> patch").isEmpty()
     named = cells.join(spread(labels.withColumnRenamed("cell", "part")), "part", "left").select(*within, "row", "col", F.coalesce("patch", "part").alias("patch"))
     sizes = named.groupBy("patch").agg(F.count(F.lit(1)).alias("size"))
     return named.join(spread(sizes), "patch").where(F.col("size") >= least).select(*within, "row", "col", "patch", "size")

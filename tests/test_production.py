@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from terrafold.operators import mapping, production, raster, training, zones
 from terrafold.operators.zones import Grid
 from terrafold.plans import maps, views
+from terrafold.sources.tables import saved
 
 SF = Path("/root/testdata")
 
@@ -120,3 +121,20 @@ def test_water_that_flows_in_makes_a_channel(spark):
     rules = production.Rules(channel_hectares=4.0)
     settings = lambda dem: production.with_settings(first, Grid(0.0, 0.0, 10.0), rules, None, production.channel_pixels(dem, 4.0, 10.0)).where("setting = 1").count()
     assert settings(inside) < settings(relief)
+
+
+def scans(frame):
+    """Leaves of the plan."""
+    return frame._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+
+def test_settings_meet_stored_distances(spark):
+    """The plan that joins all reads each table once: the pixels, their water and three distances."""
+    pixels = saved(raster.grid_pixels(spark, 40, 20).withColumns({"code": F.lit(1), "candidate": F.col("row") < 4}), "pixels")
+    lakes = spark.createDataFrame([(55.0, -105.0)], "x double, y double")
+    got = production.with_settings(pixels, Grid(0.0, 0.0, 10.0), production.Rules(), lakes, pixels.where("row = 30").select("row", "col"))
+    assert scans(got) == 5
+    for r in got.collect():
+        assert r.d_water == max(0, r.row - 3) * 10 and r.d_channel == abs(r.row - 30) * 10 and abs(r.d_lake - 10 * math.dist((r.row, r.col), (10, 5))) < 1e-9
+    bare = production.with_settings(pixels, Grid(0.0, 0.0, 10.0), production.Rules())
+    assert bare.count() == 800 and bare.where("d_lake is not null or d_channel is not null").isEmpty()
