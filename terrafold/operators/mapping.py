@@ -146,16 +146,15 @@ def cached_blocks(wanted: DataFrame, compute, path: str, key: str) -> DataFrame:
     spark, place = wanted.sparkSession, f"{path}/read={key}"
     target, files = _path(spark, f"{place}/blocks")
     known = lambda: spark.read.schema("block_row int, block_col int, commit string").parquet(f"{place}/blocks").groupBy("block_row", "block_col").agg(F.min("commit").alias("commit"))
-    missing = wanted.select("block_row", "block_col").distinct()
+    wanted = missing = saved(wanted.select("block_row", "block_col").distinct(), "wanted-blocks")
     if files.exists(target):
-        missing = missing.join(known(), ["block_row", "block_col"], "left_anti")
-    missing = saved(missing, "missing-blocks")
+        missing = saved(missing.join(known(), ["block_row", "block_col"], "left_anti"), "missing-blocks")
     if not missing.isEmpty():
         commit = uuid.uuid4().hex
         compute(missing).withColumn("commit", F.lit(commit)).repartition("block_row", "block_col").write.mode("append").partitionBy("commit").parquet(f"{place}/pixels")
         missing.withColumn("commit", F.lit(commit)).coalesce(1).write.mode("append").parquet(f"{place}/blocks")
     pixels = spark.read.parquet(f"{place}/pixels")
-    own = known().join(wanted.select("block_row", "block_col").distinct(), ["block_row", "block_col"])
+    own = saved(known().join(wanted, ["block_row", "block_col"]), "own-blocks")
     return pixels.withColumn("commit", F.col("commit").cast("string")).join(own, ["block_row", "block_col", "commit"]).drop("commit")
 
 

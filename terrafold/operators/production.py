@@ -8,7 +8,7 @@ distances to water, lakes and channels, the setting of each pixel and its compos
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,10 +115,13 @@ def without_open_water(first: DataFrame, with_absence: bool = True) -> DataFrame
     return first.withColumns({"p_max": F.when(goes, F.element_at("probabilities", 1)).otherwise(F.col("p_max")), "green": F.when(~F.coalesce(goes, F.lit(False)), F.col("green")), "code": F.when(goes, F.lit(0)).otherwise(F.col("code"))})
 
 
-def with_purity(first: DataFrame, pure_from: float) -> DataFrame:
-    """``purity`` of meadow pixels: pure from that share of green on; else mixed with water at or next to water, or with rock."""
-    near = raster.dilate(first.where("wet")).withColumn("by_water_", F.lit(True))
-    out = first.join(spread(near), ["row", "col"], "left")
+def with_purity(pixels: DataFrame, pure_from: float, first: DataFrame | None = None) -> DataFrame:
+    """``purity`` of meadow pixels: pure from that share of green on; else mixed with water at or next to water, or with rock.
+
+    ``first`` has the same pixels with ``wet`` from a shorter plan, if there is one.
+    """
+    near = raster.dilate((pixels if first is None else first).where("wet")).withColumn("by_water_", F.lit(True))
+    out = pixels.join(spread(near), ["row", "col"], "left")
     kind = F.when(F.col("green") >= F.lit(pure_from).cast("float"), F.lit("pure")).when(F.col("by_water_"), F.lit("mixed-water")).otherwise(F.lit("mixed-rock"))
     return out.withColumn("purity", F.when((F.col("code") > 0) & F.col("green").isNotNull(), kind)).drop("by_water_")
 
@@ -128,7 +131,7 @@ def second_phase(first: DataFrame, grid: Grid, rules: Rules, n_types: int, lakes
     out = with_settings(first, grid, rules, lakes, channels)
     if rules.remove_water:
         out = without_open_water(out, with_absence)
-    out = with_purity(out, purity.pure_from) if purity else out.withColumn("purity", F.lit(None).cast("string"))
+    out = with_purity(out, purity.pure_from, first) if purity else out.withColumn("purity", F.lit(None).cast("string"))
     leaf = F.col("code")
     return out.withColumn("class", F.when(leaf.isNotNull(), composed(F.col("setting"), leaf, n_types)))
 
@@ -177,6 +180,7 @@ def produce_map(model: Bundle, about: dict, read: Callable[[DataFrame], DataFram
         raise ValueError("the classes of the model are not those of its description")
     if rules.remove_water and not (ndwi and slope):
         raise ValueError("open water needs the bands of water and slope")
+    zone = replace(zone, runs=saved(zone.runs, "zone-runs"))
     key = reading_key(classes=classes, forest=model.forest.uid, medians=model.medians, grid=asdict(zone.grid), bands=bands, threshold=rules.threshold, purity=None if purity is None else asdict(purity))
     first = first_phase(model, read, bands, zone, store, key, rules.threshold, with_absence, ndwi, slope, purity)
     if relief is not None and channels is None:

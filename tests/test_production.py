@@ -138,3 +138,15 @@ def test_settings_meet_stored_distances(spark):
         assert r.d_water == max(0, r.row - 3) * 10 and r.d_channel == abs(r.row - 30) * 10 and abs(r.d_lake - 10 * math.dist((r.row, r.col), (10, 5))) < 1e-9
     bare = production.with_settings(pixels, Grid(0.0, 0.0, 10.0), production.Rules())
     assert bare.count() == 800 and bare.where("d_lake is not null or d_channel is not null").isEmpty()
+
+
+def test_stored_blocks_forget_how_they_were_wanted(spark, tmp_path):
+    """What the second phase reads: the pixels and their blocks, whatever the blocks and the zone came from; the settings and the purity read them once each."""
+    wanted = spark.range(6).select((F.col("id") % 3).cast("int").alias("block_row"), F.lit(0).alias("block_col"))
+    wanted = wanted.join(wanted.distinct(), ["block_row", "block_col"]).union(wanted)
+    pixels = raster.grid_pixels(spark, 700, 3).withColumns({"block_row": raster.block_of()[0], "block_col": raster.block_of()[1], "code": F.lit(1), "p_max": F.lit(0.9), "candidate": F.col("row") < 4, "green": F.lit(0.5), "wet": F.col("row") == 300})
+    first = mapping.cached_blocks(wanted, lambda blocks: pixels.join(blocks, ["block_row", "block_col"], "left_semi"), f"file://{tmp_path}/store", "k")
+    assert scans(first) == 2 and first.count() == 2100
+    done = production.second_phase(first, Grid(0.0, 0.0, 10.0), production.Rules(), 1, purity=production.Purity("green", "wet"))
+    assert scans(done) <= 6  # pixels and their blocks for the map and for wet ones, water, its distance
+    assert {(r.purity, r.n) for r in done.groupBy("purity").agg(F.count("*").alias("n")).collect()} == {("mixed-water", 9), ("mixed-rock", 2091)}
