@@ -98,8 +98,8 @@ def bounded_distance(pixels: DataFrame, marked: DataFrame, reach: int, cell: flo
 
     Two passes: the nearest marked row in each column, then the best column within reach.
     """
-    spread = marked.select("col", F.explode(F.sequence(F.col("row") - reach, F.col("row") + reach)).alias("row"), F.col("row").alias("at"))
-    vertical = spread.groupBy("row", "col").agg(F.min(F.pow(F.col("row") - F.col("at"), F.lit(2))).alias("v2"))
+    reached = marked.select("col", F.explode(F.sequence(F.col("row") - reach, F.col("row") + reach)).alias("row"), F.col("row").alias("at"))
+    vertical = reached.groupBy("row", "col").agg(F.min(F.pow(F.col("row") - F.col("at"), F.lit(2))).alias("v2"))
     sideways = vertical.select("row", F.explode(F.sequence(F.col("col") - reach, F.col("col") + reach)).alias("to"), "col", "v2")
     best = sideways.groupBy("row", F.col("to").alias("col")).agg(F.min(F.col("v2") + F.pow(F.col("to") - F.col("col"), F.lit(2))).alias("d2"))
     d = F.when(F.col("d2") <= reach * reach, F.sqrt("d2") * cell)

@@ -186,6 +186,15 @@ def test_spaced_points_keep_apart_and_are_maximal(spark):
     assert all(d(a, b) >= 1 for a in kept for b in kept if a < b) and all(any(d(a, b) < 1 for b in kept) for a in xy if a not in kept)
 
 
+def test_bounded_distance_is_exact_within_its_reach(spark):
+    pixels, marked = raster.grid_pixels(spark, 9, 12), [(2, 3), (7, 10)]
+    got = {(r["row"], r["col"]): r.d for r in raster.bounded_distance(pixels, spark.createDataFrame(marked, "row int, col int"), 3, 10.0).collect()}
+    assert len(got) == 108
+    for (r, c), d in got.items():
+        best = min(math.hypot(r - i, c - j) for i, j in marked)
+        assert d is None if best > 3 else abs(d - best * 10) < 1e-9
+
+
 def test_segment_distance(spark):
     got = spark.range(1).select(*[spatial.segment_distance(*[F.lit(float(v)) for v in p]) for p in ((0, 5, -1, 0, 1, 0), (5, 0, 0, 0, 2, 0), (3, 4, 0, 0, 0, 0))]).first()
     assert list(got) == [5.0, 3.0, 5.0]
