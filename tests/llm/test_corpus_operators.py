@@ -116,6 +116,44 @@ def test_near_duplicates_of_a_large_family(spark, monkeypatch):
     assert got == {i: find(i) for i in range(40)} and len(set(got.values())) > 1
 
 
+def test_keys_of_one_set_are_not_shuffled_as_rows(spark):
+    """A prefix has about 90 of the 296 keys of each text; they travel packed, whatever the number of partitions."""
+    def written():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(found.apply, range(found.size()))}
+
+    texts = [(i, prose(1000 + i, 300)) for i in range(150)]
+    texts += [(150 + i, texts[i][1] + " end") for i in range(10)]
+    before = written()
+    got = {r.id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {i: i % 150 for i in range(160)}
+    assert 0 < sum(n for k, n in written().items() if k not in before) < 150 * 90
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 600])
+def test_packed_keys(ranges):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(ranges)
+    pool = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    held, pairs, often = defaultdict(list), set(), set(pool[:5].tolist())
+    for _ in range(4):  # tasks
+        keys, nodes = rng.choice(pool, 200), rng.integers(-9, 9, 200)
+        pairs |= {*zip(keys.tolist(), nodes.tolist())}
+        for row in ngram_join.packed(keys, nodes, np.isin(keys, pool[:5]), ranges).to_pylist():
+            held[row["range"]].append(row)
+    got, rows = defaultdict(set), []
+    for some in held.values():
+        rows += ngram_join.shared_pairs(pa.Table.from_pylist(some)).to_pylist()
+    for r in rows:
+        got[r["f"]].add((r["key"] % 2**64, r["node"]))
+    count = Counter(k for k, _ in pairs if k not in often)
+    assert got.pop(None) == {p for p in pairs if p[0] in often}
+    assert got == {f: {p for p in pairs if count[p[0]] == f} for f in {*count.values()} - {1}}
+
+
 def test_prefix_tree_overlaps():
     rng = np.random.default_rng(3)
     pool = np.sort(rng.integers(1, 2**63, 60, dtype=np.uint64))
