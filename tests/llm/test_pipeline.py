@@ -54,3 +54,19 @@ def test_each_document_once(spark, name):
     if name != "op9_packing":
         assert got.count() == n
     assert not any(t.startswith(("array", "map", "struct")) for _, t in got.dtypes) and got.where(F.col("doc_id").isNull()).count() == 0
+
+
+def test_second_stage_does_not_shuffle_every_key(spark):
+    """Keys of n-grams that one document only has travel packed, and documents with them stay."""
+    def written():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(found.apply, range(found.size()))}
+
+    texts = [(i, " ".join(f"w{i * 7919 % 997}x{k}" for k in range(300))) for i in range(120)]
+    texts += [(120 + i, texts[i][1] + " end") for i in range(10)]
+    docs, before = spark.createDataFrame(texts, "doc_id long, text string"), written()
+    kept = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(120)]
+    assert 0 < sum(n for k, n in written().items() if k not in before) < 120 * 90
